@@ -1,0 +1,9 @@
+"""Queries over the driver tables and their SQL."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
