@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate
-from sluice.llm.common import table
+from sluice.llm import decontaminate, langid, quality
+from sluice.llm.common import bucket, table
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.where(bucket(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs, weights)
+    return scored.select(
+        "doc_id",
+        (bucket(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.fit(docs.where(bucket(F.col("doc_id"), 5) != 0))
+    return langid.predict(docs.select("doc_id", "text"), dictionaries).select(
+        "doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
