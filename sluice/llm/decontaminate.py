@@ -84,7 +84,7 @@ def match_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             .join(sized(brief, small), "window", "left_semi").select("row_key")
         )
     met = written(met.distinct(), "met")
-    found = line.join(sized(met, 16 * met.count()), "row_key", "left_semi").distinct()
+    found = texts.join(sized(met, 16 * met.count()), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", spaced(F.col("text")).alias("line"))
     places = found.select("row_key", F.posexplode(F.arrays_zip(grams_of(F.col("line"), span).alias("window"), fingerprints(F.col("line"), span, gram).alias("print"))).alias("pos", "w"))
     hits = places.select("row_key", "pos", F.lit(span).alias("length"), "w.window", "w.print").join(sized(prints, small), ["print", "window"], "left_semi").select("row_key", "pos", "length", "window")
     for n in sorted(facts["short"]):
@@ -110,8 +110,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             (a["n"] + F.greatest(F.lit(0), p["pos"] + p["length"] - F.greatest(a["end"], p["pos"]))).alias("n"),
         ),
     )
-    line = spaced(F.col("text"))
-    counted = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.when(line == "", 0).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1).cast("long").alias("n_words"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(CASED_WORD)), F.lit(0)).cast("long")
+    counted = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), n_words.alias("n_words"))
     return counted.join(marks.withColumn("n_hit", reach["n"].cast("long")), "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "places", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids")
     )
