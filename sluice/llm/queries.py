@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, langid, licenses, pii, quality
+from sluice.llm import decontaminate, langid, licenses, packing, pii, quality
 from sluice.llm.common import bucket, table, written
 
 
@@ -72,6 +73,19 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file lies, unless SLUICE_TOKENIZER names another."""
+    if path := os.environ.get("SLUICE_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = written(pii.scan(table(spark, sf_dir, "documents")), "pii")
     found = pii.accepted(scanned, pii.fit(scanned))
