@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, langid, licenses, packing, pii, quality
+from sluice.llm import decontaminate, hmm, langid, licenses, packing, pii, quality
 from sluice.llm.common import bucket, table, written
 
 
@@ -60,6 +60,17 @@ from dw left join pos using (doc_id) left join its using (doc_id)
 """
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = docs.where(bucket(F.col("doc_id"), 7) != 2)
+    counts = written(hmm.count_tokens(training), "counts")
+    lex = hmm.lexicon(counts)
+    scored = hmm.score(docs, counts, lex, hmm.train(training, lex))
+    return scored.select(
+        "doc_id", (bucket(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
