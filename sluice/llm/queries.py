@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, hmm, langid, licenses, packing, pii, quality
+from sluice.llm import ann, decontaminate, hmm, langid, licenses, packing, pii, quality
 from sluice.llm.common import bucket, table, written
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     weights = quality.fit(docs, labels.where(bucket(F.col("doc_id"), 5) != 0))
