@@ -55,8 +55,8 @@ def fingerprints(line: Column, span: int, gram: int) -> Column:
     )
 
 
-def match_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(row_key, doc_id, pos, length, item_id): each occurrence of an item's window in a document, pos in words from 0."""
+def match_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(row_key, places, item_ids) of the documents hit, places being (pos in words from 0, length); and (row_key, doc_id, n_words) of all."""
     if not 1 <= gram <= span:
         raise ValueError("gram must lie between 1 and span")
     lines = items.select("item_id", spaced(F.col("text")).alias("line")).where("item_id is not null and line != ''")
@@ -71,16 +71,15 @@ def match_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     small = facts["bytes"] or 0
 
     texts = docs.select("doc_id", "text").withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
-    line = texts.select("row_key", spaced(F.col("text")).alias("line")).where("line != ''")
-    met = (
-        line.select("row_key", F.explode(F.array_distinct(fingerprints(F.col("line"), span, gram))).alias("print"))
-        .join(sized(prints.select("print").distinct(), small), "print", "left_semi")
-        .select("row_key")
-    )
+    line = texts.select("row_key", "doc_id", spaced(F.col("text")).alias("line"))
+    n_words = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1).cast("long")
+    # the one pass over all texts; later passes read this table, or the texts of documents that were met
+    read = written(line.select("row_key", "doc_id", n_words.alias("n_words"), F.array_distinct(fingerprints(F.col("line"), span, gram)).alias("prints")), "read")
+    met = read.select("row_key", F.explode("prints").alias("print")).join(sized(prints.select("print").distinct(), small), "print", "left_semi").select("row_key")
     for n in sorted(facts["short"]):
         brief = windows.where(F.col("length") == n).select("window").distinct()
         met = met.unionByName(
-            line.select("row_key", F.explode(F.array_distinct(grams_of(F.col("line"), n))).alias("window"))
+            line.where("line != ''").select("row_key", F.explode(F.array_distinct(grams_of(F.col("line"), n))).alias("window"))
             .join(sized(brief, small), "window", "left_semi").select("row_key")
         )
     met = written(met.distinct(), "met")
@@ -95,12 +94,12 @@ def match_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     covered = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("pos", "length"))).alias("places"))
     marks = written(covered.join(named, "row_key"), "marks")
     size = marks.agg(F.sum(32 + 16 * F.size("places") + 8 * F.size("item_ids")).cast("long")).first()[0] or 0
-    return sized(marks, size)
+    return sized(marks, size), read.select("row_key", "doc_id", "n_words")
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, places (pos, length of matched windows), n_hit words, item_ids (sorted)."""
-    marks = match_windows(docs, items, span, gram)
+    marks, read = match_windows(docs, items, span, gram)
     # places come in order of their starts; (end reached so far, words covered)
     reach = F.aggregate(
         "places",
@@ -110,9 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             (a["n"] + F.greatest(F.lit(0), p["pos"] + p["length"] - F.greatest(a["end"], p["pos"]))).alias("n"),
         ),
     )
-    n_words = F.coalesce(F.regexp_count("text", F.lit(CASED_WORD)), F.lit(0)).cast("long")
-    counted = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), n_words.alias("n_words"))
-    return counted.join(marks.withColumn("n_hit", reach["n"].cast("long")), "row_key", "left").select(
+    return read.join(marks.withColumn("n_hit", reach["n"].cast("long")), "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "places", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids")
     )
 
@@ -122,7 +119,7 @@ def strip_passages(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
 
     What remains keeps its own separators; a text that is all passages becomes empty.
     """
-    marks = match_windows(docs, items, span, gram).select("row_key", "places")
+    marks = match_windows(docs, items, span, gram)[0].select("row_key", "places")
     keyed = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
     text = F.coalesce(F.col("text"), F.lit(""))
     words, gaps = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0)), F.split(text, CASED_WORD, -1)
