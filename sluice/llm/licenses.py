@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import ascii_lower, written
-from sluice.llm.decontaminate import CASED_WORD
 
 THRESHOLD = 0.8
 _GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,7 +66,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
     least = min(math.ceil(threshold * len(s) - 1e-9) for _, s in sets)
     known = F.array(*map(F.lit, vocabulary))
     text = F.coalesce(F.col("text"), F.lit(""))
-    spaced = docs.select("doc_id", F.regexp_count(text, F.lit(CASED_WORD)).cast("long").alias("n_words"), F.regexp_replace(ascii_lower(text), _GAP, " ").alias("line"))
+    spaced = docs.select("doc_id", F.regexp_replace(ascii_lower(text), _GAP, " ").alias("line"))
+    in_block = F.transform(F.split("line", "\n"), lambda b: F.when(F.trim(b) == "", 0).otherwise(F.length(F.trim(b)) - F.length(F.replace(F.trim(b), F.lit(" "))) + 1))
+    n_words = F.aggregate(in_block, F.lit(0).cast("long"), lambda a, n: a + n).alias("n_words")
     tokens = F.filter(F.split("line", "[ \n]+"), lambda w: w != "")
     found = []
     for phrase, label in phrases.items():
@@ -75,7 +76,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
         bound = F.flatten(F.transform(F.array(tokens), lambda t: _phrase_places(t, phrase)))
         found.append(F.when(stands, bound).otherwise(F.array().cast("array<int>")).alias(f"at_{label}"))
     blocks = F.transform(F.split("line", "\n"), lambda b: F.array_intersect(F.split(b, " "), known))
-    rows = written(spaced.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.filter(blocks, lambda b: F.size(b) > 0).alias("blocks"), *found), "blocks")
+    rows = written(spaced.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words, F.filter(blocks, lambda b: F.size(b) > 0).alias("blocks"), *found), "blocks")
 
     # at most one row for each template word comes back
     each = rows.select(F.explode(F.flatten("blocks")).alias("w")).groupBy("w").count()
