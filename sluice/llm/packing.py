@@ -14,7 +14,9 @@ each for themselves; an empty table gives no sequence; extra columns are ignored
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,39 +33,58 @@ FAN_IN = 8
 FULL = 0.995
 CARRY = 100_000
 #: Distinct words a worker remembers the ids of.
-CACHE = 400_000
+CACHE = 500_000
+#: Words tokenized at a time.
+LEARN = 20_000
+#: ASCII marks that form one piece after a letter or digit; an apostrophe may begin a contraction.
+MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordTokens:
     """Ids of texts by a tokenizer whose pieces never cross a blank or line feed, word by remembered word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[bytes, int] = {}
-        self.starts, self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self._forget()
 
     def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-        at = len(self.ids)
-        self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat])
+        """Remember the ids of new words.  A tail of ASCII marks after a letter or digit is tokenized apart from its stem."""
+        tails = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) is not w and stem and stem[-1] in ALNUM and b"<|" not in w}
+        parts = {p for pair in tails.values() for p in pair}
+        self._ask(list(parts.union(w for w in new if w not in tails).difference(self.place)))
+        pairs = np.array([(self.place[a], self.place[b]) for a, b in tails.values()], np.int64).reshape(-1, 2).ravel()
+        # ids of the joined words: those of the stem, then those of the tail
+        sizes = self.sizes[pairs]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[pairs] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._add(list(tails), sizes.reshape(-1, 2).sum(axis=1), ids)
+
+    def _ask(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), LEARN):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + LEARN]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._add(words[i : i + LEARN], sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
+
+    def _add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by nothing, and how many each has."""
-        split = [t.split() for t in texts]
+        """The ids of all texts, one after the other, and how many each has."""
+        # the tokenizer lower-cases all but special tokens
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for s in split for w in s]
+        words = list(chain.from_iterable(split))
         if len(self.place) > CACHE:
             self._forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.place]:
+        if new := list(set(words).difference(self.place)):
             self._learn(new)
-        place = self.place
-        codes = np.fromiter((place[w] for w in words), np.int64, len(words))
+        codes = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -71,8 +92,8 @@ class WordTokens:
         return flat, np.diff(bounds, prepend=0)
 
     def _forget(self) -> None:
-        self.place = {}
-        self.starts, self.sizes, self.ids = self.starts[:0], self.sizes[:0], self.ids[:0]
+        self.place: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
