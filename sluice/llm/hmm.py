@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """token, n over all texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches, max_bytes=24 << 20):
+        for _, texts in text_slices(batches, max_bytes=12 << 20):
             got: Counter = Counter()
             for t in texts:
                 got.update(t.lower().split())
@@ -221,7 +221,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
             lex, model = held.value
             k = len(model.start)
             start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((lex.classes, k))
-            for _, texts in text_slices(batches, max_bytes=6 << 20):
+            for _, texts in text_slices(batches, max_bytes=3 << 20):
                 classes, _, sizes, _ = lex.codes(texts)
                 s, m, e = expected(model, classes, segments(sizes))
                 start, move, emit = start + s, move + m, emit + e
@@ -253,23 +253,26 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = held.value
-        for batch, texts in text_slices(batches, max_bytes=16 << 20):
+        for batch, texts in text_slices(batches, max_bytes=8 << 20):
             classes, ranks, sizes, words = lex.codes(texts)
             ends = np.cumsum(sizes)
             begins = ends - sizes
             logs = np.where(ranks >= 0, lex.logs[np.maximum(ranks, 0)], 0.0)
             shared = classes >= lex.own
             fixed = np.where(shared, (ranks >= 0) * logs - lex.class_log[np.maximum(classes - lex.own, 0)], 0.0)
-            hmm = forward(model, classes, sizes) / np.log(10) + np.add.reduceat(fixed, begins)
+            fixed, local = np.add.reduceat(fixed, begins), np.add.reduceat(logs, begins)
             lost = np.flatnonzero(ranks < 0)
             bounds = np.searchsorted(lost, np.append(begins, len(classes)))
             rare, lost = [], lost.tolist()
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 rare.append(Counter([words[x] for x in lost[i:j]]))
+            known = np.add.reduceat((ranks >= 0).astype(np.int64), begins)
+            del words, ranks, logs, shared, lost
+            hmm = forward(model, classes, sizes) / np.log(10) + fixed
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
             entries = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string()), pa.array([n for r in rare for n in r.values()], pa.int32())], names=["token", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(np.add.reduceat((ranks >= 0).astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), pa.array(hmm), pa.ListArray.from_arrays(pa.array(offsets), entries)],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(known), pa.array(local), pa.array(hmm), pa.ListArray.from_arrays(pa.array(offsets), entries)],
                 names=["doc_id", "n_tokens", "local_known", "local_log", "hmm", "rare"],
             )
 
