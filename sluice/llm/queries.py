@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, decontaminate, hmm, jaccard, langid, licenses, packing, pii, quality
+from sluice.llm import ann, decontaminate, hmm, jaccard, langid, licenses, packing, pii, quality, substrings
 from sluice.llm.common import bucket, table, written
 
 
@@ -36,6 +36,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
