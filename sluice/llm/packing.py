@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -49,7 +50,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.place: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.used = np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
         """Remember the ids of new words.  A tail of ASCII marks after a letter or digit is tokenized apart from its stem."""
@@ -85,6 +88,7 @@ class WordTokens:
         if new := list(set(words).difference(self.place)):
             self._learn(new)
         codes = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+        self.used = np.concatenate([self.used, np.zeros(len(self.sizes) - len(self.used), np.int64)]) + np.bincount(codes, minlength=len(self.sizes))
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -92,8 +96,20 @@ class WordTokens:
         return flat, np.diff(bounds, prepend=0)
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keep the half of the words that were used most."""
+        words = list(self.place)
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        self.place = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.starts, self.sizes, self.used = ends - sizes, sizes, self.used[keep] // 2
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, whose memory of words serves all its tasks."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -101,7 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(path)
+        coder = word_tokens(path)
         for batch, texts in text_slices(batches, max_bytes=4 << 20):
             flat, sizes = coder.encode(texts)
             at, out = 0, []
