@@ -7,9 +7,9 @@ the places of the shared key and the sizes must leave room for the needed overla
 verified in a prefix tree: their ordered sets share the overlap already counted along a common path, and a
 subtree is left as soon as the lengths that remain cannot reach the needed overlap.
 
-Verification runs in two steps, neither of which drops a link between components: first a few random partners
-of every node (their links give provisional components, which melts large groups of near copies), then every
-candidate pair whose ends are still in different components.
+Verification runs in two steps, neither of which drops a link between components: first all pairs of small key
+groups and a few random partners of every node of larger ones (their links give provisional components, which
+melts large groups of near copies), then every candidate pair whose ends are still in different components.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a text of fewer than n words is one
 shingle; rows sharing a doc_id count as one document for components; a null doc_id gets a null component unless
@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import sized, text_slices, written
@@ -36,10 +38,11 @@ PERCENT = 85
 COUNTERS = 1 << 22
 FREQUENT = 64
 LOCAL = 5
-PARTNERS = 3
+#: Groups of up to so many nodes are paired in full at once; others start with so many random partners a node.
+SMALL, PARTNERS = 12, 3
 #: Candidates verified in one tree.
 TREE = 512
-CACHE = 1_000_000
+CACHE = 600_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,10 +56,10 @@ class Shingler:
         if len(self.words) > CACHE:
             self.words = {}
         words = self.words
-        for w in set().union(*split) - words.keys():
+        for w in set().union(*split).difference(words):
             words[w] = xxhash.xxh3_64_intdigest(w)
         sizes = [len(s) for s in split]
-        flat = np.fromiter((words[w] for s in split for w in s), np.uint64, sum(sizes))
+        flat = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
         rolled = flat.copy()
         with np.errstate(over="ignore"):
             for i in range(1, self.n):
@@ -72,6 +75,12 @@ class Shingler:
         return out
 
 
+@lru_cache(maxsize=2)
+def _shingler(n: int) -> Shingler:
+    """One for each worker process."""
+    return Shingler(n)
+
+
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -86,7 +95,7 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
     """A bit for every counter, set where its keys are frequent: COUNTERS / 8 bytes at any size of input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(n), np.zeros(COUNTERS, np.int32)
+        shingler, counts = _shingler(n), np.zeros(COUNTERS, np.int32)
         for _, texts in text_slices(batches):
             counts += np.bincount(_counter(np.concatenate([np.empty(0, np.uint64), *shingler.keys(texts)])), minlength=COUNTERS).astype(np.int32)
         at = np.flatnonzero(counts >= LOCAL)
@@ -154,7 +163,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     chunk = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / TREE).cast("int")
     asked = written(pairs.withColumn("chunk", chunk), "pairs")
     members = asked.join(sets, F.col("b") == F.col("node")).select("a", "chunk", "b", "keys")
-    probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select("a", "chunk", F.lit(None).cast("binary").alias("b"), "keys")
+    probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "keys")
     together = probes.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +180,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                         found += judged(held)
                     held = []
                 held.append((a, c, b, np.frombuffer(k, "<u8")))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
         if held:
             found = judged(held)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return together.mapInArrow(run, "a binary, b binary")
+    return together.mapInArrow(run, "a long, b long")
 
 
 def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bool) -> DataFrame:
@@ -184,7 +193,7 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler = _shingler(n)
         for batch, texts in text_slices(batches):
             rows = [_ordered(k, held.value) for k in shingler.keys(texts)]
             nodes = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() if len(r) else None for r in rows]
@@ -203,44 +212,54 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id: the smallest doc_id among documents reachable by links."""
     bits = frequent(docs, n)
     table = written(key_table(docs, bits, n, percent, whole=False), "keys")
-    nodes = written(table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").cast("int").alias("size"), F.first("keys").alias("keys")), "nodes")
-    each = nodes.select("node", "size", F.posexplode("keys").alias("place", "key"))
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").cast("int").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("id", "size", F.posexplode("keys").alias("place", "key"))
     by_key = Window.partitionBy("key")
-    near = F.xxhash64("node", "key")
-    last = F.lag(F.struct("node", "size", "place")).over(by_key.orderBy(near, "node"))
-    after = F.lead("node").over(by_key.orderBy(near, "node"))
-    shared = written(each.withColumns({"last": last, "after": after}).where("last is not null or after is not null").drop("after"), "shared")
+    order = by_key.orderBy(F.xxhash64("id", "key"), "id")
+    last, after = F.lag(F.struct("id", "size", "place")).over(order), F.lead("id").over(order)
+    shared = each.withColumns({"last": last, "after": after, "at": F.row_number().over(order)}).where("last is not null or after is not null").drop("after")
+    shared = written(shared, "shared")
 
-    def roomy(x: str, y: str) -> F.Column:
+    def roomy(x: str, y: str) -> Column:
         need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100.0 + percent) - 1e-9)
-        room = 1 + F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place")) - 1
-        return room >= need
-
-    some = shared.where("last is not null").select("node", "size", "place", F.col("last.node").alias("other"), F.col("last.size").alias("osize"), F.col("last.place").alias("oplace"))
-    some = some.where(roomy("", "o")).select("node", "other").distinct()
-    pick = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other", "node"), "other"))
-    some = some.withColumn("n", pick).where(F.col("n") <= PARTNERS)
-    some = written(some.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "partners")
-
-    firsts = shared.select("node").distinct()
-    wanted = written(nodes.join(firsts, "node", "left_semi").select("node", "first"), "wanted")
-    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    # one text for each node that shares a key with another
-    texts = docs.select("doc_id", "text").join(sized(ids, 24 * ids.count()), "doc_id", "left_semi")
-    sets = written(key_table(texts, bits, n, percent, whole=True).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "keys"), "sets")
+        return F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place")) >= need
+
+    def pairs_of(left: DataFrame, condition: Column | None = None) -> DataFrame:
+        other = left.select("key", *(F.col(c).alias(f"o{c}") for c in left.columns if c != "key"))
+        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o")
+        met = left.join(other, "key").where(F.col("id") < F.col("oid")).where(fits if condition is None else fits & condition)
+        return met.select(F.col("id").alias("a"), F.col("oid").alias("b")).distinct()
+
+    # first step: all pairs of small groups, a few random partners in the others
+    big = shared.where(F.col("at") == SMALL + 1).select("key")
+    chained = shared.where("last is not null").join(big, "key", "left_semi").select("id", "size", "place", F.col("last.id").alias("oid"), F.col("last.size").alias("osize"), F.col("last.place").alias("oplace"))
+    pick = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("oid", "id"), "oid"))
+    chained = chained.where(roomy("", "o")).select("id", "oid").distinct().withColumn("n", pick).where(F.col("n") <= PARTNERS)
+    chained = chained.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"))
+    some = written(pairs_of(shared.join(big, "key", "left_anti").select("key", "id", "size", "place")).unionByName(chained).distinct(), "some")
+    sets = _sets(docs, nodes, some, bits, n, percent)
     links = written(linked(some, sets, percent), "links")
     known = connected_components(links)
 
-    member = shared.select("key", "node", "size", "place").join(known.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # second step: pairs of the other groups whose ends are still apart
+    member = shared.join(big, "key", "left_semi").select("key", "id", "size", "place").join(known.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = member.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low != high").drop("low", "high")
-    mixed = written(mixed, "mixed")
-    other = mixed.select("key", *(F.col(c).alias(f"o{c}") for c in ("node", "size", "place", "label")))
-    fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100)
-    rest = mixed.join(other, "key").where(F.col("node") < F.col("onode")).where((F.col("label") != F.col("olabel")) & fits & roomy("", "o"))
-    rest = rest.select(F.col("node").alias("a"), F.col("onode").alias("b")).distinct()
-    more = written(linked(rest, sets, percent), "links")
-    final = written(connected_components(links.unionByName(more)), "components")
-    label = nodes.select("node", "first").join(final, "node")
+    rest = written(pairs_of(written(mixed, "mixed"), F.col("label") != F.col("olabel")).join(some, ["a", "b"], "left_anti"), "rest")
+    more = written(linked(rest, _sets(docs, nodes, rest, bits, n, percent), percent), "links")
+    final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
+
+    label = nodes.select("node", "id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = label.join(least, "component").select("node", "component_id").unionByName(nodes.join(final, "node", "left_anti").select("node", F.col("first").alias("component_id")))
+    label = label.join(least, "component").select("node", "component_id")
     return table.select("doc_id", "n_shingles", "node").join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
+    """node (its id) and keys of the nodes that stand in pairs, from the text of one document each."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
+    size = 24 * wanted.count()
+    texts = docs.select("doc_id", "text").join(sized(wanted.select(F.col("first").alias("doc_id")).distinct(), size), "doc_id", "left_semi")
+    got = key_table(texts, bits, n, percent, whole=True).join(sized(wanted.select("node", "id"), 2 * size), "node")
+    return written(got.dropDuplicates(["id"]).select(F.col("id").alias("node"), "keys"), "sets")
