@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_slices, written
+from sluice.llm.common import first_by_hash, text_slices, written
 
 STATES = 8
 OWN = 16_384
@@ -99,7 +99,15 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, own: int = OWN, known: int = KNOWN) -> Lexicon:
     sums = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(known).collect()
+    # the tokens over a count that at most `known` reach; the histogram has a few hundred rows
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, held_by = 1 << 20, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held_by += r["count"]
+        if held_by > known:
+            break
+        least = r["step"]
+    top = sorted(counts.where(step >= least).collect(), key=lambda r: (-r["n"], r["token"]))[:known]
     place = {r["token"].encode(): i for i, r in enumerate(top)}
     own = min(own, max(1, len(place)))
     if place.get(END, own) >= own:  # the end token is always a class of its own
@@ -206,7 +214,7 @@ def segments(sizes: np.ndarray, longest: int = SEGMENT) -> np.ndarray:
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STATES, sample: int = SAMPLE) -> Model:
-    first = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    first = first_by_hash(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", sample).distinct()
     texts = [(r["text"] or "").encode() for r in docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").limit(sample).collect()]
     model = Model.blank(lex.classes, states)
     classes, _, sizes, _ = lex.codes(texts)

@@ -49,8 +49,10 @@ def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary for each non-null lang of docs."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= sample)
+    # ranked within salted parts of a language first, so that a common language is not one task's
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    parts = known.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64))).withColumn("rank", rank("lang", "part")).where(F.col("rank") <= sample)
+    chosen = parts.withColumn("rank", rank("lang")).where(F.col("rank") <= sample).drop("part")
     # bounded: sample rows a language, each cut to what one dictionary can hold
     texts = docs.select("doc_id", "lang", F.encode(F.substring("text", 1, DICT_BYTES // 16), "UTF-8").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy("lang", "rank")
     by: dict[str, list[bytes]] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_slices
+from sluice.llm.common import first_by_hash, text_slices
 
 BITS = 18
 SAMPLE = 8192
@@ -92,7 +92,7 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int =
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Learn from the documents that `labels` marks; the sample is bounded, so it is broadcast and trained in one task."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = first_by_hash(marked, "doc_id", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("one"), "doc_id", F.col("text"), "y")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
