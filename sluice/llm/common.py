@@ -71,7 +71,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20
+    batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 3 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut to about max_bytes of text each, with the texts as UTF-8 bytes (null: empty)."""
     for batch in batches:

@@ -42,7 +42,7 @@ LOCAL = 5
 SMALL, PARTNERS = 12, 3
 #: Candidates verified in one tree.
 TREE = 512
-CACHE = 600_000
+CACHE = 300_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
