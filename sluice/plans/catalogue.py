@@ -1,9 +1,606 @@
-"""Queries over the driver tables and their SQL."""
+"""One query for each operator over the driver tables, and the SQL it is held against."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sluice.functions import names as N
+from sluice.functions import similarity as S
+from sluice.operators import blocking, graph, relational, review
+from sluice.plans.fixtures import FIXTURES, fixture, with_fixtures
+from sluice.sources import extraction, files, pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = with_fixtures(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _name, _text in FIXTURES.items():
+    _QUERIES[_name] = lambda spark, sf_dir, name=_name: fixture(spark, sf_dir, name)
+    _SQL[_name] = _text
+
+# Names ---------------------------------------------------------------------------------------------------------
+
+_TERMS_SQL = ", ".join(f"('{t}', '{s}')" for t, s in N.TERMS.items())
+
+
+def _norm_sql(column: str) -> str:
+    x = rf"regexp_replace({column}, '^(?:the|a|an)\s+', '', 'i')"
+    x = rf"regexp_replace({x}, '\s+(?:{'|'.join(N.LEGAL_FORMS)})(?:\.|\b)', '', 'gi')"
+    x = rf"regexp_replace({x}, '\s*\([A-Z]{{2,}}\)\s*$', '')"
+    x = f"replace(replace(lower(replace({x}, '&', 'and')), '''', ''), ',', '')"
+    for term, short in N.TERMS.items():
+        x = rf"regexp_replace({x}, '\b{term}\b', '{short}', 'gi')"
+    cases = " ".join(f"when w <> '{t}' and levenshtein(w, '{t}') <= 1 then '{s}'" for t, s in N.TERMS.items())
+    known = ", ".join(f"'{s}'" for s in N.TERMS.values())
+    x = rf"array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> ''), lambda w: case when w in ({known}) then w {cases} else w end), ' ')"
+    x = rf"regexp_replace({x}, '\s*[-–—]+\s*', '-', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_NAMES = f"names as (select distinct name, {_norm_sql('name')} as norm from fx_amici)"
+_NODES = f"{_NAMES},\nnodes as (select n.norm, a.document_id as doc_id, arg_min(a.name, struct_pack(l := a.line, n := a.name)) as raw_name from fx_amici a join names n on a.name = n.name where a.category = 'organization' group by 1, 2)"
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.amicus_nodes(fixture(spark, sf_dir, "fx_amici"))
+
+
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_amici").select("name").distinct().select(N.normalize_name(F.col("name")).alias("name")).distinct()
+
+
+@query(f"with {_NAMES} select name, norm from names")
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_amici").select("name").distinct().select("name", N.normalize_name(F.col("name")).alias("norm"))
+
+
+@query(f"with {_NAMES} select norm, count(distinct a.document_id) as briefs from fx_amici a join names n on a.name = n.name join fx_documents d on d.document_id = a.document_id where category = 'organization' group by norm")
+def briefs_by_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amici = fixture(spark, sf_dir, "fx_amici").where("category = 'organization'")
+    docs = fixture(spark, sf_dir, "fx_documents").select("document_id")
+    # the pair is made distinct first, so each name's documents are counted where they lie
+    pairs = amici.join(docs, "document_id").select(N.normalize_name(F.col("name")).alias("norm"), "document_id").distinct()
+    return pairs.groupBy("norm").agg(F.count("*").alias("briefs")).orderBy(F.desc("briefs"), "norm")
+
+
+# The tables and their queries ----------------------------------------------------------------------------------
+
+
+@query("select d.document_id, d.label, d.counsel_of_record, a.name, a.category from fx_documents d join fx_amici a on a.document_id = d.document_id where a.category = 'organization' and lower(a.name) like '%foundation%'")
+def briefs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relational.briefs_of(fixture(spark, sf_dir, "fx_documents"), fixture(spark, sf_dir, "fx_amici"), "Foundation")
+    return found.select("document_id", "label", "counsel_of_record", "name", "category")
+
+
+def _lawyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, d = fixture(spark, sf_dir, "fx_lawyers"), fixture(spark, sf_dir, "fx_documents").select("document_id", "counsel_of_record")
+    return l.join(d, "document_id").withColumn("is_counsel_of_record", relational.same_or_both_missing(F.col("name"), F.col("counsel_of_record")))
+
+
+@query("select l.name, count(*) as count from fx_lawyers l join fx_documents d on d.document_id = l.document_id where coalesce(l.name, '') = coalesce(d.counsel_of_record, '') group by l.name")
+def counsel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.counsel_counts(_lawyers(spark, sf_dir))
+
+
+@query("select document_id, url from fx_documents where not complete_list")
+def incomplete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir, "fx_documents").withColumnRenamed("complete_list", "complete_amici_list")
+    return relational.incomplete(docs).select("document_id", "url")
+
+
+@query("select document_id, label, counsel_of_record from fx_documents where document_id = 524")
+def one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_documents").where("document_id = 524").select("document_id", "label", "counsel_of_record")
+
+
+@query("select count(*) as n from fx_documents where not complete_list")
+def incomplete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_documents").where("not complete_list").agg(F.count("*").alias("n"))
+
+
+@query("select position, count(*) as count from fx_dockets group by position")
+def position_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.value_counts(fixture(spark, sf_dir, "fx_dockets"), "position")
+
+
+@query("select category, count(*) as count from fx_amici group by category")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.value_counts(fixture(spark, sf_dir, "fx_amici"), "category")
+
+
+@query("select a.document_id, a.name, a.category, d.year, d.number, d.position, cast(d.year as varchar) || '-' || cast(d.number as varchar) as docket from fx_amici a join fx_dockets d on a.document_id = d.document_id")
+def amicus_docket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = relational.amicus_docket_rows(fixture(spark, sf_dir, "fx_amici").drop("line"), fixture(spark, sf_dir, "fx_dockets").drop("line"))
+    return both.withColumn("docket", N.docket_label(F.col("year"), F.col("number"))).orderBy("docket", "name")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction records of the fixtures; a document's lists are short, whatever the size of the tables."""
+    docs = fixture(spark, sf_dir, "fx_documents")
+    lists = {
+        "dockets": fixture(spark, sf_dir, "fx_dockets").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "year", "number", "position"))).alias("dockets")),
+        "amici": fixture(spark, sf_dir, "fx_amici").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "name", "category"))).alias("amici")),
+        "lawyers": fixture(spark, sf_dir, "fx_lawyers").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("name", "role", "employer"))).alias("lawyers")),
+    }
+    for df in lists.values():
+        docs = docs.join(df, "document_id", "left")
+    return docs.select(F.col("document_id").alias("source"), "url", "docket_url", F.date_format("filed_at", "MMM dd yyyy").alias("date"), "label", F.col("complete_list").alias("all_amici_on_cover_page"), F.col("needed_ocr").alias("neededOCR"), "counsel_of_record", *lists)
+
+
+_IDS = "ids as (select document_id as source, row_number() over (order by document_id) as document_id from fx_documents)"
+
+
+@query(f"with {_IDS} select i.document_id, d.url, d.docket_url, strftime(d.filed_at, '%b %d %Y') as date, strftime(d.filed_at, '%Y-%m-%d') as date_formatted, d.label, d.complete_list as complete_amici_list, d.counsel_of_record from fx_documents d join ids i on i.source = d.document_id")
+def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relational.document_tables(_records(spark, sf_dir))["documents"]
+    return out.select("document_id", "url", "docket_url", "date", F.col("date_formatted").cast("string").alias("date_formatted"), "label", "complete_amici_list", "counsel_of_record")
+
+
+@query(f"with {_IDS} select i.document_id, f.year, f.number, f.position from fx_dockets f join ids i on i.source = f.document_id")
+def load_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.document_tables(_records(spark, sf_dir))["dockets"].drop("docket_id")
+
+
+@query(f"with {_IDS} select i.document_id, f.name, f.category from fx_amici f join ids i on i.source = f.document_id")
+def load_amici(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.document_tables(_records(spark, sf_dir))["amici"].drop("amicus_id")
+
+
+@query(f"with {_IDS} select i.document_id, f.name, f.role, f.employer, coalesce(f.name, '') = coalesce(d.counsel_of_record, '') as is_counsel_of_record from fx_lawyers f join ids i on i.source = f.document_id join fx_documents d on d.document_id = f.document_id")
+def load_lawyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.document_tables(_records(spark, sf_dir))["lawyers"].drop("lawyer_id")
+
+
+@query("select document_id, row_number() over (order by document_id) as id from fx_documents")
+def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.numbered(fixture(spark, sf_dir, "fx_documents").select("document_id"), "id", "document_id")
+
+
+@query("select page_id, src, nxt as next_src from (select page_id, pos, src, lead(src) over w as nxt, row_number() over w as n from fx_proceedings window w as (partition by page_id order by pos)) where n % 2 = 1 and nxt is not null")
+def row_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.paired_rows(fixture(spark, sf_dir, "fx_proceedings"), "page_id", "pos", "src").select("page_id", "src", "next_src")
+
+
+@query("select d.document_id, l.name from fx_documents d join (select name, document_id, row_number() over (partition by document_id order by name) as n from fx_lawyers) l on l.document_id = d.document_id and l.n = 1")
+def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lawyers = fixture(spark, sf_dir, "fx_lawyers").select("document_id", "name")
+    return relational.first_match_join(fixture(spark, sf_dir, "fx_documents").select("document_id"), lawyers, "document_id", "name")
+
+
+# Links, names of blobs, dates ----------------------------------------------------------------------------------
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_documents").select("document_id", "docket_url", "label", "url", F.date_format("filed_at", "MMM dd yyyy").alias("date"))
+
+
+@query("select document_id, replace(url, 'http://', 'SUPREMECOURT/') as blob, split_part(docket_url, 'SUPREMECOURT/', 2) as docket_url, label from fx_documents where regexp_matches(label, '(?i)^Brief (amicus|amici)') and regexp_matches(url, 'DocketPDF/(18|19|20|21|22|23|24)')")
+def brief_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.amicus_briefs(_links(spark, sf_dir)).select("document_id", "blob", "docket_url", "label")
+
+
+@query("select document_id, regexp_extract(url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as docket, strftime(strptime(strftime(filed_at, '%b %d %Y'), '%b %d %Y'), '%Y-%m-%d') as filed from fx_documents")
+def dockets_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark, sf_dir)
+    return links.select("document_id", F.coalesce(N.docket_from_path(F.col("url")), F.lit("")).alias("docket"), N.parse_date(F.col("date")).cast("string").alias("filed"))
+
+
+@query("""select document_id, coalesce(case when document_id % 3 = 0 and good then d when path <> '' then path end, '') as docket from (
+ select document_id, regexp_extract(url, '([0-9]{1,2}-[0-9]{1,4})', 1) as d, regexp_extract(url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as path, left(regexp_extract(url, '([0-9]{1,2}-[0-9]{1,4})', 1), 2) >= '17' as good from fx_documents)""")
+def docket_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = fixture(spark, sf_dir, "fx_documents").select("document_id", "url")
+    said = F.when(F.col("document_id") % 3 == 0, F.array(F.concat(F.lit("No. "), N.docket_number(F.col("url"))))).otherwise(F.array(F.lit("No. 99-9999")))
+    return links.select("document_id", F.coalesce(N.checked_dockets(said, F.col("url"))[0], F.lit("")).alias("docket"))
+
+
+@query(r"""select page_id, case when regexp_matches(bare, '\.[a-z]+$') then bare else bare || '.html' end as blob,
+ case when regexp_matches(bare, '\.[^./]*$') then regexp_replace(bare, '\.[^./]*$', '.txt') else bare || '.txt' end as text_blob from (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/$', '') as bare from pages)""")
+def blob_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/$", "")
+    return _table(spark, sf_dir, "pages").select("page_id", N.page_blob(F.col("url"), N.extension_of(F.lit("text/html; charset=utf-8"))).alias("blob"), N.text_name(bare).alias("text_blob"))
+
+
+@query(r"""select page_id, coalesce(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title, cast(len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) as int) as n_links, regexp_matches(html, '(?i)amicus|amici|the') as mentions from pages""")
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(pages.page_title(html), F.lit("")).alias("title"), F.size(pages.link_targets(html)).alias("n_links"), html.rlike("(?i)amicus|amici|the").alias("mentions"))
+
+
+@query("""select docket_url, 'Case ' || cast(page_id as varchar) as case_title, strftime(filed_at, '%b %d %Y') as date, label, 'Main Document' as doc_title, url from (
+ select d.document_id as page_id, 'http://www.court.example/public/' || cast(d.document_id as varchar) || '.html' as docket_url, d.filed_at, d.label, d.url from fx_documents d) where regexp_matches(label, '(?i)amicus|amici')""")
+def docket_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Docket pages are written from the fixture and parsed back; pages that do not mention an amicus are not parsed."""
+    d = _links(spark, sf_dir)
+    html = F.format_string(
+        '<html><table id="docketinfo"><tr><td>Case</td><td> %d </td></tr></table><table id="proceedings"><tr><th>Date</th><th>Text</th></tr><tr><td>%s</td><td>%s</td></tr>'
+        '<tr><td></td><td><a href="/x.html">Proof</a><a href="%s">Main Document</a></td></tr><tr><td>odd</td></tr></table></html>',
+        F.col("document_id"), F.col("date"), F.col("label"), F.regexp_replace("url", "^http://www.court.example", ""),
+    )
+    return pages.page_links(d.select(F.concat(F.lit("http://www.court.example/public/"), F.col("document_id").cast("string"), F.lit(".html")).alias("url"), html.alias("html")))
+
+
+@query("select cast(y as int) as year, cast(n as int) as number, 'http://www.court.example/docket/docketfiles/html/public/' || cast(y as varchar) || '-' || cast(n as varchar) || '.html' as url from range(18, 25) a(y), range(1, 500) b(n)")
+def docket_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.docket_urls(spark, "http://www.court.example", numbers=(1, 500))
+
+
+# Work in hand --------------------------------------------------------------------------------------------------
+
+
+def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("blob"), (F.col("quality") == 1).alias("has_text"), (F.col("toxic") == 1).alias("needed_ocr"), F.when(F.col("quality") == 0, "failed").alias("error"))
+
+
+@query("select doc_id as blob from documents where doc_id not in (select doc_id from labels where quality = 1)")
+def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.pending_work(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob")), _tracking(spark, sf_dir))
+
+
+@query("select count(*) as total, count(*) filter (where quality = 1) as with_text, count(*) filter (where toxic = 1) as ocr, count(*) filter (where quality = 0) as errors, count(*) filter (where quality = 1) * 100.0 / nullif(count(*), 0) as with_text_percent, count(*) filter (where toxic = 1) * 100.0 / nullif(count(*), 0) as ocr_percent, count(*) filter (where quality = 0) * 100.0 / nullif(count(*), 0) as errors_percent from labels")
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.status_summary(_tracking(spark, sf_dir))
+
+
+@query("select user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as event_type from events group by user_id")
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+    return relational.latest_status(log, "user_id").select("user_id", "event_type")
+
+
+@query("select d.doc_id, d.doc_id in (select doc_id from labels) as has_text from documents d")
+def existing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("blob"))
+    there = _table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("blob"))
+    return relational.with_text_names(blobs, there, N.text_name(F.col("blob"))).select("doc_id", "has_text")
+
+
+@query("""select doc_id, cast(length(array_to_string(case when len(p) <= 8 then p else p[1:4] || p[-4:] end, chr(10) || '--Page Break--' || chr(10))) as int) as n_ends, cast(length(array_to_string(p[1:5], chr(10) || '--Page Break--' || chr(10))) as int) as n_first, length(array_to_string(p[1:3], '')) > 100 as embedded
+ from (select doc_id, string_split(text, chr(10)) as p from documents)""")
+def page_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("p"))
+    return docs.select("doc_id", F.length(N.page_text(F.col("p"), "ends")).alias("n_ends"), F.length(N.page_text(F.col("p"), "first")).alias("n_first"), N.has_embedded_text(F.col("p")).alias("embedded"))
+
+
+@query("select doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source as header from documents")
+def metadata_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("none"), F.lit(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", N.metadata_header(m).alias("header"))
+
+
+# Hand-off with the model service -------------------------------------------------------------------------------
+
+
+@query("""select conv_id, turn, json_extract_string(j, '$.body.messages[1].content') as content, json_extract_string(j, '$.custom_id') as custom_id from (
+ select conv_id, turn, json_object('custom_id', cast(conv_id as varchar) || '-' || cast(turn as varchar), 'body', json_object('messages', [json_object('role', 'system', 'content', 'p'), json_object('role', 'user', 'content', text)])) as j from conversations)""")
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    line = extraction.request(F.col("name"), "p", F.col("text"), "gpt-4.1-nano", "Extraction", '{"type":"object"}')
+    return c.select("conv_id", "turn", F.get_json_object(line, "$.body.messages[1].content").alias("content"), F.get_json_object(line, "$.custom_id").alias("custom_id"))
+
+
+_PAIRS = f"""{_NODES},
+pool as (select norm, row_number() over (order by norm) as k from (select distinct norm from nodes)),
+pairs as (select a.norm as left_norm, b.norm as right_norm from pool a join pool b on b.k between a.k + 1 and a.k + 3)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name beside the three after it in order: a pool of pairs for what works on pairs."""
+    pool = relational.numbered(_nodes(spark, sf_dir).select("norm").distinct(), "k", "norm")
+    step = pool.select(F.col("norm").alias("left_norm"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + 3)).alias("k"))
+    return step.join(pool.select("k", F.col("norm").alias("right_norm")), "k").select("left_norm", "right_norm")
+
+
+@query(f"with {_PAIRS} select left_norm, right_norm, (n - 1) // 10 as batch, cast((n - 1) % 10 + 1 as int) as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs)")
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.pair_batches(_pairs(spark, sf_dir))
+
+
+@query(f"""with {_PAIRS}, b as (select left_norm, right_norm, (n - 1) // 10 as batch, (n - 1) % 10 + 1 as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs))
+select batch, sha256('{extraction.ASK}' || string_agg('Pair ' || cast(pair as varchar) || ':' || chr(10) || 'Org 1: ' || left_norm || chr(10) || 'Org 2: ' || right_norm || chr(10) || chr(10), '' order by pair) || '{extraction.ANSWER}') as sha from b group by batch""")
+def pair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = extraction.pair_messages(extraction.pair_batches(_pairs(spark, sf_dir)))
+    return m.select("batch", F.sha2(F.col("message").cast("binary"), 256).alias("sha"))
+
+
+@query("""with recursive l as (select conv_id, turn, strlen(text) + 1 as n, row_number() over (partition by conv_id order by turn) as k from conversations where strlen(text) + 1 <= 600),
+r as (select conv_id, turn, k, n as held, 0 as part from l where k = 1 union all select l.conv_id, l.turn, l.k, case when r.held + l.n > 600 then l.n else r.held + l.n end, r.part + case when r.held + l.n > 600 then 1 else 0 end from r join l on l.conv_id = r.conv_id and l.k = r.k + 1)
+select conv_id, turn, cast(part as bigint) as part from r""")
+def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return extraction.size_batches(lines, 600, "turn", "text", group="conv_id").select("conv_id", "turn", "part")
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response lines in all the forms they come in."""
+    e = _table(spark, sf_dir, "events")
+    content = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("pair"), (F.col("event_id") % 2 == 0).alias("are_same_entity"), F.round(F.col("value") / 1000.0, 3).alias("confidence"))).alias("results")))
+    content = F.when(F.col("event_id") % 7 == 0, "not json {").otherwise(content)
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    head = F.concat(F.lit('{"custom_id":"batch_'), F.col("event_id").cast("string"), F.lit('",'))
+    whole = F.concat(head, F.lit('"error":null,"response":{"body":'), body, F.lit("}}"))
+    as_text = F.concat(head, F.lit('"error":null,"response":{"body":'), F.to_json(F.struct(body.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(body.alias("x")))) - 6), F.lit("}}"))
+    failed = F.concat(head, F.lit('"error":{"code":"x"},"response":null}'))
+    empty = F.concat(head, F.lit('"error":null,"response":{"body":{"choices":[]}}}'))
+    k = F.col("event_id") % 5
+    return e.select(F.when(k == 0, as_text).when(k == 1, failed).when(k == 2, empty).otherwise(whole).alias("value"))
+
+
+@query("select 'batch_' || cast(event_id as varchar) as custom_id, case event_id % 5 when 1 then 'error' when 2 then 'empty' else case when event_id % 7 = 0 then 'undecodable' else 'ok' end end as status from events")
+def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.schemas import VERDICTS
+
+    return extraction.parse_responses(_responses(spark, sf_dir), VERDICTS).select("custom_id", "status")
+
+
+@query("select event_id as batch, cast(1 as int) as pair, event_id % 2 = 0 as are_same_entity, round(value / 1000.0, 3) as confidence from events where event_id % 5 not in (1, 2) and event_id % 7 <> 0")
+def response_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.verdicts(_responses(spark, sf_dir))
+
+
+@query("select count(*) as n, avg(case when event_id % 2 = 0 then 1.0 else 0.0 end) * 100 as percent, count(*) filter (where event_id % 2 = 0 and round(value / 1000.0, 3) >= 0.9) as confident from events where event_id % 5 not in (1, 2) and event_id % 7 <> 0")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = extraction.verdicts(_responses(spark, sf_dir))
+    return v.agg(F.count("*").alias("n"), (F.avg(F.col("are_same_entity").cast("double")) * 100).alias("percent"), F.count_if(F.col("are_same_entity") & (F.col("confidence") >= 0.9)).alias("confident"))
+
+
+@query("select count(*) as documents, cast(sum(length(text) // 4 + 25) as bigint) as input_tokens, count(*) * 500 as output_tokens, sum(length(text) // 4 + 25) / 1e6 * 0.05 + count(*) * 500 / 1e6 * 0.20 as cost from documents")
+def document_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.document_cost(_table(spark, sf_dir, "documents"), "p" * 100)
+
+
+# Blocking and features -----------------------------------------------------------------------------------------
+
+
+def _tfidf_sql(terms: str) -> str:
+    return f"""{_NAMES}, n0 as (select distinct norm as name from names), t0 as (select name, unnest({terms}) as term from n0),
+tf as (select name, term, count(*) as tf from t0 group by 1, 2), st as (select term, sum(tf) as total, count(*) as df from tf group by 1 order by total desc, term limit 20000),
+rw as (select tf.name, tf.term, tf.tf * (ln((1 + (select count(*) from n0)) / (1 + st.df)) + 1) as w from tf join st on st.term = tf.term),
+wt as (select name, term, w / sqrt(sum(w * w) over (partition by name)) as weight from rw)"""
+
+
+_CHARS = "case when length(name) >= 3 then list_transform(range(1, length(name) - 1), lambda i: substr(name, i, 3)) else [] end"
+_WORDS = r"regexp_extract_all(name, '\b(\w\w+)\b')"
+_TOP = """sm as (select a.name as left_side, b.name as right_side, round(sum(a.weight * b.weight), 6) as similarity from wt a join wt b on a.term = b.term group by 1, 2),
+tp as (select * from (select *, row_number() over (partition by left_side order by similarity desc, right_side) as k from sm where similarity >= 0.6) where k <= 10 and left_side <> right_side)"""
+
+
+@query(f"with {_tfidf_sql(_CHARS)} select name, term, round(weight, 6) as weight from wt")
+def tfidf_char(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.tfidf(_norms(spark, sf_dir), blocking.char_grams(F.col("name"))).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"with {_tfidf_sql(_WORDS)} select name, term, round(weight, 6) as weight from wt")
+def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.tfidf(_norms(spark, sf_dir), blocking.word_terms(F.col("name"))).withColumn("weight", F.round("weight", 6))
+
+
+def _char_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.top_pairs(blocking.tfidf(_norms(spark, sf_dir), blocking.char_grams(F.col("name"))))
+
+
+def _word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.top_pairs(blocking.tfidf(_norms(spark, sf_dir), blocking.word_terms(F.col("name"))))
+
+
+@query(f"with {_tfidf_sql(_CHARS)}, {_TOP} select left_side, right_side, similarity from tp")
+def block_char(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _char_pairs(spark, sf_dir)
+
+
+@query(f"with {_tfidf_sql(_WORDS)}, {_TOP} select left_side, right_side, similarity from tp")
+def block_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_pairs(spark, sf_dir)
+
+
+def _both_sql() -> str:
+    """Both kinds of pairs; the CTEs of words carry a w."""
+    import re
+
+    words = (_tfidf_sql(_WORDS) + ", " + _TOP).replace(_NAMES + ", ", "", 1)
+    return _tfidf_sql(_CHARS) + ", " + _TOP + ", " + re.sub(r"\b(n0|t0|st|rw|wt|sm|tp)\b|\btf(?= as \(| join|\.name|\.term|\.tf| group)", lambda m: m[0] + "w", words).replace("from tf group", "from tfw group")
+
+
+_MERGED = "mg as (select coalesce(a.left_side, b.left_side) as left_side, coalesce(a.right_side, b.right_side) as right_side, coalesce(a.similarity, 0) as char_similarity, coalesce(b.similarity, 0) as word_similarity from tp a full join tpw b on a.left_side = b.left_side and a.right_side = b.right_side)"
+
+
+@query(f"with {_both_sql()}, {_MERGED} select * from mg")
+def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.merge_blocks(_char_pairs(spark, sf_dir), _word_pairs(spark, sf_dir))
+
+
+@query(f"""with {_both_sql()}, {_MERGED}, {_NODES.replace(_NAMES + ",", "", 1)}, one as (select distinct least(left_side, right_side) as left_norm, greatest(left_side, right_side) as right_norm from mg)
+select * from one where not exists (select 1 from nodes a join nodes b on a.doc_id = b.doc_id where a.norm = one.left_norm and b.norm = one.right_norm)""")
+def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.legal_pairs(blocking.merge_blocks(_char_pairs(spark, sf_dir), _word_pairs(spark, sf_dir)), _nodes(spark, sf_dir))
+
+
+_LETTERS = "list_distinct(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: left(w, 1)))"
+
+
+@query(f"""with {_PAIRS} select left_norm, right_norm, 1 - levenshtein(left_norm, right_norm) / greatest(length(left_norm), length(right_norm)) as levenstein, jaro_winkler_similarity(left_norm, right_norm) as jaro_winkler,
+ len(list_intersect({_LETTERS.format('left_norm')}, {_LETTERS.format('right_norm')})) / len(list_distinct({_LETTERS.format('left_norm')} || {_LETTERS.format('right_norm')})) as first_letter_jaccard,
+ ln(length(left_norm) + length(right_norm)) as combined_len, least(length(left_norm), length(right_norm)) / greatest(length(left_norm), length(right_norm)) as len_ratio from pairs""")
+def similarity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["levenstein", "jaro_winkler", "first_letter_jaccard", "combined_len", "len_ratio"]
+    return S.featurize(_pairs(spark, sf_dir), {n: S.FEATURES[n] for n in names})
+
+
+@query(None)
+def similarity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.featurize(_pairs(spark, sf_dir), {n: S.FEATURES[n] for n in ["ratio", "partialratio", "tokensort", "tokenset"]})
+
+
+@query(f"with {_PAIRS} select left_norm, right_norm, case when length(left_norm) % 3 = 0 then 0.0 when length(left_norm) % 3 = 1 then 0.9 else 1 - 0.9 end as openai_pred from pairs")
+def llm_pred_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    judged = p.where(F.length("left_norm") % 3 > 0).select("left_norm", "right_norm", (F.length("left_norm") % 3 == 1).alias("are_same_entity"), F.lit(0.9).alias("confidence"))
+    return extraction.with_predictions(p, judged)
+
+
+# Graph ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {_NODES} select * from nodes")
+def amicus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir)
+
+
+@query("select distinct cast(year as varchar) || '-' || cast(number as varchar) as docket, document_id as doc_id from fx_dockets")
+def docket_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.docket_nodes(fixture(spark, sf_dir, "fx_dockets"))
+
+
+@query(f"with {_NODES} select n.norm, cast(d.year as varchar) || '-' || cast(d.number as varchar) as docket, arg_max(d.position, struct_pack(a := n.doc_id, b := d.line, c := d.position)) as position from nodes n join fx_dockets d on d.document_id = n.doc_id group by 1, 2")
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.positions(_nodes(spark, sf_dir), fixture(spark, sf_dir, "fx_dockets"))
+
+
+#: Decisions by high score alone join few users, so components stay apart.
+_DECIDED = "dec as (select left_id as l, right_id as r, is_match and score >= 0.22 as m, ts, decision_id from fx_decisions where score >= 0.1)"
+_COMPONENTS = f"""with recursive {_DECIDED}, e as (select l as u, r as v from dec where m union select r, l from dec where m), nd as (select l as node from dec union select r from dec),
+walk as (select node, node as c from nd union select e.v, walk.c from walk join e on e.u = walk.node), comp as (select node, min(c) as component from walk group by node)"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.1")
+    return d.select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), (F.col("is_match") & (F.col("score") >= 0.22)).alias("is_match"), "ts", "decision_id", "score")
+
+
+@query(f"{_COMPONENTS} select node, component from comp")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.match_components(_decided(spark, sf_dir))
+
+
+@query(f"{_COMPONENTS} select distinct a.component, dec.l as \"left\", dec.r as \"right\" from dec join comp a on a.node = dec.l join comp b on b.node = dec.r where not m and a.component = b.component")
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decided(spark, sf_dir)
+    return graph.conflicts(d, graph.match_components(d))
+
+
+@query(f"""{_COMPONENTS}, apart as (select distinct least(a.component, b.component) as x, greatest(a.component, b.component) as y from dec join comp a on a.node = dec.l join comp b on b.node = dec.r where not m and a.component <> b.component)
+select a.node as u, b.node as v, true as is_match from comp a join comp b on a.component = b.component and a.node < b.node
+union all select least(a.node, b.node), greatest(a.node, b.node), false from apart join comp a on a.component = x join comp b on b.component = y""")
+def label_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decided(spark, sf_dir)
+    return graph.closure(d, graph.match_components(d))
+
+
+@query(None)
+def labels_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decided(spark, sf_dir).withColumn("project", F.col("left") % 3)
+    return graph.apply_in_order(d, "project", "decision_id").select("decision_id", "project", "accepted", "implied")
+
+
+_MATCHED = f"""{_NODES}, nm as (select distinct norm from nodes), grp as (select norm, min(norm) over (partition by split_part(norm, ' ', 1)) as component, count(*) over (partition by split_part(norm, ' ', 1)) as n from nm),
+raw as (select g.component, nodes.raw_name as name, count(*) as times from grp g join nodes on nodes.norm = g.norm where g.n > 1 group by 1, 2),
+far as (select a.component, a.name, sum(b.times * levenshtein(a.name, b.name)) as d from raw a join raw b on a.component = b.component group by 1, 2),
+med as (select component, arg_min(name, struct_pack(d := d, n := name)) as medoid from far group by 1)"""
+
+
+@query(f"with {_MATCHED} select grp.norm as original_name, med.medoid as mapped_name from grp join med on med.component = grp.component where n > 1")
+def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that share their first word are taken as matched here; each goes to its component's medoid."""
+    nodes = _nodes(spark, sf_dir)
+    first = Window.partitionBy(F.substring_index("norm", " ", 1))
+    grouped = nodes.select("norm").distinct().select(F.col("norm").alias("node"), F.min("norm").over(first).alias("component"))
+    return graph.name_mapping(grouped, nodes)
+
+
+@query("""with recursive e0 as (select distinct left_id as u, right_id as v from fx_decisions where score >= 0.22 and left_id <> right_id), e as (select u, v from e0 union select v, u from e0),
+d as (select u, count(*) as n from e group by u), terms as (select u, u as v, 1.0::double as x, 0 as k from d union all select * from (select t.u, e.v, sum(t.x * 0.85 / d.n), max(t.k) + 1 from terms t join d on d.u = t.v join e on e.u = t.v where t.k < 160 group by t.u, e.v))
+select t.u, t.v, round(sum(t.x / d.n), 6) as sigma from terms t join d on d.u = t.v group by 1, 2""")
+def regular_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.22").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    return graph.regular_equivalence(d).where("sigma <> 0").withColumn("sigma", F.round("sigma", 6))
+
+
+@query(f"with {_NODES}, p as (select n.norm, cast(d.year as varchar) || '-' || cast(d.number as varchar) as docket, arg_max(d.position, struct_pack(a := n.doc_id, b := d.line, c := d.position)) as position from nodes n join fx_dockets d on d.document_id = n.doc_id group by 1, 2) select distinct norm, docket || '||' || position as side from p")
+def docket_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bipartite_projection(graph.positions(_nodes(spark, sf_dir), fixture(spark, sf_dir, "fx_dockets")))
+
+
+# Review --------------------------------------------------------------------------------------------------------
+
+_SCORED = "sc as (select l as left_norm, r as right_norm, p as match_probability from (select left_id as l, right_id as r, score as p, row_number() over (partition by left_id, right_id order by decision_id) as n from fx_decisions where left_id <> right_id) where n = 1), done as (select distinct left_id as l, right_id as r from fx_decisions where decision_id % 4 = 0), q as (select sc.*, 0.5 - abs(match_probability - 0.5) as uncertainty, 0.7 * (0.5 - abs(match_probability - 0.5)) + 0.3 * match_probability as priority from sc anti join done on sc.left_norm = done.l and sc.right_norm = done.r)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "fx_decisions").select(F.col("left_id").alias("left_norm"), F.col("right_id").alias("right_norm"), F.col("score").alias("match_probability"), "decision_id")
+    return review.keep_first(d, order="decision_id").drop("decision_id").where("left_norm <> right_norm")
+
+
+def _queue(spark: SparkSession, sf_dir: str, by_uncertainty: bool, limit: int | None = None) -> DataFrame:
+    done = fixture(spark, sf_dir, "fx_decisions").where("decision_id % 4 = 0").select(F.col("left_id").alias("left"), F.col("right_id").alias("right"))
+    return review.candidate_queue(_scored(spark, sf_dir), done, by_uncertainty, limit)
+
+
+@query(f"with {_SCORED} select * from q order by match_probability desc, left_norm, right_norm limit 100")
+def candidates_by_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queue(spark, sf_dir, False, 100)
+
+
+@query(f"with {_SCORED} select * from q")
+def candidates_by_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queue(spark, sf_dir, True)
+
+
+@query("with s as (select cast(least(floor(score * 10), 9) as int) as bin from fx_decisions where score between 0 and 1) select b.i::int as bin, count(s.bin) as count from range(10) b(i) left join s on s.bin = b.i group by 1")
+def probability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.probability_histogram(fixture(spark, sf_dir, "fx_decisions"), "score")
+
+
+@query("select (select count(*) from fx_decisions) as total_pairs, count(*) as labelled, count(*) filter (where is_match) as matches, count(*) filter (where not is_match) as non_matches from fx_decisions where score >= 0.1")
+def review_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "fx_decisions")
+    return review.review_statistics(d, d.where("score >= 0.1"))
+
+
+@query("select n as decisions, a as first, b as last, e as elapsed_seconds, n * 3600.0 / e as per_hour, (100000.0 - n) / (n * 3600.0 / e) as hours_left, n * 100.0 / 100000.0 as percent from (select count(*) as n, min(ts) as a, max(ts) as b, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as e from fx_decisions)")
+def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.progress(fixture(spark, sf_dir, "fx_decisions"), 100_000)
+
+
+@query(f"with {_SCORED}, t as (select * from q order by priority desc, left_norm, right_norm limit 10) select sum(match_probability) / 10 as mean_probability, sum(uncertainty) / 10 as mean_uncertainty from t")
+def sampling_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.sampling_statistics(_queue(spark, sf_dir, True))
+
+
+@query(f"with {_SCORED} select left_norm, right_norm, match_probability from sc where match_probability >= 0.05 and match_probability > 0 order by match_probability desc, left_norm, right_norm limit 500")
+def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.top_edges(_scored(spark, sf_dir), "match_probability", 0.05, 500)
+
+
+@query(None)
+def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest learns which pairs share their first word and scores all pairs."""
+    features = S.featurize(_pairs(spark, sf_dir), {n: S.FEATURES[n] for n in ["levenstein", "first_letter_jaccard", "combined_len", "len_ratio"]})
+    first = lambda c: F.substring_index(c, " ", 1)
+    decided = features.where(F.length("left_norm") % 2 == 0).select(F.col("left_norm").alias("left"), F.col("right_norm").alias("right"), (first("left_norm") == first("right_norm")).alias("is_match"), F.lit(0).alias("ts"))
+    model = review.train(review.labelled_features(features, decided), ["levenstein", "first_letter_jaccard", "combined_len", "len_ratio"])
+    return review.match_probability(features, model).select("left_norm", "right_norm", F.round("match_probability", 6).alias("match_probability"))
