@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 48 << 20
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a batch stands in memory on both sides of the pipe.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -123,32 +123,38 @@ def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int = PERCENT):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[bool]:
-    """Which members link with probe, by one walk of the members' prefix tree.
+def overlaps(probe: np.ndarray, size: int, members: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[bool]:
+    """Which members can link with probe, by one walk of the members' prefix tree; exact if the sets are whole.
 
-    The tree is held as the members in order of their key sequences with the lengths of common paths; counts of
-    overlap along the current path are kept, so a shared path is counted once.
+    Sets may be given by their first keys alone, their sizes telling how many there are.  The tree is held as the
+    members in order of their key sequences with the lengths of common paths; counts of overlap along the current path
+    are kept, so a shared path is counted once.
     """
+    seen_all = len(probe) == size
     raw = [m.astype(">u8").tobytes() for m in members]
     order = sorted(range(len(members)), key=raw.__getitem__)
     out = [False] * len(members)
     path, counted = np.empty(0, np.uint64), np.zeros(1, np.int64)  # counted[i]: overlap of the path's first i keys
     for i in order:
         m = members[i]
-        least = int(needed(len(probe), len(m), percent))
-        k = min(len(path), len(m), len(counted) - 1)
+        least = int(needed(size, sizes[i], percent))
+        # past the end of what is known of the probe nothing can be told
+        end = len(m) if seen_all else int(np.searchsorted(m, probe[-1], "right"))
+        k = min(len(path), end, len(counted) - 1)
         differ = np.flatnonzero(path[:k] != m[:k])
         depth = int(differ[0]) if len(differ) else k
         counts = [counted[: depth + 1]]
         have = int(counted[depth])
         while True:
-            left = len(probe) - int(np.searchsorted(probe, m[depth - 1], "right")) if depth else len(probe)
-            if have + min(left, len(m) - depth) < least:
+            met = int(np.searchsorted(probe, m[depth - 1], "right")) if depth else 0
+            if have + min(size - met, sizes[i] - depth) < least:
                 break  # nothing below this place can reach the needed overlap
-            if depth == len(m):
-                out[i] = have >= least
+            if depth == end:
+                if not seen_all and end < len(m):
+                    met = len(probe)
+                out[i] = have + min(size - met, sizes[i] - depth) >= least
                 break
-            step = m[depth : depth + 64]
+            step = m[depth : min(end, depth + 64)]
             place = np.searchsorted(probe, step)
             hit = (place < len(probe)) & (probe[np.minimum(place, len(probe) - 1)] == step)
             more = have + np.cumsum(hit)
@@ -158,28 +164,35 @@ def overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCEN
     return out
 
 
+def _keys(column: pa.Array) -> list[np.ndarray]:
+    if pa.types.is_list(column.type):
+        values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [np.frombuffer(k, np.uint64) for k in column.to_pylist()]
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) whose sets (node, keys binary) link."""
+    """Those of pairs (a, b) whose sets (id, size, keys) link, or, of sets known by their first keys, can link."""
     chunk = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / TREE).cast("int")
     asked = written(pairs.withColumn("chunk", chunk), "pairs")
-    members = asked.join(sets, F.col("b") == F.col("node")).select("a", "chunk", "b", "keys")
-    probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("node")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "keys")
+    members = asked.join(sets, F.col("b") == F.col("id")).select("a", "chunk", "b", "size", "keys")
+    probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "size", "keys")
     together = probes.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list) -> list:
-            flags = overlaps(rows[0][3], [r[3] for r in rows[1:]], percent)
-            return [(r[0], r[2]) for r, ok in zip(rows[1:], flags, strict=True) if ok]
+            flags = overlaps(rows[0][3], rows[0][2], [r[3] for r in rows[1:]], [r[2] for r in rows[1:]], percent)
+            return [(r[0], r[1]) for r, ok in zip(rows[1:], flags, strict=True) if ok]
 
         held: list = []
         for batch in batches:
             found = []
-            for a, c, b, k in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for a, b, n, k in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("size").to_pylist(), _keys(batch.column("keys")), strict=True):
                 if b is None:
                     if held:
                         found += judged(held)
                     held = []
-                held.append((a, c, b, np.frombuffer(k, "<u8")))
+                held.append((a, b, n, k))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
         if held:
             found = judged(held)
@@ -211,10 +224,12 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id among documents reachable by links."""
     bits = frequent(docs, n)
-    table = written(key_table(docs, bits, n, percent, whole=False), "keys")
-    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").cast("int").alias("size"), F.first("keys").alias("keys"))
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    each = nodes.select("id", "size", F.posexplode("keys").alias("place", "key"))
+    table = written(key_table(docs, bits, n, percent, whole=False).withColumn("row", F.monotonically_increasing_id()), "keys")
+    # a node is known by the row of its smallest document
+    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+    nodes = written(nodes.select("node", F.col("at.row").alias("id"), F.col("at.doc_id").alias("first")), "nodes")
+    heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys").join(sized(nodes.select("id"), 24 * nodes.count()), "id", "left_semi")
+    each = heads.select("id", "size", F.posexplode("keys").alias("place", "key"))
     by_key = Window.partitionBy("key")
     order = by_key.orderBy(F.xxhash64("id", "key"), "id")
     last, after = F.lag(F.struct("id", "size", "place")).over(order), F.lead("id").over(order)
@@ -238,15 +253,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     chained = chained.where(roomy("", "o")).select("id", "oid").distinct().withColumn("n", pick).where(F.col("n") <= PARTNERS)
     chained = chained.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"))
     some = written(pairs_of(shared.join(big, "key", "left_anti").select("key", "id", "size", "place")).unionByName(chained).distinct(), "some")
-    sets = _sets(docs, nodes, some, bits, n, percent)
-    links = written(linked(some, sets, percent), "links")
+    links = _links(docs, nodes, heads, some, bits, n, percent)
     known = connected_components(links)
 
     # second step: pairs of the other groups whose ends are still apart
     member = shared.join(big, "key", "left_semi").select("key", "id", "size", "place").join(known.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = member.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low != high").drop("low", "high")
     rest = written(pairs_of(written(mixed, "mixed"), F.col("label") != F.col("olabel")).join(some, ["a", "b"], "left_anti"), "rest")
-    more = written(linked(rest, _sets(docs, nodes, rest, bits, n, percent), percent), "links")
+    more = _links(docs, nodes, heads, rest, bits, n, percent)
     final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
 
     label = nodes.select("node", "id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -255,11 +269,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     return table.select("doc_id", "n_shingles", "node").join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
-    """node (its id) and keys of the nodes that stand in pairs, from the text of one document each."""
+def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
+    """The pairs that link: a first walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
+    pairs = written(linked(pairs, heads, percent), "possible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
     size = 24 * wanted.count()
     texts = docs.select("doc_id", "text").join(sized(wanted.select(F.col("first").alias("doc_id")).distinct(), size), "doc_id", "left_semi")
     got = key_table(texts, bits, n, percent, whole=True).join(sized(wanted.select("node", "id"), 2 * size), "node")
-    return written(got.dropDuplicates(["id"]).select(F.col("id").alias("node"), "keys"), "sets")
+    # repeated rows give a set twice, and then a link twice: no harm
+    sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")
+    return written(linked(pairs, sets, percent).distinct(), "links")
