@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard, packing, pii, quality
-from sluice.llm.common import sized, table, written
+from sluice.llm.common import fresh, sized, table, written
 from sluice.llm.queries import tokenizer_path
 
 #: A document stays if the classifier gives it at least this chance of good quality.
@@ -20,7 +20,8 @@ KEEP_QUALITY = 0.3
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from all labels; documents scored under KEEP_QUALITY go."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(F.col("quality_score") >= KEEP_QUALITY).drop("quality_score")
+    name = fresh(docs, "quality_score")
+    return quality.score(docs, weights, name).where(F.col(name) >= KEEP_QUALITY).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,5 +92,19 @@ def text_slices(
             at = end
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task; one thing at a time, so operators do not add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the like of it that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name

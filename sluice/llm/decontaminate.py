@@ -120,7 +120,7 @@ def strip_passages(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
     What remains keeps its own separators; a text that is all passages becomes empty.
     """
     marks = match_windows(docs, items, span, gram)[0].select("row_key", "places")
-    keyed = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     text = F.coalesce(F.col("text"), F.lit(""))
     words, gaps = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0)), F.split(text, CASED_WORD, -1)
     hit = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["pos"], p["pos"] + p["length"] - 1))))
@@ -131,4 +131,5 @@ def strip_passages(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: in
     )
     met = F.col("places").isNotNull()
     marked = keyed.join(marks, "row_key", "left").withColumns({"hits": F.when(met, keep), "words": F.when(met, words), "gaps": F.when(met, gaps)})
-    return marked.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    new = F.when(F.col("places").isNull(), F.col("text")).otherwise(rest)
+    return marked.select(*(new.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))

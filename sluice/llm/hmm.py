@@ -274,7 +274,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Dat
             rare, lost = [], lost.tolist()
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 rare.append(Counter([words[x] for x in lost[i:j]]))
-            known = np.add.reduceat((ranks >= 0).astype(np.int64), begins)
+            known = np.add.reduceat((logs > 0).astype(np.int64), begins)
             del words, ranks, logs, shared, lost
             hmm = forward(model, classes, sizes) / np.log(10) + fixed
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)

@@ -12,15 +12,14 @@ groups and a few random partners of every node of larger ones (their links give
 melts large groups of near copies), then every candidate pair whose ends are still in different components.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a text of fewer than n words is one
-shingle; rows sharing a doc_id count as one document for components; a null doc_id gets a null component unless
-its text is linked; an empty table gives no rows; extra columns are ignored.
+shingle; rows sharing a doc_id are judged each by its own text; a row without a doc_id gets the component of the
+documents that its text links with, null if there is none; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import sized, text_slices, written
+from sluice.llm.common import kept, sized, text_slices, written
 from sluice.operators.components import connected_components
 
 SHINGLE = 4
@@ -75,12 +74,6 @@ class Shingler:
         return out
 
 
-@lru_cache(maxsize=2)
-def _shingler(n: int) -> Shingler:
-    """One for each worker process."""
-    return Shingler(n)
-
-
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -95,7 +88,7 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
     """A bit for every counter, set where its keys are frequent: COUNTERS / 8 bytes at any size of input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = _shingler(n), np.zeros(COUNTERS, np.int32)
+        shingler, counts = kept(f"shingles of {n}", lambda: Shingler(n)), np.zeros(COUNTERS, np.int32)
         for _, texts in text_slices(batches):
             counts += np.bincount(_counter(np.concatenate([np.empty(0, np.uint64), *shingler.keys(texts)])), minlength=COUNTERS).astype(np.int32)
         at = np.flatnonzero(counts >= LOCAL)
@@ -206,7 +199,7 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _shingler(n)
+        shingler = kept(f"shingles of {n}", lambda: Shingler(n))
         for batch, texts in text_slices(batches):
             rows = [_ordered(k, held.value) for k in shingler.keys(texts)]
             nodes = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() if len(r) else None for r in rows]
@@ -226,7 +219,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     bits = frequent(docs, n)
     table = written(key_table(docs, bits, n, percent, whole=False).withColumn("row", F.monotonically_increasing_id()), "keys")
     # a node is known by the row of its smallest document
-    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "row")).alias("at"))
     nodes = written(nodes.select("node", F.col("at.row").alias("id"), F.col("at.doc_id").alias("first")), "nodes")
     heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys").join(sized(nodes.select("id"), 24 * nodes.count()), "id", "left_semi")
     each = heads.select("id", "size", F.posexplode("keys").alias("place", "key"))
@@ -275,7 +268,7 @@ def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
     size = 24 * wanted.count()
-    texts = docs.select("doc_id", "text").join(sized(wanted.select(F.col("first").alias("doc_id")).distinct(), size), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(sized(wanted.select("first").distinct(), size), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     got = key_table(texts, bits, n, percent, whole=True).join(sized(wanted.select("node", "id"), 2 * size), "node")
     # repeated rows give a set twice, and then a link twice: no harm
     sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")

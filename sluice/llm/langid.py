@@ -90,7 +90,8 @@ class Classifier:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """docs with lang_pred, lang_score and lang_rejected."""
+    """docs with lang_pred, lang_score and lang_rejected, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     names = ["lang_pred", "lang_score", "lang_rejected"]
     schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)}).schema

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -26,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_slices, written
+from sluice.llm.common import kept, text_slices, written
 
 CAPACITY = 4096
 END_ID = 1
 FAN_IN = 8
 FULL = 0.995
 CARRY = 100_000
+#: Items a task packs in the first round; more to choose from make fuller bins.
+PER_TASK = 50_000
 #: Distinct words a worker remembers the ids of.
 CACHE = 500_000
 #: Words tokenized at a time.
@@ -106,18 +107,12 @@ class WordTokens:
         self.starts, self.sizes, self.used = ends - sizes, sizes, self.used[keep] // 2
 
 
-@lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
-    """One for each worker process, whose memory of words serves all its tasks."""
-    return WordTokens(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every piece of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_tokens(path)
+        coder = kept(f"words of {path}", lambda: WordTokens(path))
         for batch, texts in text_slices(batches, max_bytes=4 << 20):
             flat, sizes = coder.encode(texts)
             at, out = 0, []
@@ -155,7 +150,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, full: float = FULL, carry: int = CARRY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, full: float = FULL, carry: int = CARRY, per_task: int = PER_TASK) -> DataFrame:
     """Items (item long, size long) to (item, sequence_id, offset)."""
 
     def round_of(level: int, last: bool):  # noqa: ANN202
@@ -172,9 +167,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, full:
         return run
 
     schema = "item long, bin long, offset long, fill long, closed boolean"
-    level, parts = 0, max(1, items.rdd.getNumPartitions())
+    level, parts = 0, max(1, -(-items.count() // per_task))
     placed = None
-    now = items.select((F.spark_partition_id()).alias("part"), "item", "size")
+    now = items.select(F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("part"), "item", "size")
     while True:
         last = parts == 1
         done = written(now.groupBy("part").applyInPandas(round_of(level, last), schema), f"pack{level}")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import first_by_hash, text_slices
 
 BITS = 18
-SAMPLE = 8192
+SAMPLE = 4096
 SCALE = 16.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-3
 EPOCHS = 3
@@ -71,7 +71,7 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int =
     for text in texts:
         slots, _ = features([text], bits)
         at, count = np.unique(slots, return_counts=True)
-        rows.append((np.append(at, n - 1), np.append(count * (SCALE / max(1, len(slots))), 1.0)))
+        rows.append((np.append(at, n - 1).astype(np.int32), np.append(count * (SCALE / max(1, len(slots))), 1.0).astype(np.float32)))
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         u = z[at]
@@ -114,13 +114,14 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(weights[-1] + SCALE * sums / np.maximum(1, sizes), -30, 30)))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a double column `quality_score`; the weights (2**bits floats) are broadcast."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") -> DataFrame:
+    """docs with a double column `name` (in place of one of that name); the weights (2**bits floats) are broadcast."""
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.withColumn("quality_score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, held.value))], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, held.value))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
