@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ def same(spark, name, sf=SF):
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     a, b = entry.queries()[name](spark, sf).toPandas(), con.sql(entry.oracle_sql()[name]).df()
-    cell = lambda x: f"{x:.8g}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if x is None or x is pd.NA or x != x else f"{x:.8g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     rows = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(object).map(cell).values.tolist()))
     assert sorted(a.columns) == sorted(b.columns)
     assert rows(a) == rows(b)
