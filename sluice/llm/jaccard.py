@@ -37,6 +37,8 @@ PERCENT = 85
 COUNTERS = 1 << 22
 FREQUENT = 64
 LOCAL = 5
+#: Bits of a set's sketch.
+SKETCH = 2048
 #: Groups of up to so many nodes are paired in full at once; others start with so many random partners a node.
 SMALL, PARTNERS = 12, 3
 #: Candidates verified in one tree.
@@ -111,6 +113,13 @@ def _ordered(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.sort((keys >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63)))
 
 
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """A bitmap of the places that keys hash to: a place one set has and another lacks is a key they do not share."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[((keys * _C) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int = PERCENT):  # noqa: ANN201
     """The least overlap of two linked sets."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -209,9 +218,14 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
                 cut = [r[: len(r) + (-percent * len(r)) // 100 + 1] if len(r) else r for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *cut]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(r) for r in rows], pa.int64()), keys], names=["doc_id", "node", "n_shingles", "keys"])
+            names, columns = ["doc_id", "node", "n_shingles", "keys"], [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(r) for r in rows], pa.int64()), keys]
+            if not whole:
+                bitmaps = np.stack([sketch(r) for r in rows]).ravel() if rows else np.empty(0, np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bitmaps)))
+                names.append("sketch")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, node binary, n_shingles long, keys {'binary' if whole else 'array<long>'}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, node binary, n_shingles long, keys {'binary' if whole else 'array<long>, sketch array<long>'}")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -221,7 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # a node is known by the row of its smallest document
     nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "row")).alias("at"))
     nodes = written(nodes.select("node", F.col("at.row").alias("id"), F.col("at.doc_id").alias("first")), "nodes")
-    heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys").join(sized(nodes.select("id"), 24 * nodes.count()), "id", "left_semi")
+    heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys", "sketch").join(sized(nodes.select("id"), 24 * nodes.count()), "id", "left_semi")
     each = heads.select("id", "size", F.posexplode("keys").alias("place", "key"))
     by_key = Window.partitionBy("key")
     order = by_key.orderBy(F.xxhash64("id", "key"), "id")
@@ -229,14 +243,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     shared = each.withColumns({"last": last, "after": after, "at": F.row_number().over(order)}).where("last is not null or after is not null").drop("after")
     shared = written(shared, "shared")
 
+    sketches = heads.select("id", "sketch")
+
     def roomy(x: str, y: str) -> Column:
         need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100.0 + percent) - 1e-9)
         return F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place")) >= need
 
     def pairs_of(left: DataFrame, condition: Column | None = None) -> DataFrame:
+        # a pair is taken at the first key of left that both have; what the sketches tell apart never leaves the join
+        before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        left = left.withColumn("before", F.collect_list("key").over(before)).join(sketches, "id")
         other = left.select("key", *(F.col(c).alias(f"o{c}") for c in left.columns if c != "key"))
-        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o")
-        met = left.join(other, "key").where(F.col("id") < F.col("oid")).where(fits if condition is None else fits & condition)
+        need = F.ceil((F.col("size") + F.col("osize")) * percent / (100.0 + percent) - 1e-9)
+        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o") & ~F.arrays_overlap("before", "obefore")
+        alike = (F.col("size") - lacks("sketch", "osketch") >= need) & (F.col("osize") - lacks("osketch", "sketch") >= need)
+        met = left.withColumnRenamed("key", "_k").join(other, (F.col("_k") == F.col("key")) & (F.col("id") < F.col("oid")) & (fits if condition is None else condition & fits) & alike)
         return met.select(F.col("id").alias("a"), F.col("oid").alias("b")).distinct()
 
     # first step: all pairs of small groups, a few random partners in the others
@@ -264,7 +286,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 
 def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
     """The pairs that link: a first walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
-    pairs = written(linked(pairs, heads, percent), "possible")
+    pairs = written(linked(pairs, heads.drop("sketch"), percent), "possible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
     size = 24 * wanted.count()

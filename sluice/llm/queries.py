@@ -118,6 +118,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+OP4_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+ex as (select doc_id, unnest(s) as g from sh),
+pr as (select a.doc_id as x, b.doc_id as y, count(*) as c from ex a join ex b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e1 as (select x, y from pr join sh p on p.doc_id = x join sh q on q.doc_id = y where 100 * c >= 85 * (len(p.s) + len(q.s) - c)),
+e as (select x, y from e1 union all select y, x from e1),
+walk as (select doc_id, doc_id as c from documents union select e.y, walk.c from walk join e on e.x = walk.doc_id)
+select sh.doc_id, cast(len(s) as bigint) as n_shingles, component_id from sh join (select doc_id, min(c) as component_id from walk group by 1) using (doc_id)
+"""
+
+
+def _op8_sql() -> str:
+    lower = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = lambda x: rf"regexp_extract_all({lower.format(x)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    held = ", ".join(f"('{label}', {sorted(set(licenses.words(t)))!r})" for label, t in licenses.TEMPLATES)
+    places = " union all ".join(f"select doc_id, '{label}' as label, unnest(list_filter(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ') = '{phrase}')) - 1 as k from w" for phrase, label in licenses.PHRASES.items() for n in [len(phrase.split())])
+    return f"""
+with w as (select doc_id, {split("text")} as w from documents), t(label, tw) as (values {held}), pl as ({places}),
+b as (select doc_id, list_distinct({split("l")}) as bw from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l from documents)),
+m as (select doc_id, label, len(list_intersect(bw, tw)) / len(tw) as share from b, t where len(list_intersect(bw, tw)) >= {licenses.THRESHOLD} * len(tw) - 1e-9),
+base as (select doc_id, count(*) as n, min(k) as lo, max(k) as hi, string_agg(distinct label, ',' order by label) as labels from pl group by 1),
+every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from pl union all select doc_id, label from m) group by 1), best as (select doc_id, max(share) as share from m group by 1)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(base.n, 0) as bigint) as n_base, cast(lo as bigint) as first_word, cast(hi as bigint) as last_word, coalesce(base.labels, '') as base_labels,
+ coalesce(every.labels, '') as labels, case when base.n > 0 then 1.0 else coalesce(best.share, 0.0) end::double as score from w left join base using (doc_id) left join every using (doc_id) left join best using (doc_id)
+"""
+
+
+OP8_SQL = _op8_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
