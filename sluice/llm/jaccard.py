@@ -243,23 +243,17 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     shared = each.withColumns({"last": last, "after": after, "at": F.row_number().over(order)}).where("last is not null or after is not null").drop("after")
     shared = written(shared, "shared")
 
-    sketches = heads.select("id", "sketch")
-
     def roomy(x: str, y: str) -> Column:
         need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100.0 + percent) - 1e-9)
         return F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place")) >= need
 
-    def pairs_of(left: DataFrame, condition: Column | None = None) -> DataFrame:
-        # a pair is taken at the first key of left that both have; what the sketches tell apart never leaves the join
-        before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        left = left.withColumn("before", F.collect_list("key").over(before)).join(sketches, "id")
-        other = left.select("key", *(F.col(c).alias(f"o{c}") for c in left.columns if c != "key"))
-        need = F.ceil((F.col("size") + F.col("osize")) * percent / (100.0 + percent) - 1e-9)
-        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
-        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o") & ~F.arrays_overlap("before", "obefore")
-        alike = (F.col("size") - lacks("sketch", "osketch") >= need) & (F.col("osize") - lacks("osketch", "sketch") >= need)
-        met = left.withColumnRenamed("key", "_k").join(other, (F.col("_k") == F.col("key")) & (F.col("id") < F.col("oid")) & (fits if condition is None else condition & fits) & alike)
-        return met.select(F.col("id").alias("a"), F.col("oid").alias("b")).distinct()
+    def beside(left: DataFrame) -> DataFrame:
+        """Every two rows of a key whose sizes and places leave room; other columns of the second carry an o."""
+        other = left.select(*(F.col(c).alias(f"o{c}") for c in left.columns))
+        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o")
+        return left.join(other, (F.col("key") == F.col("okey")) & (F.col("id") < F.col("oid")) & fits)
+
+    ends = (F.col("id").alias("a"), F.col("oid").alias("b"))
 
     # first step: all pairs of small groups, a few random partners in the others
     big = shared.where(F.col("at") == SMALL + 1).select("key")
@@ -267,14 +261,21 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     pick = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("oid", "id"), "oid"))
     chained = chained.where(roomy("", "o")).select("id", "oid").distinct().withColumn("n", pick).where(F.col("n") <= PARTNERS)
     chained = chained.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"))
-    some = written(pairs_of(shared.join(big, "key", "left_anti").select("key", "id", "size", "place")).unionByName(chained).distinct(), "some")
+    some = written(beside(shared.join(big, "key", "left_anti").select("key", "id", "size", "place")).select(*ends).unionByName(chained).distinct(), "some")
     links = _links(docs, nodes, heads, some, bits, n, percent)
     known = connected_components(links)
 
     # second step: pairs of the other groups whose ends are still apart
     member = shared.join(big, "key", "left_semi").select("key", "id", "size", "place").join(known.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = member.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low != high").drop("low", "high")
-    rest = written(pairs_of(written(mixed, "mixed"), F.col("label") != F.col("olabel")).join(some, ["a", "b"], "left_anti"), "rest")
+    # a pair is taken at the first of these keys that both have; what the sketches tell apart never leaves the join
+    before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = written(mixed.withColumn("before", F.collect_list("key").over(before)), "mixed").join(heads.select("id", "sketch"), "id")
+    need = F.ceil((F.col("size") + F.col("osize")) * percent / (100.0 + percent) - 1e-9)
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, m: n + m)
+    apart = (F.col("label") != F.col("olabel")) & ~F.arrays_overlap("before", "obefore")
+    alike = (F.col("size") - lacks("sketch", "osketch") >= need) & (F.col("osize") - lacks("osketch", "sketch") >= need)
+    rest = written(beside(mixed).where(apart & alike).select(*ends).distinct().join(some, ["a", "b"], "left_anti"), "rest")
     more = _links(docs, nodes, heads, rest, bits, n, percent)
     final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
 
