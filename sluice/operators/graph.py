@@ -203,6 +203,30 @@ def regular_equivalence(edges: DataFrame, alpha: float = 0.85, largest: int = 2_
     return small.unionByName(ended)
 
 
+def name_variants(nodes: DataFrame) -> DataFrame:
+    """(norm, variants): the different raw names of each node, in order."""
+    return nodes.groupBy("norm").agg(F.array_sort(F.collect_set("raw_name")).alias("variants"))
+
+
+def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_norm", right: str = "right_norm", largest: int = 2_000) -> DataFrame:
+    """(u, v, q) of (I - alpha P)^-1 for the symmetric table of pair means, for each connected component of up to `largest` nodes."""
+    one = pairs.groupBy(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).agg(F.avg(p).alias("p")).where("u != v and p != 0")
+    component = connected_components(one, "u", "v")
+    counted = component.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where(F.col("n") <= largest)
+    tagged = one.join(counted.select(F.col("node").alias("u"), "component"), "u")
+
+    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(pd.concat([pdf["u"], pdf["v"]]))
+        i, j = np.searchsorted(names, pdf["u"]), np.searchsorted(names, pdf["v"])
+        m = np.zeros((len(names), len(names)))
+        m[i, j] = m[j, i] = pdf["p"]
+        q = np.linalg.inv(np.eye(len(names)) - alpha * m)
+        return pd.DataFrame({"u": np.repeat(names, len(names)), "v": np.tile(names, len(names)), "q": q.ravel()})
+
+    kind = dict(one.dtypes)["u"]
+    return tagged.groupBy("component").applyInPandas(invert, f"u {kind}, v {kind}, q double")
+
+
 def bipartite_projection(position_rows: DataFrame) -> DataFrame:
     """(norm, side): the graph that splits each docket in its two sides, `docket||P` and `docket||R`."""
     return position_rows.select("norm", F.concat_ws("||", "docket", "position").alias("side")).distinct()

@@ -369,6 +369,27 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.count("*").alias("n"), (F.avg(F.col("are_same_entity").cast("double")) * 100).alias("percent"), F.count_if(F.col("are_same_entity") & (F.col("confidence") >= 0.9)).alias("confident"))
 
 
+@query("select event_id // 10 as batch, cast(event_id % 10 + 1 as int) as pair, event_id % 2 = 0 as same from events where event_id % 3 <> 0")
+def link_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("batch"), (F.col("event_id") % 10 + 1).cast("int").alias("pair"), "event_id")
+    judged = e.where("event_id % 3 <> 0").select("batch", "pair", (F.col("event_id") % 2 == 0).alias("same"))
+    return extraction.link_results(e, judged)[0].select("batch", "pair", "same")
+
+
+@query("select doc_id, max(n) as n from (select doc_id, 0 as n from documents union all select doc_id, 1 from labels) group by doc_id")
+def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [_table(spark, sf_dir, t).select("doc_id", F.lit(n).alias("n")) for n, t in enumerate(("documents", "labels"))]
+    return extraction.latest_results(parts, "doc_id")
+
+
+@query("""select source_file, 'P' as position, docket_number, amicus_name, amicus_type from (select d.url as source_file, regexp_extract(d.url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as docket_number, a.name as amicus_name, a.category as amicus_type, d.document_id from fx_documents d join fx_amici a on a.document_id = d.document_id) where document_id % 5 <> 0""")
+def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amici = fixture(spark, sf_dir, "fx_amici").groupBy("document_id").agg(F.collect_list(F.struct("name", F.col("category").alias("type"))).alias("amici"))
+    d = fixture(spark, sf_dir, "fx_documents").join(amici, "document_id")
+    brief = F.struct(F.lit("P").alias("position"), F.array(F.lit("No. 99-1")).alias("dockets")).alias("brief")
+    return extraction.flat_legacy(d.select(F.col("url").alias("source_file"), "amici", brief, F.when(F.col("document_id") % 5 == 0, "failed").alias("error")))
+
+
 @query("select count(*) as documents, cast(sum(length(text) // 4 + 25) as bigint) as input_tokens, count(*) * 500 as output_tokens, sum(length(text) // 4 + 25) / 1e6 * 0.05 + count(*) * 500 / 1e6 * 0.20 as cost from documents")
 def document_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.document_cost(_table(spark, sf_dir, "documents"), "p" * 100)
@@ -545,6 +566,26 @@ def docket_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bipartite_projection(graph.positions(_nodes(spark, sf_dir), fixture(spark, sf_dir, "fx_dockets")))
 
 
+@query(f"with {_NODES} select norm, cast(count(distinct raw_name) as int) as n, min(raw_name) as first from nodes group by norm")
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.name_variants(_nodes(spark, sf_dir)).select("norm", F.size("variants").alias("n"), F.element_at("variants", 1).alias("first"))
+
+
+@query(f"""{_COMPONENTS} select 'conflict' as problem, cast(least(dec.l, dec.r) as varchar) as l, cast(greatest(dec.l, dec.r) as varchar) as r from dec join comp a on a.node = dec.l join comp b on b.node = dec.r where not m and a.component = b.component group by all
+union all select distinct 'unknown name', cast(l as varchar), cast(r as varchar) from dec where l > 140 or r > 140""")
+def state_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decided(spark, sf_dir)
+    known = spark.range(141).select(F.col("id").alias("norm"))
+    found = review.state_problems(d, known, graph.match_components(d))
+    return found.select("problem", F.col("left").cast("string").alias("l"), F.col("right").cast("string").alias("r")).distinct()
+
+
+@query(None)
+def resolvent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.22")
+    return graph.resolvent(d.withColumn("p", F.col("score") / 10), "p", left="left_id", right="right_id")
+
+
 # Review --------------------------------------------------------------------------------------------------------
 
 _SCORED = "sc as (select l as left_norm, r as right_norm, p as match_probability from (select left_id as l, right_id as r, score as p, row_number() over (partition by left_id, right_id order by decision_id) as n from fx_decisions where left_id <> right_id) where n = 1), done as (select distinct left_id as l, right_id as r from fx_decisions where decision_id % 4 = 0), q as (select sc.*, 0.5 - abs(match_probability - 0.5) as uncertainty, 0.7 * (0.5 - abs(match_probability - 0.5)) + 0.3 * match_probability as priority from sc anti join done on sc.left_norm = done.l and sc.right_norm = done.r)"

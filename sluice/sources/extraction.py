@@ -143,6 +143,35 @@ def verdicts(lines: DataFrame) -> DataFrame:
     return ok.select(F.regexp_extract("custom_id", r"(\d+)$", 1).cast("long").alias("batch"), F.inline("parsed.results"))
 
 
+def link_results(batched: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their verdicts by batch and place, and the pairs that got none."""
+    return batched.join(judged, ["batch", "pair"]), batched.join(judged.select("batch", "pair"), ["batch", "pair"], "left_anti")
+
+
+def latest_results(parts: list[DataFrame], key: str = "custom_id") -> DataFrame:
+    """One result for each key from several batches; a later batch replaces an earlier one."""
+    every = None
+    for n, part in enumerate(parts):
+        part = part.withColumn("_n", F.lit(n))
+        every = part if every is None else every.unionByName(part)
+    rest = [c for c in parts[0].columns if c != key]
+    return every.groupBy(key).agg(F.max_by(F.struct(*rest), "_n").alias("r")).select(key, "r.*")
+
+
+def flat_legacy(records: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
+    """A row for each amicus and docket of a legacy record, dockets checked against the path; rows without a docket go.
+
+    flags: columns to keep or leave out, those that are not there being passed over.
+    """
+    from sluice.functions.names import checked_dockets
+
+    fine = records.where(F.col("error").isNull())
+    dockets = checked_dockets(F.col("brief.dockets"), F.col("source_file"))
+    rows = fine.select("source_file", F.col("brief.position").alias("position"), F.explode(dockets).alias("docket_number"), "amici").select("source_file", "position", "docket_number", F.inline("amici"))
+    rows = rows.withColumnsRenamed({"name": "amicus_name", "type": "amicus_type"}).orderBy("docket_number", "amicus_name")
+    return rows.select(*(c for c in rows.columns if (flags or {}).get(c, True)))
+
+
 def with_predictions(pairs: DataFrame, judged: DataFrame, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
     """pairs with openai_pred: confidence if judged the same, else 1 - confidence; 0 where not judged."""
     p = judged.select(left, right, F.when(F.col("are_same_entity"), F.col("confidence")).otherwise(1 - F.col("confidence")).alias("openai_pred"))
