@@ -97,6 +97,34 @@ def amicus_briefs(links: DataFrame) -> DataFrame:
     return found.where(is_amicus_label(F.col("label")) & in_years(F.col("blob")))
 
 
+#: The labels of a case page's rows, by field; the first four have one value, the others a list.
+CASE_FIELDS = {
+    "case_number": "Supreme Court case number",
+    "date_filed": "Date filed",
+    "case_title": "Case",
+    "position": "Position",
+    "amicus_organizations": "Amicus curiae",
+    "petitioners": "Petitioner",
+    "respondents": "Respondent",
+}
+_ROW = r'(?s)<div[^>]*class="[^"]*segColL[^"]*"[^>]*>(.*?)</div>\s*<div[^>]*>(.*?)</div>'
+
+
+def case_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """One record for each landed case page: rows of label and value, a row without a label continuing the one before.
+
+    A field without a row is null, a list without one empty; `Show all ...` is no value.  Built-in functions only.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"(?U)\s+", " "))
+    text = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(url, F.transform(F.regexp_extract_all(text, F.lit(_ROW), F.lit(1)), plain).alias("_l"), F.transform(F.regexp_extract_all(text, F.lit(_ROW), F.lit(2)), plain).alias("_v"))
+    named = F.transform("_v", lambda v, i: F.struct(F.try_element_at(F.filter(F.slice("_l", 1, i + 1), lambda x: x != ""), F.lit(-1)).alias("label"), v.alias("value")))
+    filled = rows.withColumn("_rows", F.filter(named, lambda r: (r["value"] != "") & ~r["value"].startswith("Show all")))
+    values = lambda label: F.transform(F.filter("_rows", lambda r: r["label"] == label), lambda r: r["value"])
+    fields = [(values(label) if i >= 4 else F.get(values(label), F.lit(0))).alias(name) for i, (name, label) in enumerate(CASE_FIELDS.items())]
+    return filled.select(*fields, F.col(url).alias("url"))
+
+
 def link_targets(html: Column) -> Column:
     """href values of a page, in order."""
     return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))

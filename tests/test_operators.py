@@ -134,6 +134,30 @@ def test_page_links(spark):
     assert [r["url"] for r in pages.page_links(df, every=True).collect()] == ["http://h/x/b.pdf"]
 
 
+def test_case_pages(spark):
+    row = lambda label, value: f'<div class="row docSegRow"><div class="segColL x">{label}</div><div class="r">{value}</div></div>'
+    page = row("Case", "A <b>v.</b> B") + row("Amicus curiae", "One") + row("", "Two") + row("", "Show all 9") + row("Petitioner", " P\n Q ") + row("Date filed", "")
+    df = spark.createDataFrame([("u", page), ("v", None)], "url string, html string")
+    got = {r["url"]: r for r in pages.case_pages(df).collect()}
+    assert got["u"]["case_title"] == "A v. B" and got["u"]["amicus_organizations"] == ["One", "Two"] and got["u"]["petitioners"] == ["P Q"]
+    assert got["u"]["date_filed"] is None and got["v"]["respondents"] == [] and got["v"]["case_title"] is None
+
+
+def test_results_meet_their_pairs(spark):
+    pairs = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "batch long, pair int, x string")
+    judged = spark.createDataFrame([(0, 2, True)], "batch long, pair int, same boolean")
+    met, lost = extraction.link_results(pairs, judged)
+    assert [r["x"] for r in met.collect()] == ["b"] and [r["x"] for r in lost.collect()] == ["a"]
+    first, second = (spark.createDataFrame([("k", v)], "custom_id string, v long") for v in (9, 1))
+    assert extraction.latest_results([first, second]).first()["v"] == 1
+
+
+def test_resolvent(spark):
+    df = spark.createDataFrame([("a", "b", 0.4), ("b", "a", 0.6)], "left_norm string, right_norm string, p double")
+    q = {(r["u"], r["v"]): r["q"] for r in graph.resolvent(df, "p").collect()}
+    assert q["a", "a"] == pytest.approx(1 / (1 - 0.45**2)) and q["a", "b"] == pytest.approx(0.45 / (1 - 0.45**2))
+
+
 def test_responses(spark):
     body = {"choices": [{"message": {"content": '{"results":[{"pair":1,"are_same_entity":true,"confidence":0.9}]}'}}]}
     lines = [{"custom_id": "batch_3", "error": None, "response": {"body": body}}, {"custom_id": "batch_4", "error": None, "response": {"body": json.dumps(body)}}, {"custom_id": "e", "error": {"code": 1}}, {"custom_id": "n", "error": None, "response": {"body": {"choices": []}}}]
