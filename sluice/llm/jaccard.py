@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import kept, sized, text_slices, written
+from sluice.llm.common import kept, scratch, sized, text_slices, written
 from sluice.operators.components import connected_components
 
 SHINGLE = 4
@@ -93,7 +93,7 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
         shingler, counts = kept(f"shingles of {n}", lambda: Shingler(n)), np.zeros(COUNTERS, np.int32)
         for _, texts in text_slices(batches):
             counts += np.bincount(_counter(np.concatenate([np.empty(0, np.uint64), *shingler.keys(texts)])), minlength=COUNTERS).astype(np.int32)
-        at = np.flatnonzero(counts >= LOCAL)
+        at = np.flatnonzero(counts >= max(LOCAL, 4 * counts.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], counts.sum(dtype=np.int64)))], names=["at", "n"])
 
     counts = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
@@ -230,6 +230,11 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id among documents reachable by links."""
+    with scratch(docs.sparkSession):
+        return written(_near_duplicates(docs, n, percent), "near", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     bits = frequent(docs, n)
     table = written(key_table(docs, bits, n, percent, whole=False).withColumn("row", F.monotonically_increasing_id()), "keys")
     # a node is known by the row of its smallest document
