@@ -35,7 +35,7 @@ CARRY = 100_000
 #: Items a task packs in the first round; more to choose from make fuller bins.
 PER_TASK = 50_000
 #: Distinct words a worker remembers the ids of.
-CACHE = 300_000
+CACHE = 450_000
 #: Words tokenized at a time.
 LEARN = 8_000
 #: ASCII marks that form one piece after a letter or digit; an apostrophe may begin a contraction.
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(f"words of {path}", lambda: WordTokens(path))
-        for batch, texts in text_slices(batches, max_bytes=2 << 20):
+        for batch, texts in text_slices(batches, max_bytes=4 << 20):
             flat, sizes = coder.encode(texts)
             at, out = 0, []
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
