@@ -208,12 +208,55 @@ def name_variants(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("norm").agg(F.array_sort(F.collect_set("raw_name")).alias("variants"))
 
 
-def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_norm", right: str = "right_norm", largest: int = 2_000) -> DataFrame:
-    """(u, v, q) of (I - alpha P)^-1 for the symmetric table of pair means, for each connected component of up to `largest` nodes."""
+def _solved(i: np.ndarray, j: np.ndarray, p: np.ndarray, n: int, columns: np.ndarray, alpha: float, tolerance: float) -> np.ndarray:
+    """Columns of (I - alpha P)^-1, P being symmetric with entries p at (i, j) and (j, i).
+
+    Conjugate gradients on the least squares problem, which need no contraction, repeated on what is left over until no
+    residual exceeds `tolerance`.
+    """
+    rows, across, weight = np.concatenate([i, j]), np.concatenate([j, i]), alpha * np.concatenate([p, p])
+    order = np.argsort(rows, kind="stable")
+    across, weight = across[order], weight[order, None]
+    starts = np.searchsorted(rows[order], np.arange(n))
+    step = max(1, 2_000_000 // len(across))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        return x - np.hstack([np.add.reduceat(weight * x[across, c : c + step], starts, axis=0) for c in range(0, x.shape[1], step)])
+
+    unit = np.zeros((n, len(columns)))
+    unit[columns, np.arange(len(columns))] = 1.0
+    x = np.zeros_like(unit)
+    for _ in range(20):
+        r = unit - times(x)
+        before = np.abs(r).max()
+        if before <= tolerance:
+            return x
+        s = times(r)
+        way, gamma = s, (s * s).sum(axis=0)
+        for _ in range(2 * n + 50):
+            q = times(way)
+            norm = (q * q).sum(axis=0)
+            a = np.divide(gamma, norm, out=np.zeros_like(norm), where=norm > 0)
+            x, r = x + a * way, r - a * q
+            if np.abs(r).max() <= max(tolerance / 2, 1e-8 * before):
+                break
+            s = times(r)
+            last, gamma = gamma, (s * s).sum(axis=0)
+            way = s + np.divide(gamma, last, out=np.zeros_like(last), where=last > 0) * way
+    raise ArithmeticError("I - alpha P of a component is singular or too close to it")
+
+
+def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_norm", right: str = "right_norm", largest: int = 2_000, tolerance: float = 1e-11) -> DataFrame:
+    """(u, v, q) of (I - alpha P)^-1 for the symmetric table of pair means, for each connected component.
+
+    A component of up to `largest` nodes is inverted in a task of its own.  In larger ones tasks solve for some columns each, from
+    the component's pairs alone, to a residual of `tolerance`; this holds whether or not alpha P is a contraction.  A matrix that
+    has no inverse is an error.
+    """
     one = pairs.groupBy(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).agg(F.avg(p).alias("p")).where("u != v and p != 0")
     component = connected_components(one, "u", "v")
-    counted = component.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where(F.col("n") <= largest)
-    tagged = one.join(counted.select(F.col("node").alias("u"), "component"), "u")
+    counted = component.withColumn("n", F.count("*").over(Window.partitionBy("component")))
+    tagged = one.join(counted.select(F.col("node").alias("u"), "component", "n"), "u")
 
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(pd.concat([pdf["u"], pdf["v"]]))
@@ -223,8 +266,22 @@ def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_no
         q = np.linalg.inv(np.eye(len(names)) - alpha * m)
         return pd.DataFrame({"u": np.repeat(names, len(names)), "v": np.tile(names, len(names)), "q": q.ravel()})
 
+    def solve(edges: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        if columns.empty:
+            return pd.DataFrame({"u": [], "v": [], "q": []})
+        names = np.unique(pd.concat([edges["u"], edges["v"]]))
+        i, j, asked = (np.searchsorted(names, c) for c in (edges["u"], edges["v"], columns["node"]))
+        q = _solved(i, j, edges["p"].to_numpy(), len(names), asked, alpha, tolerance)
+        return pd.DataFrame({"u": np.repeat(names, len(asked)), "v": np.tile(names[asked], len(names)), "q": q.ravel()})
+
     kind = dict(one.dtypes)["u"]
-    return tagged.groupBy("component").applyInPandas(invert, f"u {kind}, v {kind}, q double")
+    small = tagged.where(F.col("n") <= largest).groupBy("component").applyInPandas(invert, f"u {kind}, v {kind}, q double")
+    # a task returns about half a million rows
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(1.0), F.least(F.lit(256.0), F.floor(F.lit(500_000) / F.col("n"))))).cast("int")
+    large = tagged.where(F.col("n") > largest).select("component", "u", "v", "p", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    columns = counted.where(F.col("n") > largest).select("component", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    solved = large.groupBy("component", "block").cogroup(columns.groupBy("component", "block")).applyInPandas(solve, f"u {kind}, v {kind}, q double")
+    return small.unionByName(solved)
 
 
 def bipartite_projection(position_rows: DataFrame) -> DataFrame:

@@ -158,6 +158,16 @@ def test_resolvent(spark):
     assert q["a", "a"] == pytest.approx(1 / (1 - 0.45**2)) and q["a", "b"] == pytest.approx(0.45 / (1 - 0.45**2))
 
 
+def test_resolvent_of_large_components_agrees(spark):
+    # one component whose alpha P is no contraction, and a pair
+    rows = [(i, j, 0.2 + (i * 7 + j * 3) % 5 / 10) for i in range(1, 13) for j in range(i + 1, 13) if (i + j) % 3] + [(20, 21, 0.5)]
+    df = spark.createDataFrame(rows, "left_norm long, right_norm long, p double")
+    a = {(r["u"], r["v"]): r["q"] for r in graph.resolvent(df, "p").collect()}
+    b = {(r["u"], r["v"]): r["q"] for r in graph.resolvent(df, "p", largest=2).collect()}
+    assert len(a) == 12 * 12 + 2 * 2
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-8) for k in a)
+
+
 def test_responses(spark):
     body = {"choices": [{"message": {"content": '{"results":[{"pair":1,"are_same_entity":true,"confidence":0.9}]}'}}]}
     lines = [{"custom_id": "batch_3", "error": None, "response": {"body": body}}, {"custom_id": "batch_4", "error": None, "response": {"body": json.dumps(body)}}, {"custom_id": "e", "error": {"code": 1}}, {"custom_id": "n", "error": None, "response": {"body": {"choices": []}}}]
