@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="sluice-")
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sluice.storage import dropped, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -26,10 +13,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest
     path, each node hands its neighbours to its smallest one, and no neighbourhood is ever collected.  Each round
-    is written to shared storage, which cuts the lineage.  Null ends and loops are ignored.
+    is written to shared storage, which cuts the lineage; the table of a round goes when the next one stands.
+    Null ends and loops are ignored.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
-    pairs = _written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,7 +25,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y").unionByName(m.select(F.col("u").alias("x"), F.col("m").alias("y")))
-        pairs = _written(small.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
+        old = pairs
+        pairs = written(small.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
+        dropped(old)
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
