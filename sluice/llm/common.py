@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.storage import dropped, scratch, shared_dir, written
+
+__all__ = ["dropped", "scratch", "shared_dir", "written"]
+
 #: The largest table, in bytes as measured, that is sent to every executor; beyond it a shuffle join takes over.
 BROADCAST_BYTES = 48 << 20
 
@@ -25,51 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
-            held = spark.sparkContext.getCheckpointDir()
-        at = held
-    return at
-
-
-#: Paths of tables written inside open scratch() blocks, innermost last.
-_SCRATCH: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that written() makes inside the block, once it has ended; its result must be written outside.
-
-    If the block fails they stay, for whoever looks into it.
-    """
-    _SCRATCH.append([])
-    try:
-        yield
-    except BaseException:
-        _SCRATCH.pop()
-        raise
-    for path in _SCRATCH.pop():
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write once to shared storage and read back: cuts the lineage, survives lost executors, keeps columns prunable."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
@@ -81,8 +38,8 @@ def row_key(*cols: Column) -> Column:
 
 
 def sized(df: DataFrame, n_bytes: int) -> DataFrame:
-    """Broadcast df only if its measured size is within the bound; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
+    """Broadcast df only if its measured size is within the bound; otherwise Spark sorts and merges, which spills and splits skew."""
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def first_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:

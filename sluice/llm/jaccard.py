@@ -7,13 +7,16 @@ the places of the shared key and the sizes must leave room for the needed overla
 verified in a prefix tree: their ordered sets share the overlap already counted along a common path, and a
 subtree is left as soon as the lengths that remain cannot reach the needed overlap.
 
-Verification runs in two steps, neither of which drops a link between components: first all pairs of small key
-groups and a few random partners of every node of larger ones (their links give provisional components, which
-melts large groups of near copies), then every candidate pair whose ends are still in different components.
+Verification runs in two steps, neither of which drops a link between components.  First neighbours in the order of a
+few minhashes of whole sets are verified; their links give provisional components, which melts groups of near copies
+however large, since documents of one component need not be compared again.  Then every pair that shares a prefix key
+across two components is verified.  Keys inside one component, found by partial sums before any shuffle, are left out;
+a hot key that is left is joined by sort and merge, whose skewed partitions Spark splits.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a text of fewer than n words is one
 shingle; rows sharing a doc_id are judged each by its own text; a row without a doc_id gets the component of the
-documents that its text links with, null if there is none; an empty table gives no rows; extra columns are ignored.
+documents that its text links with, null if there is none; texts of any length are read whole; ties do not arise, a
+component being named by its smallest doc_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import kept, scratch, sized, text_slices, written
+from sluice.llm.common import BROADCAST_BYTES, kept, scratch, sized, text_slices, written
 from sluice.operators.components import connected_components
 
 SHINGLE = 4
@@ -37,14 +40,19 @@ PERCENT = 85
 COUNTERS = 1 << 22
 FREQUENT = 64
 LOCAL = 5
-#: Bits of a set's sketch.
-SKETCH = 2048
-#: Groups of up to so many nodes are paired in full at once; others start with so many random partners a node.
-SMALL, PARTNERS = 12, 3
+#: Bits of a set's sketch, kept as columns of 64.
+SKETCH = 512
+#: Minhashes whose order makes the first step's neighbours.
+MINHASHES = 4
 #: Candidates verified in one tree.
 TREE = 512
 CACHE = 300_000
+#: Bits of the map of wanted documents, where they are too many to broadcast.
+WANTED_BITS = 1 << 28
 _C = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, MINHASHES, dtype=np.uint64) | np.uint64(1)
+_S = [f"s{i}" for i in range(SKETCH // 64)]
+_M = [f"m{i}" for i in range(MINHASHES)]
 
 
 class Shingler:
@@ -120,6 +128,19 @@ def sketch(keys: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def minhashes(rows: list[np.ndarray]) -> np.ndarray:
+    """MINHASHES x rows: the smallest hash of each set under each hash function (0 of an empty set)."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.zeros((MINHASHES, len(rows)), np.int64)
+    some = sizes > 0
+    if some.any():
+        flat, at = np.concatenate(rows), (np.cumsum(sizes) - sizes)[some]
+        with np.errstate(over="ignore"):
+            for i, odd in enumerate(_ODD):
+                out[i, some] = np.minimum.reduceat(flat * odd, at).view(np.int64)
+    return out
+
+
 def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int = PERCENT):  # noqa: ANN201
     """The least overlap of two linked sets."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -175,8 +196,11 @@ def _keys(column: pa.Array) -> list[np.ndarray]:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) whose sets (id, size, keys) link, or, of sets known by their first keys, can link."""
-    chunk = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / TREE).cast("int")
-    asked = written(pairs.withColumn("chunk", chunk), "pairs")
+    # a probe with many candidates is asked in several parts, each of about TREE of them
+    many = pairs.groupBy("a").count().where(F.col("count") > TREE).select("a", F.ceil(F.col("count") / TREE).cast("int").alias("parts"))
+    many = written(many, "many")
+    asked = pairs.join(sized(many, 24 * many.count()), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("chunk"))
+    asked = written(asked, "pairs")
     members = asked.join(sets, F.col("b") == F.col("id")).select("a", "chunk", "b", "size", "keys")
     probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "size", "keys")
     together = probes.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
@@ -203,29 +227,77 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return together.mapInArrow(run, "a long, b long")
 
 
-def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, node (a digest of the set), n_shingles and keys: all of them as bytes, or only the prefix as numbers."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """doc_id, node (a digest of the set), n_shingles and keys: all of them as bytes, or only the prefix as numbers.
+
+    With the prefix come the columns of the sketch and the minhashes.  `wanted` is a bitmap over docs.at: rows whose bit is
+    not set give no row.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((bits, wanted))
+    extra = "" if whole else "".join(f", {c} long" for c in _S + _M)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, wanted = held.value
         shingler = kept(f"shingles of {n}", lambda: Shingler(n))
+        if wanted is not None:
+            batches = (b.filter(pa.array(_set(wanted, b.column("at").to_numpy()))) for b in batches)
         for batch, texts in text_slices(batches):
-            rows = [_ordered(k, held.value) for k in shingler.keys(texts)]
+            rows = [_ordered(k, bits) for k in shingler.keys(texts)]
             nodes = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() if len(r) else None for r in rows]
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(r) for r in rows], pa.int64())]
             if whole:
-                keys = pa.array([r.tobytes() for r in rows], pa.binary())
+                columns.append(pa.array([r.tobytes() for r in rows], pa.binary()))
             else:
                 cut = [r[: len(r) + (-percent * len(r)) // 100 + 1] if len(r) else r for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *cut]).view(np.int64)))
-            names, columns = ["doc_id", "node", "n_shingles", "keys"], [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(r) for r in rows], pa.int64()), keys]
-            if not whole:
-                bitmaps = np.stack([sketch(r) for r in rows]).ravel() if rows else np.empty(0, np.int64)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bitmaps)))
-                names.append("sketch")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *cut]).view(np.int64))))
+                bitmaps = np.stack([sketch(r) for r in rows]) if rows else np.empty((0, len(_S)), np.int64)
+                columns += [pa.array(c.copy()) for c in bitmaps.T] + [pa.array(c) for c in minhashes(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "keys", *([] if whole else _S + _M)])
+
+    return docs.select("doc_id", "text", *(["at"] if wanted is not None else [])).mapInArrow(run, f"doc_id long, node binary, n_shingles long, keys {'binary' if whole else 'array<long>'}{extra}")
+
+
+def _set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def bitmap(ids: DataFrame, bits: int = WANTED_BITS) -> np.ndarray:
+    """The bits at hash_place(first) of all rows, as bits / 64 numbers: bounded at any number of rows."""
+    at = ids.select(hash_place("first", bits).alias("at"))
+    cells = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("on")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["on"].to_numpy(np.int64)
+    return out
+
+
+def hash_place(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def neighbours(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes that stand side by side when those with an equal minhash are ordered by the next one.
+
+    Rows are dealt by ranges of that order, so a minhash that a third of all nodes share is split like any other.
+    """
+    turns = [F.struct(F.lit(i).alias("i"), F.col(_M[i]).alias("m"), F.col(_M[(i + 1) % MINHASHES]).alias("next")) for i in range(MINHASHES)]
+    each = heads.select("id", "size", F.explode(F.array(*turns)).alias("t")).select("t.*", "id", "size")
+    order = ["i", "m", "next", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            i, m, ids, size = (batch.column(c).to_numpy() for c in ("i", "m", "id", "size"))
+            if last is not None:
+                i, m, ids, size = (np.append(x, y) for x, y in zip(last, (i, m, ids, size), strict=True))
+            met = (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (ids[1:] != ids[:-1])
+            low, high = np.minimum(size[1:], size[:-1]).astype(np.int64), np.maximum(size[1:], size[:-1]).astype(np.int64)
+            met &= high * percent <= low * 100
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[1:], ids[:-1])[met]), pa.array(np.maximum(ids[1:], ids[:-1])[met])], names=["a", "b"])
+            if len(i):
+                last = (i[-1:], m[-1:], ids[-1:], size[-1:])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, node binary, n_shingles long, keys {'binary' if whole else 'array<long>, sketch array<long>'}")
+    return each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -240,64 +312,60 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # a node is known by the row of its smallest document
     nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "row")).alias("at"))
     nodes = written(nodes.select("node", F.col("at.row").alias("id"), F.col("at.doc_id").alias("first")), "nodes")
-    heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys", "sketch").join(sized(nodes.select("id"), 24 * nodes.count()), "id", "left_semi")
-    each = heads.select("id", "size", F.posexplode("keys").alias("place", "key"))
-    by_key = Window.partitionBy("key")
-    order = by_key.orderBy(F.xxhash64("id", "key"), "id")
-    last, after = F.lag(F.struct("id", "size", "place")).over(order), F.lead("id").over(order)
-    shared = each.withColumns({"last": last, "after": after, "at": F.row_number().over(order)}).where("last is not null or after is not null").drop("after")
-    shared = written(shared, "shared")
-
-    def roomy(x: str, y: str) -> Column:
-        need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100.0 + percent) - 1e-9)
-        return F.least(F.col(f"{x}size") - F.col(f"{x}place"), F.col(f"{y}size") - F.col(f"{y}place")) >= need
-
-    def beside(left: DataFrame) -> DataFrame:
-        """Every two rows of a key whose sizes and places leave room; other columns of the second carry an o."""
-        other = left.select(*(F.col(c).alias(f"o{c}") for c in left.columns))
-        fits = (F.col("size") * percent <= F.col("osize") * 100) & (F.col("osize") * percent <= F.col("size") * 100) & roomy("", "o")
-        return left.join(other, (F.col("key") == F.col("okey")) & (F.col("id") < F.col("oid")) & fits)
-
-    ends = (F.col("id").alias("a"), F.col("oid").alias("b"))
-
-    # first step: all pairs of small groups, a few random partners in the others
-    big = shared.where(F.col("at") == SMALL + 1).select("key")
-    chained = shared.where("last is not null").join(big, "key", "left_semi").select("id", "size", "place", F.col("last.id").alias("oid"), F.col("last.size").alias("osize"), F.col("last.place").alias("oplace"))
-    pick = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("oid", "id"), "oid"))
-    chained = chained.where(roomy("", "o")).select("id", "oid").distinct().withColumn("n", pick).where(F.col("n") <= PARTNERS)
-    chained = chained.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"))
-    some = written(beside(shared.join(big, "key", "left_anti").select("key", "id", "size", "place")).select(*ends).unionByName(chained).distinct(), "some")
-    links = _links(docs, nodes, heads, some, bits, n, percent)
-    known = connected_components(links)
-
-    # second step: pairs of the other groups whose ends are still apart
-    member = shared.join(big, "key", "left_semi").select("key", "id", "size", "place").join(known.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = member.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low != high").drop("low", "high")
-    # a pair is taken at the first of these keys that both have; what the sketches tell apart never leaves the join
-    before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    mixed = written(mixed.withColumn("before", F.collect_list("key").over(before)), "mixed").join(heads.select("id", "sketch"), "id")
-    need = F.ceil((F.col("size") + F.col("osize")) * percent / (100.0 + percent) - 1e-9)
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, m: n + m)
-    apart = (F.col("label") != F.col("olabel")) & ~F.arrays_overlap("before", "obefore")
-    alike = (F.col("size") - lacks("sketch", "osketch") >= need) & (F.col("osize") - lacks("osketch", "sketch") >= need)
-    rest = written(beside(mixed).where(apart & alike).select(*ends).distinct().join(some, ["a", "b"], "left_anti"), "rest")
+    heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys", *_S, *_M).join(sized(nodes.select("id"), 16 * nodes.count()), "id", "left_semi")
+
+    # first step: neighbours by minhashes
+    links = _links(docs, nodes, heads, written(neighbours(heads, percent), "beside"), bits, n, percent)
+    known = written(connected_components(links), "known")
+
+    # second step: pairs that share a prefix key across components
+    label = sized(known.select(F.col("node").alias("id"), F.col("component").alias("label")), 24 * known.count())
+    each = heads.select("id", "size", "keys").join(label, "id", "left").select("id", "size", F.coalesce("label", "id").alias("label"), F.posexplode("keys").alias("place", "key"))
+    mixed = written(each.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), "mixed")
+    member = written(each.join(sized(mixed, 16 * mixed.count()), "key", "left_semi"), "member")
+    some = written(member.select("id").distinct(), "ids")
+    sketches = heads.select("id", *_S).join(sized(some, 16 * some.count()), "id", "left_semi")
+    member = written(member.join(sketches, "id"), "sketched")
+    rest = written(_across(member, percent), "rest")
     more = _links(docs, nodes, heads, rest, bits, n, percent)
     final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
 
-    label = nodes.select("node", "id", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = label.join(least, "component").select("node", "component_id")
-    return table.select("doc_id", "n_shingles", "node").join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.join(sized(final, 24 * final.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    return table.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _across(member: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of different labels under one key whose sizes, places and sketches leave room for the needed overlap."""
+    x, y = member.alias("x"), member.alias("y")  # the same table twice: its exchange is made once
+    need = F.ceil((F.col("x.size") + F.col("y.size")) * percent / (100.0 + percent) - 1e-9)
+    lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(f"{q}.{c}"))) for c in _S), F.lit(0))
+    fits = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.col("x.size") * percent <= F.col("y.size") * 100)
+        & (F.col("y.size") * percent <= F.col("x.size") * 100)
+        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
+        & (F.col("x.size") - lacks("x", "y") >= need)
+        & (F.col("y.size") - lacks("y", "x") >= need)
+    )
+    return x.join(y.hint("merge"), fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
     """The pairs that link: a first walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
-    pairs = written(linked(pairs, heads.drop("sketch"), percent), "possible")
+    pairs = written(linked(pairs, heads.select("id", "size", "keys"), percent), "possible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
     size = 24 * wanted.count()
-    texts = docs.select("doc_id", "text").join(sized(wanted.select("first").distinct(), size), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    got = key_table(texts, bits, n, percent, whole=True).join(sized(wanted.select("node", "id"), 2 * size), "node")
+    texts = docs.select("doc_id", "text")
+    if size <= BROADCAST_BYTES:
+        found = key_table(texts.join(F.broadcast(wanted.select("first").distinct()), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi"), bits, n, percent, whole=True)
+    else:  # texts never shuffle: a bitmap of bounded size tells which are wanted, a few others pass and go in the next join
+        found = key_table(texts.withColumn("at", hash_place("doc_id", WANTED_BITS)), bits, n, percent, whole=True, wanted=bitmap(wanted))
+    got = found.join(sized(wanted.select("node", "id"), 2 * size), "node")
     # repeated rows give a set twice, and then a link twice: no harm
     sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")
     return written(linked(pairs, sets, percent).distinct(), "links")

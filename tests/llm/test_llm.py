@@ -208,7 +208,7 @@ def brute_components(rows, n, percent):
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_jaccard(spark, docs, n, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 8)
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0 if n == 5 else 1 << 20)
     rng = random.Random(6)
     stem = prose(rng, 80).split()
     rows = [(500 + i, " ".join(w if rng.random() > 0.02 * (i % 4) else prose(rng, 1) for w in stem)) for i in range(60)]
