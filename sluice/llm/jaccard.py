@@ -9,9 +9,9 @@ subtree is left as soon as the lengths that remain cannot reach the needed overl
 
 Verification runs in two steps, neither of which drops a link between components.  First neighbours in the order of a
 few minhashes of whole sets are verified; their links give provisional components, which melts groups of near copies
-however large, since documents of one component need not be compared again.  Then every pair that shares a prefix key
-across two components is verified.  Keys inside one component, found by partial sums before any shuffle, are left out;
-a hot key that is left is joined by sort and merge, whose skewed partitions Spark splits.
+however large.  Then every two components that share a prefix key are verified: the nodes of the smaller one walk the
+prefix trees of the larger one, whose nodes stand in blocks.  A set is sent once to a block, not once for each pair,
+and one link of a node with a block is enough, since a block is part of one component.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a text of fewer than n words is one
 shingle; rows sharing a doc_id are judged each by its own text; a row without a doc_id gets the component of the
@@ -44,8 +44,10 @@ LOCAL = 5
 SKETCH = 512
 #: Minhashes whose order makes the first step's neighbours.
 MINHASHES = 4
-#: Candidates verified in one tree.
-TREE = 512
+#: Sets in one tree, probes of one copy of a tree.
+TREE, PROBES = 256, 2_048
+#: Neighbours looked at and taken for a node in each order of the first step.
+LOOK, TAKE = 6, 2
 CACHE = 300_000
 #: Bits of the map of wanted documents, where they are too many to broadcast.
 WANTED_BITS = 1 << 28
@@ -146,45 +148,58 @@ def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int = PERCENT):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def overlaps(probe: np.ndarray, size: int, members: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[bool]:
-    """Which members can link with probe, by one walk of the members' prefix tree; exact if the sets are whole.
+class PrefixTree:
+    """Sets of keys in order of their sequences, with the lengths of common paths: a trie, read depth first.
 
-    Sets may be given by their first keys alone, their sizes telling how many there are.  The tree is held as the
-    members in order of their key sequences with the lengths of common paths; counts of overlap along the current path
-    are kept, so a shared path is counted once.
+    Sets may be given by their first keys alone, their sizes telling how many there are.
     """
-    seen_all = len(probe) == size
-    raw = [m.astype(">u8").tobytes() for m in members]
-    order = sorted(range(len(members)), key=raw.__getitem__)
-    out = [False] * len(members)
-    path, counted = np.empty(0, np.uint64), np.zeros(1, np.int64)  # counted[i]: overlap of the path's first i keys
-    for i in order:
-        m = members[i]
-        least = int(needed(size, sizes[i], percent))
-        # past the end of what is known of the probe nothing can be told
-        end = len(m) if seen_all else int(np.searchsorted(m, probe[-1], "right"))
-        k = min(len(path), end, len(counted) - 1)
-        differ = np.flatnonzero(path[:k] != m[:k])
-        depth = int(differ[0]) if len(differ) else k
-        counts = [counted[: depth + 1]]
-        have = int(counted[depth])
-        while True:
-            met = int(np.searchsorted(probe, m[depth - 1], "right")) if depth else 0
-            if have + min(size - met, sizes[i] - depth) < least:
-                break  # nothing below this place can reach the needed overlap
-            if depth == end:
-                if not seen_all and end < len(m):
-                    met = len(probe)
-                out[i] = have + min(size - met, sizes[i] - depth) >= least
+
+    def __init__(self, members: list[np.ndarray], sizes: list[int]):
+        raw = [m.astype(">u8").tobytes() for m in members]
+        self.order = sorted(range(len(members)), key=raw.__getitem__)
+        self.members, self.sizes = members, sizes
+
+    def reach(self, probe: np.ndarray, size: int, percent: int = PERCENT, among: np.ndarray | None = None, first: bool = False) -> list[int]:
+        """The members (of those that `among` flags) that can link with probe, by one walk; exact if the sets are whole.
+
+        Counts of overlap along the current path are kept, so a shared path is counted once; with `first` the walk ends
+        at the first member found.
+        """
+        seen_all = len(probe) == size
+        out: list[int] = []
+        path, counted = np.empty(0, np.uint64), np.zeros(1, np.int64)  # counted[i]: overlap of the path's first i keys
+        for i in self.order:
+            if among is not None and not among[i]:
+                continue
+            m = self.members[i]
+            least = int(needed(size, self.sizes[i], percent))
+            # past the end of what is known of the probe nothing can be told
+            end = len(m) if seen_all else int(np.searchsorted(m, probe[-1], "right"))
+            k = min(len(path), end, len(counted) - 1)
+            differ = np.flatnonzero(path[:k] != m[:k])
+            depth = int(differ[0]) if len(differ) else k
+            counts = [counted[: depth + 1]]
+            have = int(counted[depth])
+            while True:
+                met = int(np.searchsorted(probe, m[depth - 1], "right")) if depth else 0
+                if have + min(size - met, self.sizes[i] - depth) < least:
+                    break  # nothing below this place can reach the needed overlap
+                if depth == end:
+                    if not seen_all and end < len(m):
+                        met = len(probe)
+                    if have + min(size - met, self.sizes[i] - depth) >= least:
+                        out.append(i)
+                    break
+                step = m[depth : min(end, depth + 64)]
+                place = np.searchsorted(probe, step)
+                hit = (place < len(probe)) & (probe[np.minimum(place, len(probe) - 1)] == step)
+                more = have + np.cumsum(hit)
+                counts.append(more)
+                have, depth = int(more[-1]), depth + len(step)
+            path, counted = m, np.concatenate(counts)
+            if first and out:
                 break
-            step = m[depth : min(end, depth + 64)]
-            place = np.searchsorted(probe, step)
-            hit = (place < len(probe)) & (probe[np.minimum(place, len(probe) - 1)] == step)
-            more = have + np.cumsum(hit)
-            counts.append(more)
-            have, depth = int(more[-1]), depth + len(step)
-        path, counted = m, np.concatenate(counts)
-    return out
+        return out
 
 
 def _keys(column: pa.Array) -> list[np.ndarray]:
@@ -194,37 +209,54 @@ def _keys(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(k, np.uint64) for k in column.to_pylist()]
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) whose sets (id, size, keys) link, or, of sets known by their first keys, can link."""
-    # a probe with many candidates is asked in several parts, each of about TREE of them
-    many = pairs.groupBy("a").count().where(F.col("count") > TREE).select("a", F.ceil(F.col("count") / TREE).cast("int").alias("parts"))
-    many = written(many, "many")
-    asked = pairs.join(sized(many, 24 * many.count()), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("chunk"))
-    asked = written(asked, "pairs")
-    members = asked.join(sets, F.col("b") == F.col("id")).select("a", "chunk", "b", "size", "keys")
-    probes = asked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "size", "keys")
-    together = probes.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
+    """(a, b, label, part): probes `asked` (a, label, part) against the members (label, part, b) of the same block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(rows: list) -> list:
-            flags = overlaps(rows[0][3], rows[0][2], [r[3] for r in rows[1:]], [r[2] for r in rows[1:]], percent)
-            return [(r[0], r[1]) for r, ok in zip(rows[1:], flags, strict=True) if ok]
+    sets (id, size, keys, and the sketch's columns where at hand) are whole or known by their first keys; pairs whose
+    sketches or walk leave no room are left out.  A block with many probes is copied for every PROBES of them.
+    """
+    sketched = [c for c in _S if c in sets.columns]
+    many = written(asked.groupBy("label", "part").count().where(F.col("count") > PROBES).select("label", "part", F.ceil(F.col("count") / PROBES).cast("int").alias("copies")), "many")
+    copies = sized(many, 32 * many.count())
+    asked = asked.join(copies, ["label", "part"], "left").select("a", "label", "part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
+    members = members.join(copies, ["label", "part"], "left").select("b", "label", "part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    probes = asked.select("label", "part", "copy", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(members.select("label", "part", "copy", F.lit(0).alias("role"), F.col("b").alias("id")))
+    block = ["label", "part", "copy"]
+    together = probes.join(sets, "id").select(*block, "role", "id", "size", "keys", *sketched).repartition(*block).sortWithinPartitions(*block, "role", "id")
 
-        held: list = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, tree, bits, sizes = None, [], None, None, None
         for batch in batches:
-            found = []
-            for a, b, n, k in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("size").to_pylist(), _keys(batch.column("keys")), strict=True):
-                if b is None:
-                    if held:
-                        found += judged(held)
-                    held = []
-                held.append((a, b, n, k))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        if held:
-            found = judged(held)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return together.mapInArrow(run, "a long, b long")
+            found: list = []
+            columns = [batch.column(c).to_pylist() for c in (*block, "role", "id", "size")]
+            marks = np.stack([batch.column(c).to_numpy() for c in sketched], axis=1) if sketched else None
+            for n, (label, part, copy, role, i, size, keys) in enumerate(zip(*columns, _keys(batch.column("keys")), strict=True)):
+                if (label, part, copy) != at:
+                    at, held, tree = (label, part, copy), [], None
+                if role == 0:
+                    held.append((i, size, keys.copy(), marks[n].copy() if sketched else None))
+                    continue
+                if not held:
+                    continue
+                if tree is None:
+                    tree, sizes = PrefixTree([h[2] for h in held], [h[1] for h in held]), np.array([h[1] for h in held], np.int64)
+                    bits = np.stack([h[3] for h in held]) if sketched else None
+                among = (sizes * percent <= size * 100) & (size * percent <= sizes * 100)
+                if sketched:
+                    among &= _roomy(marks[n], size, bits, sizes, percent)
+                if among.any():
+                    found += [(i, held[m][0], label, part) for m in tree.reach(keys, size, percent, among, first)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "label", "part"])
+
+    return together.mapInArrow(run, "a long, b long, label long, part int")
+
+
+def _roomy(mark: np.ndarray, size: np.ndarray | int, marks: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches leave room for the needed overlap."""
+    need = needed(size, sizes, percent)
+    lacks = np.bitwise_count((mark & ~marks).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    others = np.bitwise_count((marks & ~mark).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (size - lacks >= need) & (sizes - others >= need)
 
 
 def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
@@ -276,26 +308,40 @@ def hash_place(column: str, bits: int) -> Column:
 
 
 def neighbours(heads: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes that stand side by side when those with an equal minhash are ordered by the next one.
+    """(a, b): of the nodes before it in the order of a shared minhash and the next one, a few that can link with a node.
 
-    Rows are dealt by ranges of that order, so a minhash that a third of all nodes share is split like any other.
+    Only minhashes that occur again are dealt, by ranges of that order: one that a third of all nodes share is split.
     """
     turns = [F.struct(F.lit(i).alias("i"), F.col(_M[i]).alias("m"), F.col(_M[(i + 1) % MINHASHES]).alias("next")) for i in range(MINHASHES)]
-    each = heads.select("id", "size", F.explode(F.array(*turns)).alias("t")).select("t.*", "id", "size")
+    each = heads.select("id", "size", *_S, F.explode(F.array(*turns)).alias("t")).select("t.*", "id", "size", *_S)
+    again = written(each.groupBy("i", "m").count().where("count > 1").select("i", "m"), "again")
+    each = each.join(sized(again, 24 * again.count()), ["i", "m"], "left_semi")
     order = ["i", "m", "next", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            i, m, ids, size = (batch.column(c).to_numpy() for c in ("i", "m", "id", "size"))
-            if last is not None:
-                i, m, ids, size = (np.append(x, y) for x, y in zip(last, (i, m, ids, size), strict=True))
-            met = (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (ids[1:] != ids[:-1])
-            low, high = np.minimum(size[1:], size[:-1]).astype(np.int64), np.maximum(size[1:], size[:-1]).astype(np.int64)
-            met &= high * percent <= low * 100
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[1:], ids[:-1])[met]), pa.array(np.maximum(ids[1:], ids[:-1])[met])], names=["a", "b"])
-            if len(i):
-                last = (i[-1:], m[-1:], ids[-1:], size[-1:])
+            now = [batch.column(c).to_numpy() for c in ("i", "m", "id", "size", *_S)]
+            old = len(last[0]) if last else 0
+            if last:
+                now = [np.append(x, y) for x, y in zip(last, now, strict=True)]
+            i, m, ids, size = now[0], now[1], now[2], now[3].astype(np.int64)
+            marks = np.stack(now[4:], axis=1)
+            taken, pairs = np.zeros(len(ids), np.int64), []
+            for lag in range(1, LOOK + 1):
+                to = np.arange(max(lag, old), len(ids))
+                to = to[(taken[to] < TAKE) & (i[to] == i[to - lag]) & (m[to] == m[to - lag]) & (ids[to] != ids[to - lag])]
+                p, q = size[to], size[to - lag]
+                need = needed(p, q, percent)
+                x, y = marks[to], marks[to - lag]
+                lacks = np.bitwise_count((x & ~y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                others = np.bitwise_count((y & ~x).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                to = to[(np.maximum(p, q) * percent <= np.minimum(p, q) * 100) & (p - lacks >= need) & (q - others >= need)]
+                taken[to] += 1
+                pairs.append((ids[to], ids[to - lag]))
+            a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            last = [x[-LOOK:] for x in now]
 
     return each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
@@ -315,19 +361,22 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     heads = table.select(F.col("row").alias("id"), F.col("n_shingles").cast("int").alias("size"), "keys", *_S, *_M).join(sized(nodes.select("id"), 16 * nodes.count()), "id", "left_semi")
 
     # first step: neighbours by minhashes
-    links = _links(docs, nodes, heads, written(neighbours(heads, percent), "beside"), bits, n, percent)
-    known = written(connected_components(links), "known")
-
-    # second step: pairs that share a prefix key across components
-    label = sized(known.select(F.col("node").alias("id"), F.col("component").alias("label")), 24 * known.count())
-    each = heads.select("id", "size", "keys").join(label, "id", "left").select("id", "size", F.coalesce("label", "id").alias("label"), F.posexplode("keys").alias("place", "key"))
+    beside = written(neighbours(heads, percent), "beside")
+    alone = lambda pairs: (pairs.select("a", F.col("a").alias("label"), F.lit(0).alias("part")).distinct(), pairs.select(F.col("a").alias("label"), F.lit(0).alias("part"), "b").distinct())
+    links = _links(docs, nodes, heads, *alone(beside), bits, n, percent, False)
+    known = connected_components(links)
+    counts = known.groupBy("component").count().withColumnRenamed("count", "n")
+    known = written(known.join(counts, "component").select(F.col("node").alias("id"), F.col("component").alias("label"), "n", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TREE)).cast("int").alias("part")), "known")
+
+    # second step: components that share a prefix key
+    each = heads.select("id", "size", "keys").join(sized(known, 40 * known.count()), "id", "left")
+    each = each.select("id", "size", F.coalesce("label", "id").alias("label"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("part", F.lit(0)).alias("part"), F.posexplode("keys").alias("place", "key"))
     mixed = written(each.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), "mixed")
     member = written(each.join(sized(mixed, 16 * mixed.count()), "key", "left_semi"), "member")
-    some = written(member.select("id").distinct(), "ids")
-    sketches = heads.select("id", *_S).join(sized(some, 16 * some.count()), "id", "left_semi")
-    member = written(member.join(sketches, "id"), "sketched")
-    rest = written(_across(member, percent), "rest")
-    more = _links(docs, nodes, heads, rest, bits, n, percent)
+    asked = written(_asked(member, percent), "asked")
+    blocks = written(asked.select("label", "part").distinct(), "blocks")
+    others = member.select("label", "part", F.col("id").alias("b")).distinct().join(sized(blocks, 24 * blocks.count()), ["label", "part"], "left_semi")
+    more = _links(docs, nodes, heads, asked, others, bits, n, percent, True)
     final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
 
     named = nodes.join(sized(final, 24 * final.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -336,27 +385,24 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return table.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(member: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of different labels under one key whose sizes, places and sketches leave room for the needed overlap."""
-    x, y = member.alias("x"), member.alias("y")  # the same table twice: its exchange is made once
-    need = F.ceil((F.col("x.size") + F.col("y.size")) * percent / (100.0 + percent) - 1e-9)
-    lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(f"{q}.{c}"))) for c in _S), F.lit(0))
+def _asked(member: DataFrame, percent: int) -> DataFrame:
+    """(a, label, part): nodes and the blocks of larger components with which they share a key that leaves room."""
+    block = member.groupBy("key", "label", "n", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("place").alias("least")).alias("y")
+    x = member.alias("x")
+    need = F.ceil((F.col("x.size") + F.col("y.low")) * percent / (100.0 + percent) - 1e-9)
     fits = (
         (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (F.col("x.size") * percent <= F.col("y.size") * 100)
-        & (F.col("y.size") * percent <= F.col("x.size") * 100)
-        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
-        & (F.col("x.size") - lacks("x", "y") >= need)
-        & (F.col("y.size") - lacks("y", "x") >= need)
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.label") < F.col("y.label"))))
+        & (F.col("x.size") * percent <= F.col("y.high") * 100)
+        & (F.col("y.low") * percent <= F.col("x.size") * 100)
+        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.high") - F.col("y.least")) >= need)
     )
-    return x.join(y.hint("merge"), fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return x.join(block, fits).select(F.col("x.id").alias("a"), F.col("y.label").alias("label"), F.col("y.part").alias("part")).distinct()
 
 
-def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame, bits: np.ndarray, n: int, percent: int) -> DataFrame:
-    """The pairs that link: a first walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
-    pairs = written(linked(pairs, heads.select("id", "size", "keys"), percent), "possible")
+def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, asked: DataFrame, members: DataFrame, bits: np.ndarray, n: int, percent: int, first: bool) -> DataFrame:
+    """(a, b) that link: a walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
+    pairs = written(walked(asked, members, heads.select("id", "size", "keys", *_S), percent, False), "possible")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
     size = 24 * wanted.count()
@@ -366,6 +412,7 @@ def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame
     else:  # texts never shuffle: a bitmap of bounded size tells which are wanted, a few others pass and go in the next join
         found = key_table(texts.withColumn("at", hash_place("doc_id", WANTED_BITS)), bits, n, percent, whole=True, wanted=bitmap(wanted))
     got = found.join(sized(wanted.select("node", "id"), 2 * size), "node")
-    # repeated rows give a set twice, and then a link twice: no harm
+    # repeated rows give a set once more, and then a link: no harm
     sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")
-    return written(linked(pairs, sets, percent).distinct(), "links")
+    left, right = pairs.select("a", "label", "part").distinct(), pairs.select("label", "part", "b").distinct()
+    return written(walked(left, right, sets, percent, first).select("a", "b").distinct(), "links")

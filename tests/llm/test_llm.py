@@ -209,6 +209,8 @@ def brute_components(rows, n, percent):
 def test_jaccard(spark, docs, n, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 8)
     monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0 if n == 5 else 1 << 20)
+    monkeypatch.setattr(jaccard, "TREE", 5)
+    monkeypatch.setattr(jaccard, "PROBES", 2)
     rng = random.Random(6)
     stem = prose(rng, 80).split()
     rows = [(500 + i, " ".join(w if rng.random() > 0.02 * (i % 4) else prose(rng, 1) for w in stem)) for i in range(60)]
@@ -223,9 +225,10 @@ def test_overlaps_agree_with_sets():
     sets = [np.sort(rng.choice(pool[:160], rng.integers(1, 150), replace=False)) for _ in range(60)]
     for probe in sets[:20]:
         want = [100 * len(np.intersect1d(probe, m)) >= 60 * len(np.union1d(probe, m)) for m in sets]
-        assert jaccard.overlaps(probe, len(probe), sets, [len(m) for m in sets], 60) == want
-        part = jaccard.overlaps(probe[:30], len(probe), [m[:25] for m in sets], [len(m) for m in sets], 60)
-        assert all(p for p, w in zip(part, want, strict=True) if w)
+        tree = jaccard.PrefixTree(sets, [len(m) for m in sets])
+        assert sorted(tree.reach(probe, len(probe), 60)) == [i for i, w in enumerate(want) if w]
+        part = jaccard.PrefixTree([m[:25] for m in sets], [len(m) for m in sets]).reach(probe[:30], len(probe), 60)
+        assert {i for i, w in enumerate(want) if w} <= set(part)
 
 
 def test_jaccard_of_nothing(spark, empty):
