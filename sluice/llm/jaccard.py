@@ -209,46 +209,67 @@ def _keys(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(k, np.uint64) for k in column.to_pylist()]
 
 
-def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
-    """(a, b, label, part): probes `asked` (a, label, part) against the members (label, part, b) of the same block.
+def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, last: bool = False, first: bool = False) -> DataFrame:
+    """Probes `asked` (a, label, part) against the members (label, part, b) of the same block.
 
-    sets (id, size, keys, and the sketch's columns where at hand) are whole or known by their first keys; pairs whose
-    sketches or walk leave no room are left out.  A block with many probes is copied for every PROBES of them.
+    sets (id, size, and what is at hand of keys and the sketch's columns) are whole or known by their first keys.  The last
+    walk gives (a, b), with `first` one b for a probe and block; any other gives (label, part, role, id): the probes (role 1) and
+    members (role 0) with a partner that sizes, sketches and the walk leave room for.  A block with many probes is copied
+    for every PROBES of them.
     """
-    sketched = [c for c in _S if c in sets.columns]
+    sketched, keyed = [c for c in _S if c in sets.columns], "keys" in sets.columns
     many = written(asked.groupBy("label", "part").count().where(F.col("count") > PROBES).select("label", "part", F.ceil(F.col("count") / PROBES).cast("int").alias("copies")), "many")
     copies = sized(many, 32 * many.count())
     asked = asked.join(copies, ["label", "part"], "left").select("a", "label", "part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
     members = members.join(copies, ["label", "part"], "left").select("b", "label", "part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    probes = asked.select("label", "part", "copy", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(members.select("label", "part", "copy", F.lit(0).alias("role"), F.col("b").alias("id")))
+    rows = written(asked.select("label", "part", "copy", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(members.select("label", "part", "copy", F.lit(0).alias("role"), F.col("b").alias("id"))), "rows")
     block = ["label", "part", "copy"]
-    together = probes.join(sets, "id").select(*block, "role", "id", "size", "keys", *sketched).repartition(*block).sortWithinPartitions(*block, "role", "id")
+    # few rows go to the sets where they are, else both move; sets are the wide side
+    together = sets.join(sized(rows, 48 * rows.count()), "id").select(*block, "role", "id", "size", *(["keys"] if keyed else []), *sketched).repartition(*block).sortWithinPartitions(*block, "role", "id")
+    names, kinds = (["a", "b"], [pa.int64()] * 2) if last else (["label", "part", "role", "id"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, tree, bits, sizes = None, [], None, None, None
+        at, held, tree, bits, sizes, met = (0, 0, 0), [], None, None, None, None
+        found: list = []
+
+        def done() -> None:
+            if met is not None and not last:
+                found.extend((at[0], at[1], 0, held[m][0]) for m in np.flatnonzero(met).tolist())
+
         for batch in batches:
-            found: list = []
             columns = [batch.column(c).to_pylist() for c in (*block, "role", "id", "size")]
             marks = np.stack([batch.column(c).to_numpy() for c in sketched], axis=1) if sketched else None
-            for n, (label, part, copy, role, i, size, keys) in enumerate(zip(*columns, _keys(batch.column("keys")), strict=True)):
+            keys = _keys(batch.column("keys")) if keyed else [None] * batch.num_rows
+            for n, (label, part, copy, role, i, size) in enumerate(zip(*columns, strict=True)):
                 if (label, part, copy) != at:
-                    at, held, tree = (label, part, copy), [], None
+                    done()
+                    at, held, tree, met = (label, part, copy), [], None, None
                 if role == 0:
-                    held.append((i, size, keys.copy(), marks[n].copy() if sketched else None))
+                    held.append((i, size, keys[n].copy() if keyed else None, marks[n].copy() if sketched else None))
                     continue
                 if not held:
                     continue
-                if tree is None:
-                    tree, sizes = PrefixTree([h[2] for h in held], [h[1] for h in held]), np.array([h[1] for h in held], np.int64)
+                if met is None:
+                    met, sizes = np.zeros(len(held), bool), np.array([h[1] for h in held], np.int64)
+                    tree = PrefixTree([h[2] for h in held], [h[1] for h in held]) if keyed else None
                     bits = np.stack([h[3] for h in held]) if sketched else None
                 among = (sizes * percent <= size * 100) & (size * percent <= sizes * 100)
                 if sketched:
                     among &= _roomy(marks[n], size, bits, sizes, percent)
-                if among.any():
-                    found += [(i, held[m][0], label, part) for m in tree.reach(keys, size, percent, among, first)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "label", "part"])
+                if not among.any():
+                    continue
+                good = tree.reach(keys[n], size, percent, among, first) if keyed else np.flatnonzero(among)
+                met[good] = True
+                if last:
+                    found.extend((i, held[m][0]) for m in good)
+                elif len(good):
+                    found.append((label, part, 1, i))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=names)
+            found.clear()
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=names)
 
-    return together.mapInArrow(run, "a long, b long, label long, part int")
+    return together.mapInArrow(run, "a long, b long" if last else "label long, part int, role int, id long")
 
 
 def _roomy(mark: np.ndarray, size: np.ndarray | int, marks: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -401,10 +422,11 @@ def _asked(member: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, asked: DataFrame, members: DataFrame, bits: np.ndarray, n: int, percent: int, first: bool) -> DataFrame:
-    """(a, b) that link: a walk over the keys at hand leaves few, whose whole sets are then made from a text each."""
-    pairs = written(walked(asked, members, heads.select("id", "size", "keys", *_S), percent, False), "possible")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(nodes.select("node", "id", "first").join(ends, "id"), "wanted")
+    """(a, b) that link: sketches, then a walk over the keys at hand leave few, whose whole sets are then made from a text each."""
+    both = lambda rows: (rows.where("role = 1").select(F.col("id").alias("a"), "label", "part").distinct(), rows.where("role = 0").select("label", "part", F.col("id").alias("b")).distinct())
+    some = written(walked(asked, members, heads.select("id", "size", *_S), percent), "sketched")
+    some = written(walked(*both(some), heads.select("id", "size", "keys", *_S), percent), "possible")
+    wanted = written(nodes.select("node", "id", "first").join(some.select("id").distinct(), "id"), "wanted")
     size = 24 * wanted.count()
     texts = docs.select("doc_id", "text")
     if size <= BROADCAST_BYTES:
@@ -414,5 +436,4 @@ def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, asked: DataFrame
     got = found.join(sized(wanted.select("node", "id"), 2 * size), "node")
     # repeated rows give a set once more, and then a link: no harm
     sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")
-    left, right = pairs.select("a", "label", "part").distinct(), pairs.select("label", "part", "b").distinct()
-    return written(walked(left, right, sets, percent, first).select("a", "b").distinct(), "links")
+    return written(walked(*both(some), sets, percent, last=True, first=first).distinct(), "links")
