@@ -80,22 +80,41 @@ def test_ann(spark, limit):
     x = rng.standard_normal((400, 16)).astype("float32")
     x[50:120] = x[7]  # a common vector
     rows = [(i, v.tolist(), "c") for i, v in enumerate(x)]
+    rows += [rows[150]] * 14 + [rows[200]] * 3  # repeated rows count once
+    rows += [(450, (x[5] * 40).tolist(), "c")]  # far from all others
     rows += [(900, None, "c"), (1000, [0.0] * 16, "c"), (1100, [float("nan")] * 16, "c"), (1200, [1.0, None] * 8, "c"), (None, x[3].tolist(), "c"), (1300, [1.0], "c"), (1400, [float("inf")] * 16, "c"), (1500, [], "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string").repartition(4)
     got: dict = {}
     for r in ann.nearest(df, F.col("id") % 50 == 0, limit=limit).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 400, 50))  # the vector of another length has no candidates
+    assert set(got) == set(range(0, 451, 50)) - {400}  # the vector of another length has no candidates
     hits = 0
     for q, found in got.items():
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        want = sorted((d[i], i) for i in range(400) if i != q)[:10]
+        all_x = {**dict(enumerate(x)), 450: x[5] * 40}
+        d = {i: np.sqrt(((v.astype(float) - all_x[q].astype(float)) ** 2).sum()) for i, v in all_x.items()}
+        want = sorted((d[i], i) for i in d if i != q)[:10]
+        assert q != 450 or {v for _, v, _ in found} == {i for _, i in want}
         assert [r for r, _, _ in sorted(found)] == list(range(1, 11))
         assert all(s == d[v] for _, v, s in found) and [(s, v) for _, v, s in sorted(found)] == sorted((s, v) for _, v, s in found)
         hits += len({v for _, v, _ in found} & {i for _, i in want})
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("limit", [ann.BROADCAST_BYTES, 0])
+def test_ann_recall_on_the_table(spark, limit):
+    df = spark.read.parquet(f"{SF[:-5]}0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in df.collect() if r["embedding"] and None not in r["embedding"]]
+    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and v.any()]
+    found = Counter((r["query_id"], r["vec_id"]) for r in ann.nearest(df, F.col("id") % 100 == 0, limit=limit).collect())
+    hits = total = 0
+    for q, v in rows:
+        if q % 100 == 0:
+            want = sorted((np.sqrt(((w - v) ** 2).sum()), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+            hits, total = hits + sum((q, i) in found for _, i in want), total + len(want)
+    assert hits >= 0.9 * total > 0
+
+
 def test_ann_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
