@@ -12,10 +12,12 @@ of every position of the corpus would be moved once per byte; here only suffixes
 
 Keys with more than `hot` different contexts (a passage in a third of all documents, each time in other
 surroundings) are split further by the bytes that a few neighbouring windows have in common, which equal windows
-share too.  Nothing is dropped: what does not meet cannot be equal.
+share too; equal pieces collapse to one with a count, by partial sums before the shuffle.  Where more than `hot`
+different pieces still share those bytes, each window stands for itself and is counted by a 128-bit digest.  So no task
+holds more than `hot` pieces of one group.  Nothing is dropped: what does not meet cannot be equal.
 
 Defined cases: a null text counts as empty; texts shorter than `span` lose nothing; equal rows are copies of
-each other; an empty table gives no rows; extra columns are ignored.
+each other; texts of any length are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -237,20 +239,20 @@ def _spans(flags: np.ndarray, shift: int) -> list[dict]:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, n_bytes: int, span: int) -> DataFrame:
-    """The bytes of the wanted contexts: (key, context, times, hot) and the first window's offset, windows, core, data."""
+    """The bytes of the wanted contexts: (key, context, times) and the first window's offset, windows, core, data, a digest of it and hot."""
     lists = wanted.groupBy("row_key").agg(F.collect_list(F.struct("lo", "n", "key", "context", "times", "hot")).alias("wanted"))
     joined = docs.join(sized(lists, n_bytes), "row_key").dropDuplicates(["row_key"]) if n_bytes else docs.join(lists, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "context", "times", "shift", "core", "windows", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["key", "context", "times", "shift", "core", "windows", "data", "digest", "hot"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
         for batch, texts in text_slices(batches, max_bytes=2 << 20):
             out: list[tuple] = []
             for text, rows in zip(texts, batch.column("wanted").to_pylist(), strict=True):
                 for w in rows:
                     lo, n = w["lo"], w["n"]
                     if not w["hot"]:
-                        out.append((w["key"], w["context"], w["times"], 0, 0, n, text[lo : lo + n + span - 1]))
+                        out.append((w["key"], w["context"], w["times"], 0, 0, n, text[lo : lo + n + span - 1], None, False))
                         continue
                     # windows by their distance to their first smallest gram, a few at a time, keyed by the bytes these have in common
                     h = gram_hashes(np.frombuffer(text[lo : lo + n + span - 1], np.uint8)).view(np.int64)
@@ -263,10 +265,11 @@ def _contexts(docs: DataFrame, wanted: DataFrame, n_bytes: int, span: int) -> Da
                         top, bottom = int(part[a]) * CHUNK + CHUNK - 1, int(part[a]) * CHUNK
                         core = text[anchor - bottom : anchor - top + span]
                         digest = hashlib.blake2b(core, digest_size=8, salt=bytes([int(part[a])])).digest()
-                        out.append((w["key"], w["context"], w["times"], a, int.from_bytes(digest, "little", signed=True), b - a, text[lo + a : lo + b + span - 1]))
+                        data = text[lo + a : lo + b + span - 1]
+                        out.append((w["key"], w["context"], w["times"], a, int.from_bytes(digest, "little", signed=True), b - a, data, hashlib.blake2b(data, digest_size=16).digest(), True))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return joined.select("text", "wanted").mapInArrow(run, "key long, context long, times long, shift int, core long, windows int, data binary")
+    return joined.select("text", "wanted").mapInArrow(run, "key long, context long, times long, shift int, core long, windows int, data binary, digest binary, hot boolean")
 
 
 def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
@@ -296,7 +299,18 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     sure = plain.where("times > 1").select("key", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b"))).alias("spans"))
     look = classes.join(mixed.select("key", "hot"), "key").unionByName(plain.where("times = 1 and again").withColumn("hot", F.lit(False)))
     wanted = written(look.select("key", "context", "times", "hot", "at.*"), "wanted")
-    contexts = _contexts(docs, wanted, 48 * wanted.count(), span)
+    contexts = written(_contexts(docs, wanted, 48 * wanted.count(), span), "contexts")
+    # equal pieces of hot keys collapse before they move; a group that still has too many is told apart window by window
+    piece = ["key", "core", "digest"]
+    pieces = written(contexts.where("hot").groupBy(*piece).agg(F.sum("times").alias("times"), F.min("windows").alias("windows"), F.min("data").alias("data")), "pieces")
+    full = written(pieces.groupBy("key", "core").count().where(F.col("count") > hot).select("key", "core"), "full")
+    held_full = sized(full, 24 * full.count())
+    window = pieces.join(held_full, ["key", "core"], "left_semi").select(*piece, "times", "data", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
+    window = written(window.select(*piece, "times", "i", F.md5(F.substring("data", F.col("i") + 1, F.lit(span))).alias("window")), "single")
+    again = written(window.groupBy("window").agg(F.sum("times").alias("times")).where("times > 1").select("window"), "again")
+    single = window.join(sized(again, 64 * again.count()), "window", "left_semi").groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")))).alias("spans"))
+    few = pieces.join(held_full, ["key", "core"], "left_anti").select("key", F.lit(None).cast("long").alias("context"), "times", F.lit(0).alias("shift"), "core", "windows", "data", "digest")
+    sorted_apart = contexts.where("not hot").drop("hot").unionByName(few)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sort(rows: list) -> pa.RecordBatch:
@@ -305,7 +319,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
             spans = [_spans(f, r[3]) for f, r in zip(flags, rows, strict=True)]
             some = [i for i, s in enumerate(spans) if s]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array([spans[i] for i in some], kind)], names=["key", "context", "spans"])
+            return pa.RecordBatch.from_arrays([*(pa.array([rows[i][c] for i in some], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (4, pa.int64()), (7, pa.binary()))), pa.array([spans[i] for i in some], kind)], names=["key", "context", "core", "digest", "spans"])
 
         held: list = []
         size, last = 0, None
@@ -320,10 +334,17 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
         if held:
             yield sort(held)
 
-    together = contexts.repartition("key", "core").sortWithinPartitions("key", "core")
-    found = together.mapInArrow(judge, "key long, context long, spans array<struct<a:int,b:int>>").unionByName(sure)
+    together = sorted_apart.repartition("key", "core").sortWithinPartitions("key", "core")
+    judged = written(together.mapInArrow(judge, "key long, context long, core long, digest binary, spans array<struct<a:int,b:int>>"), "judged")
+    # pieces tell their contexts, each from its own offset
+    told = written(judged.where("context is null").select(*piece, "spans").unionByName(single), "told")
+    size = told.agg(F.sum(48 + 8 * F.size("spans")).cast("long")).first()[0] or 0
+    shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b")))
+    back = contexts.where("hot").select(*piece, "context", "shift").join(sized(told, size), piece).select("key", "context", shifted.alias("spans"))
+    found = judged.where("context is not null").select("key", "context", "spans").unionByName(back).unionByName(sure)
     found = written(found, "found")
-    each = met.select("row_key", "lo", "key", "context").join(found, ["key", "context"])
+    size = found.agg(F.sum(32 + 8 * F.size("spans")).cast("long")).first()[0] or 0
+    each = met.select("row_key", "lo", "key", "context").join(sized(found, size), ["key", "context"])
     ranges = each.select("row_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"] + span - 1).alias("b")))).alias("r"))
     ranges = written(ranges.groupBy("row_key").agg(F.array_sort(F.collect_list("r")).alias("removed")), "ranges")
     size = ranges.agg(F.sum(16 + 8 * F.size("removed")).cast("long")).first()[0] or 0
