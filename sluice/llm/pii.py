@@ -1,15 +1,18 @@
 """Personal data by weak supervision.
 
 Candidates are spans that look like personal data: valid emails, IPv4 addresses, payment cards and phone
-numbers (the base, always kept) and weaker look-alikes.  Labelers (strict pattern, loose pattern, checksum,
-gazetteer, context words, shape) vote yes, no or abstain on each candidate.  Votes of all candidates of the
-corpus are counted by pattern; expectation-maximisation over the counts estimates how reliable each labeler
-is; a logistic regression learns the resulting soft labels from the votes and the span's form and decides
-every span in the end.  Patterns are a bounded set (kinds x 3**labelers x forms), so both
-models are fitted on exact counts over all rows, however many.
-
-Defined cases: a null text counts as empty and has no spans; repeated rows get equal results; with no
-candidates anywhere only base rules remain; extra columns are ignored; any length of text is read whole.
+numbers (the base, always kept) and weaker look-alikes: spelt-out addresses, grouped digits, long runs of letters and
+digits.  Many look-alikes are none: order numbers, dates, digits without a checksum.  Six labelers (shape, checksum or
+charset, gazetteer, context words, neighbouring characters, length) vote yes, no or abstain on each candidate, and
+they disagree.  Votes of all candidates of the corpus are counted by pattern; expectation-maximisation over the counts
+estimates, for every kind apart (drawn towards the estimate over all kinds where a kind is rare), how reliable each
+labeler is; a logistic regression learns the resulting soft labels from the votes and the span's form and decides every
+look-alike in the end.  Patterns are a bounded set (kinds x 3**labelers x forms), so both models are fitted on exact
+counts over all rows, however many.
+
+Defined cases: a null text counts as empty and has no spans; an empty table gives no rows; repeated rows get equal
+results and count each; a chance of exactly one half is accepted; with no candidates anywhere only base rules remain;
+extra columns are ignored; any length of text is read whole.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE = re.compile(
     r"(?P<contact>(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,12}){1,3})"
     r"|(?P<number>(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![0-9A-Za-z]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{16,128}(?![A-Za-z0-9]))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?:(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{16,128}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9]))"
 )
 #: Word lists of the gazetteer and context labelers.
 DOMAINS = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu"}
@@ -86,19 +89,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def pattern(text: str, start: int, end: int, kind: int) -> int:
     """The votes (0 no, 1 abstain, 2 yes) of all labelers and the span's form, as one number."""
-    span, before = text[start:end], text[max(0, start - 32) : start]
-    digits = [c for c in span if "0" <= c <= "9"]
-    share = len(digits) / max(1, len(span))
-    votes = [
-        2 if kind < 4 else 1,
-        1 if kind < 4 else 2 if len(span) >= 9 else 0,
-        1 if kind not in (2, 5) else 2 if luhn("".join(digits)) else 0,
-        (2 if span.rpartition(".")[2].lower() in DOMAINS else 0) if kind in (0, 4) else 2 if span.startswith(("+1", "+4", "AKIA", "ghp", "sk")) else 1,
-        2 if YES.search(before) else 0 if NO.search(before) else 1,
-        2 if kind in (0, 4) or share >= 0.6 or (kind == 6 and len(set(span)) >= 10) else 0 if share < 0.2 else 1,
-    ]
+    span, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 2]
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    share, letters = len(digits) / max(1, len(span)), sum(c.isalpha() for c in span)
+    name = ALL_KINDS[kind]
+    yes_no = lambda yes, no: 2 if yes else 0 if no else 1
+    if name == "number":
+        groups = [len(g) for g in re.findall("[0-9]+", span)]
+        shape = yes_no(groups == [3, 3, 4], len(digits) < 9 or groups[0] == 4 or groups == [2, 2, 4])
+        check = yes_no(False, len(set(digits)) <= 2)
+        known = yes_no(span.startswith("("), digits[:2] in ("19", "20") and len(digits) <= 8)
+        beside = yes_no(before.endswith((": ", "= ", "tel ")), before.rstrip()[-1:].isdigit() or after.strip()[:1].isdigit())
+        length = yes_no(len(digits) in (10, 11), len(digits) < 9)
+    elif name == "secret":
+        shape = yes_no(letters and digits and (span.isupper() or span.islower()), not letters)
+        check = yes_no(len(set(span)) >= 10 and letters, luhn(digits) is False if not letters else len(set(span)) <= 5)
+        known = yes_no(span.startswith(("AKIA", "ghp", "xox", "sk", "eyJ")), len(digits) <= 2 and letters > 20 and not span.isupper())
+        beside = yes_no(before[-1:] in tuple("=:\"'") and before, before[-1:] in tuple("/.-#") or (not letters and before[-1:].isspace()))
+        length = yes_no(len(span) in (18, 20, 32, 40, 64), len(span) > 100 or not letters)
+    elif name == "contact":
+        shape = yes_no("dot" in span or re.search(r"\.[A-Za-z]{2,4}$", span), " " in span.strip() and "(" not in span and "[" not in span)
+        check = yes_no(False, len(span.split()) > 7)
+        known = yes_no(re.split(r"[ .)\]]", span.rstrip())[-1].lower() in DOMAINS, True)
+        beside = yes_no(before[-1:] in tuple(":<(") and before, False)
+        length = yes_no(len(span) >= 9, len(span) < 9)
+    else:
+        shape = 2
+        check = yes_no(name == "card" or (name == "email" and letters > 4), False)
+        known = yes_no(span.rpartition(".")[2].lower() in DOMAINS, True) if name == "email" else yes_no(name == "phone" and span[1] in "1234", name == "ip" and span.startswith(("0.", "127.", "255.")))
+        beside = yes_no(before[-1:] in tuple(":=<") and before, before[-1:] in tuple("v/") and before)
+        length = yes_no(len(span) >= 7, False)
+    context = yes_no(YES.search(before), NO.search(before))
     code = 0
-    for v in votes:
+    for v in (shape, check, known, context, beside, length):
         code = code * 3 + v
     form = min(3, len(span) // 10) * 2 + (share > 0.5)
     return (kind * 8 + form) * 3**LABELERS + code
@@ -120,23 +143,40 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return base, loose
 
 
-def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Patterns, the chance that each is personal data, and each labeler's vote shares given the truth (truth x labeler x vote)."""
-    codes = np.array(sorted(counts), np.int64)
-    n = np.array([counts[c] for c in codes.tolist()], float)
-    votes = np.stack([codes % 3**LABELERS // 3 ** (LABELERS - 1 - i) % 3 for i in range(LABELERS)], axis=1)
+def _em(votes: np.ndarray, n: np.ndarray, pull: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chances and vote shares by expectation-maximisation; `pull` (truth x labeler x vote) are counts drawn towards."""
     p = np.clip(0.5 + 0.12 * (votes - 1).sum(axis=1), 0.05, 0.95)  # the start: a majority vote
     given = np.full((2, LABELERS, 3), 1 / 3)
     for _ in range(rounds):
         for truth, share in ((1, p), (0, 1 - p)):
             for i in range(LABELERS):
-                got = np.bincount(votes[:, i], n * share, 3) + 1.0
+                got = np.bincount(votes[:, i], n * share, 3) + pull[truth, i]
                 got[1] = 0.0  # an abstention says nothing either way
                 given[truth, i] = got / got.sum()
                 given[truth, i, 1] = 1.0
-        prior = np.clip((n @ p) / max(1.0, n.sum()), 0.01, 0.99)
+        prior = np.clip((n @ p + 1) / (n.sum() + 2), 0.01, 0.99)
         odds = np.log(prior / (1 - prior)) + sum(np.log(given[1, i, votes[:, i]] / given[0, i, votes[:, i]]) for i in range(LABELERS))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return p, given
+
+
+def reliabilities(counts: dict[int, int], rounds: int = 50, strength: float = 8.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns, the chance that each is personal data, and the vote shares given the truth (kind x truth x labeler x vote).
+
+    Base kinds and look-alikes are estimated apart; each kind is drawn towards the estimate over its like by `strength` votes.
+    """
+    codes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[c] for c in codes.tolist()], float)
+    votes = np.stack([codes % 3**LABELERS // 3 ** (LABELERS - 1 - i) % 3 for i in range(LABELERS)], axis=1)
+    kinds = codes // 3**LABELERS // 8
+    # before any vote is seen: labelers are right more often than not
+    start = np.array([[[2.0, 0.0, 1.0]] * LABELERS, [[1.0, 0.0, 2.0]] * LABELERS])
+    p, given = np.zeros(len(codes)), np.full((len(ALL_KINDS), 2, LABELERS, 3), 1 / 3)
+    for like in (kinds < len(KINDS), kinds >= len(KINDS)):
+        if like.any():
+            pull = _em(votes[like], n[like], start, rounds)[1] * strength
+            for kind in np.unique(kinds[like]).tolist():
+                p[kinds == kind], given[kind] = _em(votes[kinds == kind], n[kinds == kind], pull, rounds)
     return codes, p, given
 
 

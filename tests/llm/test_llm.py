@@ -476,16 +476,57 @@ def test_email_search_agrees_with_the_pattern():
         assert [(s, e) for s, k, e in brute_base(t) if k == 0] == pii.emails(t)
 
 
+def _code(votes, kind=6, form=3):
+    code = 0
+    for v in votes:
+        code = code * 3 + v
+    return (kind * 8 + form) * 3**pii.LABELERS + code
+
+
 def test_em_tells_reliable_labelers():
-    good, bad = 0, 0
-    for v in (2, 2, 1, 2, 2, 2):
-        good = good * 3 + v
-    for v in (1, 0, 0, 1, 0, 0):
-        bad = bad * 3 + v
+    good, bad = _code((2, 2, 1, 2, 2, 2)), _code((0, 0, 1, 1, 0, 0))
     codes, p, _ = pii.reliabilities({good: 50, bad: 50})
     assert dict(zip(codes.tolist(), p > 0.5, strict=True)) == {good: True, bad: False}
 
 
+def test_em_overturns_a_majority():
+    # two labelers always agree, three vote by chance: where those two say no, three noisy yes do not count
+    counts = Counter()
+    for first in (0, 2):
+        for noise in np.ndindex(2, 2, 2):
+            counts[_code((first, first, *(2 * v for v in noise), 1))] += 40
+    against = _code((0, 0, 2, 2, 2, 1))
+    codes, p, given = pii.reliabilities(counts)
+    assert dict(zip(codes.tolist(), p, strict=True))[against] < 0.5
+    assert given[6, 1, 0, 2] > 0.9 and 0.3 < given[6, 1, 3, 2] < 0.7
+    chances = pii.span_classifier(counts)
+    assert chances[against] < 0.5 < chances[_code((2, 2, 0, 0, 0, 1))]
+
+
+def test_pii_refuses_lookalikes(spark):
+    rng = random.Random(8)
+    digits = lambda: next(d for _ in iter(int, 1) if not pii.luhn(d := "".join(rng.choices("0123456789", k=16))))
+    token = lambda: "".join(rng.choices("0123456789abcdef", k=17)) + "a"
+    rows = [(i, f"{prose(rng, 5)} {digits()} {prose(rng, 3)}" if i % 2 else f"{prose(rng, 5)} password={token()}1 {prose(rng, 3)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = pii.scan(df)
+    found = {r["doc_id"]: r for r in pii.accepted(scanned, pii.fit(scanned)).collect()}
+    assert all(len(found[i]["loose"]) == 1 and len(found[i]["spans"]) == 1 - i % 2 for i in range(200))
+    # the same by brute force: every candidate on its own, no patterns, no partitions
+    counts = Counter()
+    for _, t in rows:
+        counts.update(c for *_, c in pii.candidates(t)[1])
+    chances = pii.span_classifier(counts)
+    for i, t in rows:
+        want = [(s, k, e) for s, k, e, c in pii.candidates(t)[1] if chances[c] >= 0.5]
+        assert [tuple(x) for x in found[i]["spans"]] == sorted([*brute_base(t), *want])
+
+
+def test_pii_of_nothing(empty):
+    scanned = pii.scan(empty)
+    assert pii.accepted(scanned, pii.fit(scanned)).count() == 0 and pii.redact(empty).count() == 0
+
+
 def test_redaction(docs):
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert "a.b@c.de" not in got[20] and "[EMAIL]" in got[20] and "10.0.0.1" not in got[20] and "4111" not in got[20] and got[4] is None
