@@ -133,12 +133,14 @@ select sh.doc_id, cast(len(s) as bigint) as n_shingles, component_id from sh joi
 def _op8_sql() -> str:
     lower = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = lambda x: rf"regexp_extract_all({lower.format(x)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    held = ", ".join(f"('{label}', {sorted(set(licenses.words(t)))!r})" for label, t in licenses.TEMPLATES)
+    notices = [(label, sorted(set(licenses.words(naming))), sorted(set(licenses.words(t))), *licenses.SIZES[licenses.size_of(t)]) for label, naming, t in licenses.TEMPLATES]
+    held = ", ".join(f"({i}, '{label}', {naming!r}, {tw!r}, {block}, {block - longest + 1})" for i, (label, naming, tw, longest, block) in enumerate(notices))
     places = " union all ".join(f"select doc_id, '{label}' as label, unnest(list_filter(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ') = '{phrase}')) - 1 as k from w" for phrase, label in licenses.PHRASES.items() for n in [len(phrase.split())])
     return f"""
-with w as (select doc_id, {split("text")} as w from documents), t(label, tw) as (values {held}), pl as ({places}),
-b as (select doc_id, list_distinct({split("l")}) as bw from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l from documents)),
-m as (select doc_id, label, len(list_intersect(bw, tw)) / len(tw) as share from b, t where len(list_intersect(bw, tw)) >= {licenses.THRESHOLD} * len(tw) - 1e-9),
+with w as (select doc_id, {split("text")} as w from documents), t(number, label, naming, tw, size, step) as (values {held}), pl as ({places}),
+b as (select doc_id, size, step, list_distinct(w[k * step + 1:k * step + size]) as bw, k from (select doc_id, w, size, step, unnest(range(0, (greatest(len(w), 1) - 1) // step + 1)) as k from w, (select distinct size, step from t))),
+m0 as (select doc_id, k, b.size, number, label, tw, len(list_intersect(bw, tw)) / len(tw) as share from b join t using (size, step) where len(list_intersect(bw, tw)) >= {licenses.THRESHOLD} * len(tw) - 1e-9 and len(list_intersect(bw, naming)) = len(naming)),
+m as (select doc_id, label, share from m0 where not exists (select 1 from m0 o where o.doc_id = m0.doc_id and o.k = m0.k and o.size = m0.size and len(o.tw) > len(m0.tw) and len(list_intersect(o.tw, m0.tw)) = len(m0.tw))),
 base as (select doc_id, count(*) as n, min(k) as lo, max(k) as hi, string_agg(distinct label, ',' order by label) as labels from pl group by 1),
 every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from pl union all select doc_id, label from m) group by 1), best as (select doc_id, max(share) as share from m group by 1)
 select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(base.n, 0) as bigint) as n_base, cast(lo as bigint) as first_word, cast(hi as bigint) as last_word, coalesce(base.labels, '') as base_labels,

@@ -370,13 +370,17 @@ def brute_licenses(text):
         here = [i for i in range(len(w)) if w[i : i + len(p)] == p]
         places += here
         base |= {label} if here else set()
-    for line in (text or "").split("\n"):
-        held = set(alnum_words(line))
-        for label, t in licenses.TEMPLATES:
-            share = len(held & set(alnum_words(t))) / len(set(alnum_words(t)))
-            if share >= 0.8:
-                more.add(label)
-                best = max(best, share)
+    for longest, block in licenses.SIZES:
+        for start in range(0, max(1, len(w)), block - longest + 1):
+            held, met = set(w[start : start + block]), []
+            for label, naming, t in licenses.TEMPLATES:
+                template = set(alnum_words(t))
+                if licenses.SIZES[licenses.size_of(t)] == (longest, block) and set(alnum_words(naming)) <= held and len(held & template) >= 0.8 * len(template) - 1e-9:
+                    met.append((label, template, len(held & template) / len(template)))
+            for label, template, share in met:
+                if not any(template < other for _, other, _ in met):
+                    more.add(label)
+                    best = max(best, share)
     return len(w), tuple(sorted(places)), tuple(sorted(base)), tuple(sorted(base | more)), 1.0 if base else best
 
 
@@ -386,6 +390,26 @@ def test_licenses(docs):
     assert got == want and any(k[4] == ("gpl-3",) for k in got)
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n",
+    "apache-2": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    "bsd-3": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike\n4.0 International License.",
+}
+
+
+def test_notices_over_several_lines(spark):
+    rng = random.Random(12)
+    rows = [(i, label, f"{prose(rng, 23 * k + i)}\n{text}{prose(rng, 40)}") for i, (label, text) in enumerate(NOTICES.items()) for k in range(7)]
+    rows += [(90, "cc-by", "Licensed under CC BY 4.0."), (91, "", "released under the license"), (92, "cc-by-nc", "licensed under cc by-nc 4.0"), (93, "", "the license, a copy of the software and the rights to use")]
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = Counter((r["doc_id"], ",".join(r["labels"])) for r in licenses.scan(df).collect())
+    assert got == Counter((i, label) for i, label, _ in rows)
+    assert Counter((r["doc_id"], *brute_licenses(r["text"])[3]) for r in df.collect()) == Counter((i, *filter(None, [label])) for i, label, _ in rows)
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan(empty).count() == 0
 
