@@ -6,16 +6,21 @@ hidden state emits a class, a class emits its token by smoothed training counts:
 
     P(text) = sum over state paths of prod P(state | last state) P(class | state)  x  prod P(token | class)
 
-so scores are proper probabilities over an open vocabulary.  Baum-Welch runs to a rough fit on a bounded
-sample (the start), then `rounds` full rounds: each partition runs forward-backward over all its training
-texts, expected counts are summed by class across partitions, and only the sums (bounded by states x classes)
-reach the driver.  Training sequences are cut to segments; scoring runs the scaled forward recursion over
-whole texts, so likelihoods are exact.
+so scores are proper probabilities over an open vocabulary.  A bounded sample only makes the start of the model.  Then
+Baum-Welch rounds run over all training texts: each partition runs forward-backward, expected counts are summed by
+class across partitions, and only the sums (bounded by states x classes) reach the driver; rounds end when the
+likelihood of all training tokens gains less than `least` a token, or after `rounds`.
+
+Forward-backward runs over overlapping segments, many at a time: a segment's counts are taken from its core alone, with
+`MARGIN` tokens read before and after it, by which a chain has forgotten where it was cut.  Every token and every move
+is counted once, starts at real starts of texts only.  Scoring runs the scaled forward recursion in double precision
+over whole texts, so likelihoods are exact under the model.
 
 The counts of rarer tokens are never broadcast: they meet the documents in a shuffle join.
 
 Defined cases: a null or wordless text is the end token alone; no training text leaves uniform states
-and counts of zero; repeated rows get equal results; extra columns are ignored.
+and counts of zero; texts of any length are scored whole; tokens of equal count rank in order of their text; repeated
+rows get equal results and train each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +41,11 @@ STATES = 8
 OWN = 16_384
 SUFFIXES = 2_048
 KNOWN = 65_536
-SEGMENT = 256
-SAMPLE = 1_500
-START_ROUNDS = 12
-ROUNDS = 1
+#: Tokens of a segment's core, and tokens read on both sides of it.
+SEGMENT, MARGIN = 256, 16
+#: Documents and rounds of the start; rounds over all texts, and the gain in nats a token that asks for another.
+SAMPLE, START_ROUNDS = 1_500, 6
+ROUNDS, LEAST = 3, 0.001
 EPS = 0.05
 #: The end token; no word is empty.
 END = b""
@@ -156,17 +162,24 @@ class Model:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def forward(model: Model, classes: np.ndarray, sizes: np.ndarray, keep: bool = False):  # noqa: ANN201
-    """Natural log-likelihood of each sequence by the scaled recursion; with keep also all scaled alphas and scales."""
+def forward(model: Model, classes: np.ndarray, sizes: np.ndarray, keep: bool = False, begins: np.ndarray | None = None):  # noqa: ANN201
+    """Natural log-likelihood of each sequence by the scaled recursion, in double precision.
+
+    With keep: also all scaled alphas and scales, in single precision.  `begins` tells which sequences are starts of texts
+    (all, if not given); the others start from the chain's long-run shares.
+    """
+    kind = np.float32 if keep else np.float64
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
     lengths = sizes[order]
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
     out = np.zeros(len(sizes))
-    alphas = np.empty((len(classes), len(model.start)), np.float32) if keep else None
-    scales = np.empty(len(classes), np.float32) if keep else None
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    a = np.broadcast_to(model.start.astype(np.float32), (len(sizes), len(model.start)))
+    alphas = np.empty((len(classes), len(model.start)), kind) if keep else None
+    scales = np.empty(len(classes), kind) if keep else None
+    move, emit = model.move.astype(kind), model.emit.astype(kind)
+    a = np.broadcast_to(model.start.astype(kind), (len(sizes), len(model.start)))
+    if begins is not None:
+        a = np.where(begins[order][:, None], a, np.linalg.matrix_power(model.move, 256)[0].astype(kind))
     for t, n in enumerate(active.tolist()):
         at = starts[:n] + t
         a = (a[:n] @ move if t else a[:n]) * emit[classes[at]]
@@ -180,14 +193,16 @@ def forward(model: Model, classes: np.ndarray, sizes: np.ndarray, keep: bool = F
     return (back, alphas, scales, order, active) if keep else back
 
 
-def expected(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts, moves and emissions."""
-    _, alphas, scales, order, active = forward(model, classes, sizes, keep=True)
+def expected(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions of whole sequences, and their log-likelihood."""
+    at, cut, begins, core = segments(sizes)
+    classes = classes[at]
+    _, alphas, scales, order, active = forward(model, classes, cut, keep=True, begins=begins)
     k = len(model.start)
-    starts, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    starts = (np.cumsum(cut) - cut)[order]
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    gammas, moves = np.empty_like(alphas), np.zeros((k, k))
-    beta = np.ones((len(sizes), k), np.float32)
+    moves = np.zeros((k, k))
+    beta = np.ones((len(cut), k), np.float32)
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
         m = int(active[t + 1]) if t + 1 < len(active) else 0
@@ -195,32 +210,37 @@ def expected(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         if m:
             nxt = at[:m] + 1
             inner = emit[classes[nxt]] * beta[:m] / scales[nxt][:, None]
-            moves += (alphas[at[:m]].T @ inner) * move
+            moves += (alphas[at[:m]].T @ (inner * core[nxt][:, None])) * move
             beta[:m] = inner @ move.T
         g = alphas[at] * beta[:n]
-        gammas[at] = g / g.sum(axis=1, keepdims=True)
-    emits = np.stack([np.bincount(classes, gammas[:, i], len(model.emit)) for i in range(k)], axis=1)
-    return gammas[starts[lengths > 0]].sum(axis=0, dtype=np.float64), moves, emits
-
-
-def segments(sizes: np.ndarray, longest: int = SEGMENT) -> np.ndarray:
-    """Sizes of the segments that sequences of these sizes are cut to."""
-    whole, rest = np.divmod(sizes, longest)
-    parts = whole + (rest > 0)
-    out = np.full(int(parts.sum()), longest, np.int64)
-    some = rest > 0
-    out[(np.cumsum(parts) - 1)[some]] = rest[some]
-    return out
-
-
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STATES, sample: int = SAMPLE) -> Model:
+        alphas[at] = g / g.sum(axis=1, keepdims=True)  # from here on the chance of each state
+    held = classes[core]
+    emits = np.stack([np.bincount(held, alphas[core, i], len(model.emit)) for i in range(k)], axis=1)
+    first = (np.cumsum(cut) - cut)[begins]
+    return alphas[first].sum(axis=0, dtype=np.float64), moves, emits, float(np.log(scales[core].astype(np.float64)).sum())
+
+
+def segments(sizes: np.ndarray, longest: int = SEGMENT, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers of all overlapping segments one after the other, their sizes, which begin a text, and which tokens are core."""
+    parts = -(-sizes // longest)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    low = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * longest
+    high = np.minimum(low + longest, sizes[owner])
+    left, right = np.maximum(0, low - margin), np.minimum(sizes[owner], high + margin)
+    cut = right - left
+    within = np.arange(int(cut.sum())) - np.repeat(np.cumsum(cut) - cut, cut) + np.repeat(left, cut)
+    core = (within >= np.repeat(low, cut)) & (within < np.repeat(high, cut))
+    return within + np.repeat((np.cumsum(sizes) - sizes)[owner], cut), cut, low == 0, core
+
+
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STATES, sample: int = SAMPLE, least: float = LEAST) -> Model:
     first = first_by_hash(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", sample).distinct()
     texts = [(r["text"] or "").encode() for r in docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").limit(sample).collect()]
     model = Model.blank(lex.classes, states)
     classes, _, sizes, _ = lex.codes(texts)
-    cut = segments(sizes)
     for _ in range(START_ROUNDS if texts else 0):
-        model = Model.of(*expected(model, classes, cut))
+        model = Model.of(*expected(model, classes, sizes)[:3])
+    before = -np.inf
     sc = docs.sparkSession.sparkContext
     for _ in range(rounds):
         held = sc.broadcast((lex, model))
@@ -228,14 +248,14 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             lex, model = held.value
             k = len(model.start)
-            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((lex.classes, k))
+            start, move, emit, seen = np.zeros(k), np.zeros((k, k)), np.zeros((lex.classes, k)), np.zeros(2)
             for _, texts in text_slices(batches, max_bytes=3 << 20):
                 classes, _, sizes, _ = lex.codes(texts)
-                s, m, e = expected(model, classes, segments(sizes))
-                start, move, emit = start + s, move + m, emit + e
+                s, m, e, log = expected(model, classes, sizes)
+                start, move, emit, seen = start + s, move + m, emit + e, seen + [log, len(classes)]
             at = np.flatnonzero(emit.sum(axis=1))
-            names = np.concatenate([at, -1 - np.arange(k + 1)])  # -1: starts; then the rows of moves
-            rows = np.concatenate([emit[at], start[None], move])
+            names = np.concatenate([at, -1 - np.arange(k + 2)])  # -1: starts; then the rows of moves; last the likelihood and the tokens
+            rows = np.concatenate([emit[at], start[None], move, np.resize(seen, k)[None]])
             yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(rows[:, i].copy()) for i in range(k))], names=["at", *(f"s{i}" for i in range(k))])
 
         names = [f"s{i}" for i in range(states)]
@@ -247,10 +267,15 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
                 emit[at] = row
             elif at == -1:
                 start = row
-            else:
+            elif at > -states - 2:
                 move[-at - 2] = row
+            else:
+                now = row[0] / max(1.0, row[1])
         model = Model.of(start, move, emit)
         held.unpersist()
+        if not len(got) or now - before < least:
+            break
+        before = now
     return model
 
 
