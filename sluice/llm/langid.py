@@ -4,15 +4,18 @@ A raw-content zstandard dictionary is made for each language from training texts
 with every dictionary, in whole (long texts piece by piece, sizes added), and gets the language whose
 dictionary leaves the fewest bytes.  `rejected` marks a choice whose margin to the second is narrow.
 
-Dictionaries come from at most `sample` documents a language (smallest hash of doc_id), a documented
-bound; every row is classified.  Defined cases: a null text or one without any letter is `und`, score 0;
-without training texts every text is `und`; ties go to the language first in alphabetical order;
+Dictionaries come from at most `sample` documents a language (smallest hash of doc_id), each giving one slice of
+DICT_BYTES / their number bytes (at least 256) from a hashed place of its whole text: documented bounds of the fit, and
+no place of the texts is preferred.  Every row is classified, and whole.  Defined cases: a null text or one without any letter is `und`, score 0;
+without training texts every text is `und`; a repeated training row counts once, an id with several texts in one
+language with the smallest slice; ties go to the language first in alphabetical order; an empty table gives no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,14 @@ def has_letter(text: bytes, plain_text: bytes) -> bool:
     return not plain_text.isspace() and (any(97 <= b <= 122 for b in plain_text[:64]) or any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
-def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """Equal shares of the texts, so that no single one fills the dictionary."""
-    texts = [p for t in texts if (p := plain(t))]
-    share = max(256, size // max(1, len(texts)))
-    return b" ".join(t[:share] for t in texts)[-size:]
+def part_of(text: bytes, share: int, seed: int) -> bytes:
+    """`share` bytes of the plain text from a hashed place on, from a word's start where there is one; all of a shorter text."""
+    small = plain(text)
+    if len(small) <= share:
+        return small
+    at = crc32(b"%d" % seed) % (len(small) - share + 1)
+    at = small.find(b" ", at) + 1 if at and small.find(b" ", at, at + share // 2) >= 0 else at
+    return small[at : at + share]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
@@ -53,12 +59,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
     parts = known.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64))).withColumn("rank", rank("lang", "part")).where(F.col("rank") <= sample)
     chosen = parts.withColumn("rank", rank("lang")).where(F.col("rank") <= sample).drop("part")
-    # bounded: sample rows a language, each cut to what one dictionary can hold
-    texts = docs.select("doc_id", "lang", F.encode(F.substring("text", 1, DICT_BYTES // 16), "UTF-8").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy("lang", "rank")
+    chosen = chosen.withColumn("n", F.count("*").over(Window.partitionBy("lang")))
+    # bounded: sample rows a language, each with the share that its dictionary takes; slices are cut in the tasks
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in text_slices(batches):
+            slices = [part_of(t, max(256, DICT_BYTES // n), i) for t, n, i in zip(raw, batch.column("n").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(slices, pa.binary())], names=["lang", "rank", "part"])
+
+    slices = texts.mapInArrow(cut, "lang string, rank int, part binary").groupBy("lang", "rank").agg(F.min("part").alias("part"))
     by: dict[str, list[bytes]] = {}
-    for lang, text in ((r["lang"], r["text"]) for r in texts.select("lang", "text").collect()):
-        by.setdefault(lang, []).append(bytes(text or b""))
-    return {lang: d for lang, ts in sorted(by.items()) if len(d := dictionary(ts)) >= 8}
+    for r in slices.orderBy("lang", "rank").collect():
+        if r["part"]:
+            by.setdefault(r["lang"], []).append(bytes(r["part"]))
+    return {lang: d for lang, ts in sorted(by.items()) if len(d := b" ".join(ts)[-DICT_BYTES:]) >= 8}
 
 
 class Classifier:

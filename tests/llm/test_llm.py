@@ -309,6 +309,30 @@ def test_langid(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_langid_by_brute_force(spark, docs):
+    import zstandard
+
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 20 + 90 * (i % 3)), "aa" if i % 2 else "bb") for i in range(60)]
+    held = langid.fit(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string"))
+    assert held == {lang: b" ".join(langid.part_of(t.encode(), langid.DICT_BYTES // 30, i) for i, t, x in sorted(rows, key=lambda r: order[r[0]]) if x == lang) for order in [dict((r["id"], n) for n, r in enumerate(spark.range(60).orderBy(F.xxhash64("id"), "id").collect()))] for lang in ("aa", "bb")}
+    for r in langid.predict(docs, held).collect():
+        small = langid.plain((r["text"] or "").encode())
+        if r["lang_pred"] != "und":
+            sizes = {}
+            for lang, d in held.items():
+                coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[lang] = sum(len(coder.compress(small[i : i + langid.PIECE])) for i in range(0, max(1, len(small)), langid.PIECE))
+            assert sizes[r["lang_pred"]] <= min(sizes.values()) + 2
+
+
+def test_langid_takes_every_place_of_a_text():
+    text = b" ".join(b"w%d" % i for i in range(3000)).translate(bytes(97 + b % 26 if 48 <= b < 58 else b for b in range(256)))
+    parts = [langid.part_of(text, 256, seed) for seed in range(80)]
+    assert all(len(p) in range(128, 257) and p in text for p in parts)
+    assert max(text.find(p) for p in parts) > 0.8 * len(text) and min(text.find(p) for p in parts) < 0.2 * len(text)
+
+
 # 7 -------------------------------------------------------------------------------------------------------------
 
 
@@ -350,7 +374,64 @@ def test_baum_welch_never_loses():
     for _ in range(6):
         now = hmm.forward(model, classes, sizes).sum()
         assert now >= last - 0.5
-        last, model = now, hmm.Model.of(*hmm.expected(model, classes, sizes))
+        last, model = now, hmm.Model.of(*hmm.expected(model, classes, sizes)[:3])
+
+
+def brute_counts(model, seqs):
+    """Expected counts by the plain recursions, in logs, one sequence at a time."""
+    k = len(model.start)
+    start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), 0.0
+    for s in seqs:
+        a, b = np.zeros((len(s), k)), np.zeros((len(s), k))
+        a[0] = np.log(model.start) + np.log(model.emit[s[0]])
+        for t in range(1, len(s)):
+            a[t] = np.logaddexp.reduce(a[t - 1][:, None] + np.log(model.move), axis=0) + np.log(model.emit[s[t]])
+        for t in range(len(s) - 2, -1, -1):
+            b[t] = np.logaddexp.reduce(np.log(model.move) + np.log(model.emit[s[t + 1]]) + b[t + 1], axis=1)
+        total = np.logaddexp.reduce(a[-1])
+        log += total
+        gamma = np.exp(a + b - total)
+        start += gamma[0]
+        for t, c in enumerate(s):
+            emit[c] += gamma[t]
+            if t:
+                move += np.exp(a[t - 1][:, None] + np.log(model.move) + np.log(model.emit[c]) + b[t] - total)
+    return start, move, emit, log
+
+
+def test_segments_count_like_whole_texts():
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([3] * 3, 3), rng.dirichlet([1] * 9, 3).T)
+    seqs = [rng.integers(0, 9, n) for n in (1, 700, 256, 257, 40)]
+    got = hmm.expected(model, np.concatenate(seqs), np.array([len(s) for s in seqs]))
+    for g, w in zip(got, brute_counts(model, seqs), strict=True):
+        assert np.allclose(g, w, rtol=2e-3, atol=2e-3)
+    assert got[0].sum() == pytest.approx(len(seqs), abs=1e-3) and got[1].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-4)
+
+
+def test_hmm_scores_like_brute_force(spark, docs):
+    counts = hmm.count_tokens(docs)
+    lex = hmm.lexicon(counts, own=10, known=40)
+    model = hmm.train(docs, lex, states=3)
+    n = {r["token"].encode(): r["n"] for r in counts.collect()}
+    shared = Counter()
+    for w, c in n.items():
+        if lex.place.get(w, 10) >= 10:
+            shared[hmm.suffix_class(w)] += c + 1
+    got = by_row(hmm.score(docs, counts, lex, model), "score")
+    want = []
+    for r in docs.collect():
+        a, rest = None, 0.0
+        for w in hmm.tokens((r["text"] or "").encode()):
+            place = lex.place.get(w, 10)
+            c = place if place < 10 else 10 + hmm.suffix_class(w)
+            rest += 0.0 if place < 10 else math.log10((n.get(w, 0) + 1) / (shared[hmm.suffix_class(w)] + 1))
+            a = (model.start if a is None else a @ model.move) * model.emit[c]
+            rest += math.log10(a.sum())
+            a = a / a.sum()
+        want.append((r["doc_id"], rest))
+    for (i, s), (j, w) in zip(sorted(got.elements(), key=str), sorted(want, key=str), strict=True):
+        assert i == j and s == pytest.approx(w, rel=1e-9, abs=1e-9)
 
 
 def test_hmm_without_training(docs, empty):
