@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
 next stage's docs.  All but the last keep the columns of documents.
+
+Defined cases, for every stage: a null text counts as empty; texts are read whole at any length; equal rows are treated
+alike; an empty table gives no rows; columns beyond those of documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ KEEP_QUALITY = 0.3
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labels; documents scored under KEEP_QUALITY go."""
+    """Learn from all labels; documents scored under KEEP_QUALITY go, a score of exactly that stays; without labels all stay."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "quality_score")
     return quality.score(docs, weights, name).where(F.col(name) >= KEEP_QUALITY).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of five-word-shingle near duplicates (similarity 0.8 or more) the smallest doc_id stays; its repeated rows too."""
+    """Of each group of five-word-shingle near duplicates (similarity 0.8 or more) the smallest doc_id stays; its repeated rows too.
+
+    Rows are known by doc_id: all rows of an id that goes go with it; rows without an id and texts without words stay.
+    """
     found = jaccard.near_duplicates(docs, n=5, percent=80)
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(sized(gone, 24 * gone.count()), "doc_id", "left_anti").select(*docs.columns)
@@ -38,10 +44,12 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every accepted span becomes its kind in brackets; spans that overlap become one; null texts stay null, all rows stay."""
     return _counted(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their sequence and place there; an empty or null text is one piece, the end id."""
     return packing.pack_documents(docs, tokenizer_path())
 
 

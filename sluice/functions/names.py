@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Abbreviations of common terms, in the order in which misspellings are tried.
@@ -52,6 +52,12 @@ def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
 
 
+def normalized(rows: DataFrame, name: str = "name", norm: str = "norm") -> DataFrame:
+    """rows with normalize_name(name) as norm; each different name is normalised once and joined back."""
+    known = rows.select(name).distinct().select(F.col(name).alias("_name"), normalize_name(F.col(name)).alias(norm))
+    return rows.join(known, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def docket_number(text: Column) -> Column:
     """The first NN-NNNN in a text, else null."""
     return F.nullif(F.regexp_extract(text, r"(\d{1,2}-\d{1,4})", 1), F.lit(""))
@@ -126,7 +132,7 @@ def parse_date(text: Column) -> Column:
     return F.try_to_date(text, "MMM d yyyy")
 
 
-def is_amicus_label(label: Column) -> Column:
+def is_brief_label(label: Column) -> Column:
     return F.coalesce(label.rlike("(?i)^Brief (amicus|amici)"), F.lit(False))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.storage import written
+
 MAX_FEATURES, THRESHOLD, TOP = 20_000, 0.6, 10
 
 
@@ -25,6 +27,7 @@ def tfidf(names: DataFrame, terms: Column, name: str = "name", max_features: int
     """
     names = names.select(name).where(F.col(name).isNotNull()).distinct()
     tf = names.select(name, F.explode(terms).alias("term")).withColumnRenamed(name, "name").groupBy("name", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "terms")
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     kept = stats.orderBy(F.desc("total"), "term").limit(max_features)  # max_features rows at any size of input
     n = names.agg(F.count("*").alias("n"))
@@ -37,17 +40,18 @@ def tfidf(names: DataFrame, terms: Column, name: str = "name", max_features: int
 def top_pairs(weights: DataFrame, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
     """(left_side, right_side, similarity): for each name its `top` best at or over the threshold, itself counted but not given.
 
-    Similarities are rounded to six places before they are compared, ties go to the smaller name.  A pair at or over the
-    threshold shares a term among the left side's heaviest: only as many as needed to leave less than the threshold in the
-    rest meet the right sides in the join, and the frequent terms, which weigh least, mostly stay out of it.
+    Similarities are rounded to six places before they are compared, ties go to the smaller name.  Terms are ordered rare
+    before frequent; of a pair at or over the threshold the first shared term lies so early in both names that what
+    follows it could not reach the threshold alone, so only those first terms meet in the join and the frequent ones
+    stay out of it.  The weights are written once.
     """
-    order = Window.partitionBy("name").orderBy(F.desc("weight"), "term")
+    rarity = weights.groupBy("term").agg(F.count("*").alias("df"))
+    weights = written(weights.join(rarity, "term").select("name", "term", "weight", "df"), "weights")
+    order = Window.partitionBy("name").orderBy("df", "term")
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # what the terms from here on can still add to a cosine is at most the length of that rest
-    prefix = weights.withColumn("before", before).where(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before"))) >= threshold - 1e-6).select("name", "term")
-    left = prefix.withColumnRenamed("name", "left_side")
-    right = weights.select(F.col("name").alias("right_side"), "term")
-    met = left.join(right, "term").select("left_side", "right_side").distinct()
+    prefix = written(weights.withColumn("before", before).where(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before"))) >= threshold - 1e-6).select("name", "term"), "prefix")
+    met = prefix.withColumnRenamed("name", "left_side").join(prefix.withColumnRenamed("name", "right_side"), "term").select("left_side", "right_side").distinct()
     a = weights.select(F.col("name").alias("left_side"), "term", F.col("weight").alias("wl"))
     b = weights.select(F.col("name").alias("right_side"), "term", F.col("weight").alias("wr"))
     sims = met.join(a, "left_side").join(b, ["right_side", "term"]).groupBy("left_side", "right_side").agg(F.round(F.sum(F.col("wl") * F.col("wr")), 6).alias("similarity"))
@@ -68,3 +72,11 @@ def legal_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     held = docs.select("norm", "doc_id").distinct()
     shared = one.join(held.withColumnRenamed("norm", "left_norm"), "left_norm").join(held.withColumnRenamed("norm", "right_norm"), ["right_norm", "doc_id"]).select("left_norm", "right_norm").distinct()
     return one.join(shared, ["left_norm", "right_norm"], "left_anti")
+
+
+def cosine(pairs: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """pairs (left_norm, right_norm) with the cosine of their weights as `name`, 0 where no term is shared."""
+    a = weights.select(F.col("name").alias("left_norm"), "term", F.col("weight").alias("wl"))
+    b = weights.select(F.col("name").alias("right_norm"), "term", F.col("weight").alias("wr"))
+    both = pairs.select("left_norm", "right_norm").join(a, "left_norm").join(b, ["right_norm", "term"]).groupBy("left_norm", "right_norm").agg(F.sum(F.col("wl") * F.col("wr")).alias(name))
+    return pairs.join(both, ["left_norm", "right_norm"], "left").fillna(0.0, [name])

@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.names import docket_label, is_docket, normalize_name
+from sluice.functions.names import docket_label, is_docket, normalized
 from sluice.operators.components import connected_components
+from sluice.storage import written
 
 
-def amicus_nodes(amici: DataFrame, order: str = "line") -> DataFrame:
+def filer_nodes(filers: DataFrame, order: str = "line") -> DataFrame:
     """(norm, doc_id, raw_name): organisations by normalised name; the first raw name of a document stands for it."""
-    rows = amici.where(F.col("category") == "organization").select(normalize_name(F.col("name")).alias("norm"), F.col("document_id").alias("doc_id"), "name", order)
+    rows = normalized(filers.where(F.col("category") == "organization").select(F.col("document_id").alias("doc_id"), "name", order))
     return rows.groupBy("norm", "doc_id").agg(F.min_by("name", F.struct(order, "name")).alias("raw_name"))
 
 
@@ -137,17 +138,16 @@ def medoids(named: DataFrame, most: int = 1_000) -> DataFrame:
     """(component, medoid): of (component, name) rows the name with the least mean edit distance to all names of its component.
 
     Repeated names count as often as they stand; ties go to the smaller name.  Names are compared once per different
-    pair, weighted by their counts.  A component of over `most` different names, where pairs would no longer
-    fit, takes the most frequent name instead.
+    pair, weighted by their counts.  The names of a component stand in parts of about `most`; each name meets every part
+    in a join of its own and the sums are added, so a large component is many tasks.
     """
     counts = named.groupBy("component", "name").agg(F.count("*").alias("times"))
-    counts = counts.withColumn("different", F.count("*").over(Window.partitionBy("component")))
-    small = counts.where(F.col("different") <= most)
-    other = small.select("component", F.col("name").alias("other"), F.col("times").alias("weight"))
-    pairs = small.join(other, "component").groupBy("component", "name").agg(F.sum(F.col("weight") * F.levenshtein("name", "other")).alias("far"))
-    chosen = pairs.groupBy("component").agg(F.min_by("name", F.struct("far", "name")).alias("medoid"))
-    frequent = counts.where(F.col("different") > most).groupBy("component").agg(F.min_by("name", F.struct(-F.col("times"), "name")).alias("medoid"))
-    return chosen.unionByName(frequent)
+    parts = counts.groupBy("component").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    counts = counts.join(parts, "component")
+    other = counts.select("component", F.pmod(F.xxhash64("name"), "parts").cast("int").alias("part"), F.col("name").alias("other"), F.col("times").alias("weight"))
+    mine = counts.select("component", "name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    far = mine.join(other, ["component", "part"]).groupBy("component", "name").agg(F.sum(F.col("weight") * F.levenshtein("name", "other")).alias("far"))
+    return far.groupBy("component").agg(F.min_by("name", F.struct("far", "name")).alias("medoid"))
 
 
 def name_mapping(components: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,8 +194,8 @@ def regular_equivalence(edges: DataFrame, alpha: float = 0.85, largest: int = 2_
     for k in range(200):
         term = term.join(step, "m").groupBy("u", F.col("next").alias("m")).agg(F.sum(F.col("x") * F.col("share")).alias("x")).where(F.col("x") > tolerance)
         if k % 4 == 3:
-            term = term.checkpoint()
-            total = total.checkpoint()
+            term = written(term, "term")
+            total = written(total, "total")
             if term.isEmpty():
                 break
         total = total.unionByName(term).groupBy("u", "m").agg(F.sum("x").alias("x"))
@@ -279,8 +279,8 @@ def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_no
     # a task returns about half a million rows
     blocks = F.ceil(F.col("n") / F.greatest(F.lit(1.0), F.least(F.lit(256.0), F.floor(F.lit(500_000) / F.col("n"))))).cast("int")
     large = tagged.where(F.col("n") > largest).select("component", "u", "v", "p", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    columns = counted.where(F.col("n") > largest).select("component", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    solved = large.groupBy("component", "block").cogroup(columns.groupBy("component", "block")).applyInPandas(solve, f"u {kind}, v {kind}, q double")
+    columns = counted.where(F.col("n") > largest).select(F.col("component").alias("whole"), F.col("node").alias("node"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"))
+    solved = large.select(F.col("component").alias("of"), F.col("u").alias("u"), F.col("v").alias("v"), F.col("p").alias("p"), F.col("block").alias("block")).groupBy("of", "block").cogroup(columns.groupBy("whole", "part")).applyInPandas(solve, f"u {kind}, v {kind}, q double")
     return small.unionByName(solved)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.names import parse_date
 from sluice.schemas import TABLES
+from sluice.storage import written
 
 
 def same_or_both_missing(a: Column, b: Column) -> Column:
@@ -20,7 +21,8 @@ def numbered(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     number for each partition.
     """
     part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = part.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    part = part.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    part = written(part, "numbered")
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return part.join(F.broadcast(before.drop("_n")), "_part").withColumn(id_col, F.col("_before") + F.col("_in") + 1).select(id_col, *df.columns)
@@ -33,18 +35,18 @@ def document_tables(records: DataFrame, key: str = "source") -> dict[str, DataFr
     """
     has = lambda name, kind: F.col(name) if name in records.columns else F.lit(None).cast(kind)
     docs = numbered(records.where(F.col(key).isNotNull()), "document_id", key)
-    complete = F.coalesce(has("complete_amici_list", "boolean"), has("all_amici_on_cover_page", "boolean"), F.lit(False))
+    complete = F.coalesce(has("complete_list", "boolean"), has("all_on_cover_page", "boolean"), F.lit(False))
     documents = docs.select(
         "document_id", *(has(c, "string").alias(c) for c in ("url", "docket_url", "date")), parse_date(has("date", "string")).alias("date_formatted"), *(has(c, "string").alias(c) for c in ("label", "doc_title", "blob")),
-        *(has(c, "boolean").alias(c) for c in ("transcribed", "neededOCR")), complete.alias("complete_amici_list"), has("counsel_of_record", "string").alias("counsel_of_record"),
+        *(has(c, "boolean").alias(c) for c in ("transcribed", "neededOCR")), complete.alias("complete_list"), has("counsel_of_record", "string").alias("counsel_of_record"),
     )
     row_id = lambda name: ((F.col("document_id") - 1) * (1 << 20) + F.col("pos") + 1).alias(name)
     dockets = docs.select("document_id", F.posexplode("dockets").alias("pos", "x")).select(row_id("docket_id"), "document_id", F.coalesce("x.year", F.lit(0)).alias("year"), F.coalesce("x.number", F.lit(0)).alias("number"), F.coalesce("x.position", F.lit("")).alias("position"))
-    amici = docs.select("document_id", F.posexplode("amici").alias("pos", "x")).select(row_id("amicus_id"), "document_id", F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce("x.category", F.lit("")).alias("category"))
+    filers = docs.select("document_id", F.posexplode("filers").alias("pos", "x")).select(row_id("filer_id"), "document_id", F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce("x.category", F.lit("")).alias("category"))
     lawyers = docs.select("document_id", "counsel_of_record", F.posexplode("lawyers").alias("pos", "x")).select(
         row_id("lawyer_id"), "document_id", *(F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("name", "role", "employer")), same_or_both_missing(F.col("x.name"), F.col("counsel_of_record")).alias("is_counsel_of_record")
     )
-    return {"documents": documents, "dockets": dockets, "amici": amici, "lawyers": lawyers}
+    return {"documents": documents, "dockets": dockets, "filers": filers, "lawyers": lawyers}
 
 
 def create_tables(spark: SparkSession, database: str) -> None:
@@ -71,9 +73,9 @@ def export_csv(spark: SparkSession, database: str, folder: str) -> list[str]:
     return names
 
 
-def briefs_of(documents: DataFrame, amici: DataFrame, name_part: str, category: str = "organization") -> DataFrame:
-    """Documents with an amicus whose name contains a text (any case), in one category."""
-    named = amici.where((F.col("category") == category) & F.contains(F.lower("name"), F.lit(name_part.lower())))
+def briefs_of(documents: DataFrame, filers: DataFrame, name_part: str, category: str = "organization") -> DataFrame:
+    """Documents with an filer whose name contains a text (any case), in one category."""
+    named = filers.where((F.col("category") == category) & F.contains(F.lower("name"), F.lit(name_part.lower())))
     return documents.join(named.select("document_id", "name", "category"), "document_id")
 
 
@@ -83,7 +85,7 @@ def counsel_counts(lawyers: DataFrame) -> DataFrame:
 
 
 def incomplete(documents: DataFrame) -> DataFrame:
-    return documents.where(~F.coalesce("complete_amici_list", F.lit(False)))
+    return documents.where(~F.coalesce("complete_list", F.lit(False)))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -96,9 +98,9 @@ def first_match_join(left: DataFrame, right: DataFrame, key: str, order: str) ->
     return left.join(right.withColumn("_n", rank).where("_n = 1").drop("_n"), key)
 
 
-def amicus_docket_rows(amici: DataFrame, dockets: DataFrame) -> DataFrame:
-    """Every amicus of a document beside every docket of it."""
-    return amici.join(dockets, "document_id")
+def filer_docket_rows(filers: DataFrame, dockets: DataFrame) -> DataFrame:
+    """Every filer of a document beside every docket of it."""
+    return filers.join(dockets, "document_id")
 
 
 def paired_rows(rows: DataFrame, page: str, pos: str, *values: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from sluice.functions import similarity as S
 from sluice.operators import blocking, graph, relational, review
 from sluice.plans.fixtures import FIXTURES, fixture, with_fixtures
 from sluice.sources import extraction, files, pages
+from sluice.storage import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -63,38 +65,38 @@ def _norm_sql(column: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
-_NAMES = f"names as (select distinct name, {_norm_sql('name')} as norm from fx_amici)"
-_NODES = f"{_NAMES},\nnodes as (select n.norm, a.document_id as doc_id, arg_min(a.name, struct_pack(l := a.line, n := a.name)) as raw_name from fx_amici a join names n on a.name = n.name where a.category = 'organization' group by 1, 2)"
+_NAMES = f"names as (select distinct name, {_norm_sql('name')} as norm from fx_filers)"
+_NODES = f"{_NAMES},\nnodes as (select n.norm, a.document_id as doc_id, arg_min(a.name, struct_pack(l := a.line, n := a.name)) as raw_name from fx_filers a join names n on a.name = n.name where a.category = 'organization' group by 1, 2)"
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.amicus_nodes(fixture(spark, sf_dir, "fx_amici"))
+    return graph.filer_nodes(fixture(spark, sf_dir, "fx_filers"))
 
 
 def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "fx_amici").select("name").distinct().select(N.normalize_name(F.col("name")).alias("name")).distinct()
+    return fixture(spark, sf_dir, "fx_filers").select("name").distinct().select(N.normalize_name(F.col("name")).alias("name")).distinct()
 
 
 @query(f"with {_NAMES} select name, norm from names")
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "fx_amici").select("name").distinct().select("name", N.normalize_name(F.col("name")).alias("norm"))
+    return fixture(spark, sf_dir, "fx_filers").select("name").distinct().select("name", N.normalize_name(F.col("name")).alias("norm"))
 
 
-@query(f"with {_NAMES} select norm, count(distinct a.document_id) as briefs from fx_amici a join names n on a.name = n.name join fx_documents d on d.document_id = a.document_id where category = 'organization' group by norm")
+@query(f"with {_NAMES} select norm, count(distinct a.document_id) as briefs from fx_filers a join names n on a.name = n.name join fx_documents d on d.document_id = a.document_id where category = 'organization' group by norm")
 def briefs_by_org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amici = fixture(spark, sf_dir, "fx_amici").where("category = 'organization'")
+    filers = fixture(spark, sf_dir, "fx_filers").where("category = 'organization'")
     docs = fixture(spark, sf_dir, "fx_documents").select("document_id")
     # the pair is made distinct first, so each name's documents are counted where they lie
-    pairs = amici.join(docs, "document_id").select(N.normalize_name(F.col("name")).alias("norm"), "document_id").distinct()
+    pairs = N.normalized(filers.join(docs, "document_id").select("name", "document_id")).select("norm", "document_id").distinct()
     return pairs.groupBy("norm").agg(F.count("*").alias("briefs")).orderBy(F.desc("briefs"), "norm")
 
 
 # The tables and their queries ----------------------------------------------------------------------------------
 
 
-@query("select d.document_id, d.label, d.counsel_of_record, a.name, a.category from fx_documents d join fx_amici a on a.document_id = d.document_id where a.category = 'organization' and lower(a.name) like '%foundation%'")
+@query("select d.document_id, d.label, d.counsel_of_record, a.name, a.category from fx_documents d join fx_filers a on a.document_id = d.document_id where a.category = 'organization' and lower(a.name) like '%foundation%'")
 def briefs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = relational.briefs_of(fixture(spark, sf_dir, "fx_documents"), fixture(spark, sf_dir, "fx_amici"), "Foundation")
+    found = relational.briefs_of(fixture(spark, sf_dir, "fx_documents"), fixture(spark, sf_dir, "fx_filers"), "Foundation")
     return found.select("document_id", "label", "counsel_of_record", "name", "category")
 
 
@@ -110,8 +112,7 @@ def counsel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select document_id, url from fx_documents where not complete_list")
 def incomplete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixture(spark, sf_dir, "fx_documents").withColumnRenamed("complete_list", "complete_amici_list")
-    return relational.incomplete(docs).select("document_id", "url")
+    return relational.incomplete(fixture(spark, sf_dir, "fx_documents")).select("document_id", "url")
 
 
 @query("select document_id, label, counsel_of_record from fx_documents where document_id = 524")
@@ -129,14 +130,14 @@ def position_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.value_counts(fixture(spark, sf_dir, "fx_dockets"), "position")
 
 
-@query("select category, count(*) as count from fx_amici group by category")
+@query("select category, count(*) as count from fx_filers group by category")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.value_counts(fixture(spark, sf_dir, "fx_amici"), "category")
+    return relational.value_counts(fixture(spark, sf_dir, "fx_filers"), "category")
 
 
-@query("select a.document_id, a.name, a.category, d.year, d.number, d.position, cast(d.year as varchar) || '-' || cast(d.number as varchar) as docket from fx_amici a join fx_dockets d on a.document_id = d.document_id")
-def amicus_docket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = relational.amicus_docket_rows(fixture(spark, sf_dir, "fx_amici").drop("line"), fixture(spark, sf_dir, "fx_dockets").drop("line"))
+@query("select a.document_id, a.name, a.category, d.year, d.number, d.position, cast(d.year as varchar) || '-' || cast(d.number as varchar) as docket from fx_filers a join fx_dockets d on a.document_id = d.document_id")
+def filer_docket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = relational.filer_docket_rows(fixture(spark, sf_dir, "fx_filers").drop("line"), fixture(spark, sf_dir, "fx_dockets").drop("line"))
     return both.withColumn("docket", N.docket_label(F.col("year"), F.col("number"))).orderBy("docket", "name")
 
 
@@ -145,21 +146,21 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixture(spark, sf_dir, "fx_documents")
     lists = {
         "dockets": fixture(spark, sf_dir, "fx_dockets").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "year", "number", "position"))).alias("dockets")),
-        "amici": fixture(spark, sf_dir, "fx_amici").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "name", "category"))).alias("amici")),
+        "filers": fixture(spark, sf_dir, "fx_filers").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "name", "category"))).alias("filers")),
         "lawyers": fixture(spark, sf_dir, "fx_lawyers").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("name", "role", "employer"))).alias("lawyers")),
     }
     for df in lists.values():
         docs = docs.join(df, "document_id", "left")
-    return docs.select(F.col("document_id").alias("source"), "url", "docket_url", F.date_format("filed_at", "MMM dd yyyy").alias("date"), "label", F.col("complete_list").alias("all_amici_on_cover_page"), F.col("needed_ocr").alias("neededOCR"), "counsel_of_record", *lists)
+    return docs.select(F.col("document_id").alias("source"), "url", "docket_url", F.date_format("filed_at", "MMM dd yyyy").alias("date"), "label", F.col("complete_list").alias("all_on_cover_page"), F.col("needed_ocr").alias("neededOCR"), "counsel_of_record", *lists)
 
 
 _IDS = "ids as (select document_id as source, row_number() over (order by document_id) as document_id from fx_documents)"
 
 
-@query(f"with {_IDS} select i.document_id, d.url, d.docket_url, strftime(d.filed_at, '%b %d %Y') as date, strftime(d.filed_at, '%Y-%m-%d') as date_formatted, d.label, d.complete_list as complete_amici_list, d.counsel_of_record from fx_documents d join ids i on i.source = d.document_id")
+@query(f"with {_IDS} select i.document_id, d.url, d.docket_url, strftime(d.filed_at, '%b %d %Y') as date, strftime(d.filed_at, '%Y-%m-%d') as date_formatted, d.label, d.complete_list, d.counsel_of_record from fx_documents d join ids i on i.source = d.document_id")
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = relational.document_tables(_records(spark, sf_dir))["documents"]
-    return out.select("document_id", "url", "docket_url", "date", F.col("date_formatted").cast("string").alias("date_formatted"), "label", "complete_amici_list", "counsel_of_record")
+    return out.select("document_id", "url", "docket_url", "date", F.col("date_formatted").cast("string").alias("date_formatted"), "label", "complete_list", "counsel_of_record")
 
 
 @query(f"with {_IDS} select i.document_id, f.year, f.number, f.position from fx_dockets f join ids i on i.source = f.document_id")
@@ -167,9 +168,9 @@ def load_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.document_tables(_records(spark, sf_dir))["dockets"].drop("docket_id")
 
 
-@query(f"with {_IDS} select i.document_id, f.name, f.category from fx_amici f join ids i on i.source = f.document_id")
-def load_amici(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.document_tables(_records(spark, sf_dir))["amici"].drop("amicus_id")
+@query(f"with {_IDS} select i.document_id, f.name, f.category from fx_filers f join ids i on i.source = f.document_id")
+def load_filers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.document_tables(_records(spark, sf_dir))["filers"].drop("filer_id")
 
 
 @query(f"with {_IDS} select i.document_id, f.name, f.role, f.employer, coalesce(f.name, '') = coalesce(d.counsel_of_record, '') as is_counsel_of_record from fx_lawyers f join ids i on i.source = f.document_id join fx_documents d on d.document_id = f.document_id")
@@ -202,7 +203,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select document_id, replace(url, 'http://', 'SUPREMECOURT/') as blob, split_part(docket_url, 'SUPREMECOURT/', 2) as docket_url, label from fx_documents where regexp_matches(label, '(?i)^Brief (amicus|amici)') and regexp_matches(url, 'DocketPDF/(18|19|20|21|22|23|24)')")
 def brief_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.amicus_briefs(_links(spark, sf_dir)).select("document_id", "blob", "docket_url", "label")
+    return pages.filed_briefs(_links(spark, sf_dir)).select("document_id", "blob", "docket_url", "label")
 
 
 @query("select document_id, regexp_extract(url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as docket, strftime(strptime(strftime(filed_at, '%b %d %Y'), '%b %d %Y'), '%Y-%m-%d') as filed from fx_documents")
@@ -235,7 +236,7 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select docket_url, 'Case ' || cast(page_id as varchar) as case_title, strftime(filed_at, '%b %d %Y') as date, label, 'Main Document' as doc_title, url from (
  select d.document_id as page_id, 'http://www.court.example/public/' || cast(d.document_id as varchar) || '.html' as docket_url, d.filed_at, d.label, d.url from fx_documents d) where regexp_matches(label, '(?i)amicus|amici')""")
 def docket_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Docket pages are written from the fixture and parsed back; pages that do not mention an amicus are not parsed."""
+    """Docket pages are written from the fixture and parsed back; pages that do not mention an filer are not parsed."""
     d = _links(spark, sf_dir)
     html = F.format_string(
         '<html><table id="docketinfo"><tr><td>Case</td><td> %d </td></tr></table><table id="proceedings"><tr><th>Date</th><th>Text</th></tr><tr><td>%s</td><td>%s</td></tr>'
@@ -245,9 +246,9 @@ def docket_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_links(d.select(F.concat(F.lit("http://www.court.example/public/"), F.col("document_id").cast("string"), F.lit(".html")).alias("url"), html.alias("html")))
 
 
-@query("select cast(y as int) as year, cast(n as int) as number, 'http://www.court.example/docket/docketfiles/html/public/' || cast(y as varchar) || '-' || cast(n as varchar) || '.html' as url from range(18, 25) a(y), range(1, 500) b(n)")
+@query("select cast(y as int) as year, cast(n as int) as number, 'http://www.court.example/docket/docketfiles/html/public/' || cast(y as varchar) || '-' || cast(n as varchar) || '.html' as url from range(18, 25) a(y), range(1, 20000) b(n)")
 def docket_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.docket_urls(spark, "http://www.court.example", numbers=(1, 500))
+    return files.docket_urls(spark, "http://www.court.example")
 
 
 # Work in hand --------------------------------------------------------------------------------------------------
@@ -304,30 +305,6 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.get_json_object(line, "$.body.messages[1].content").alias("content"), F.get_json_object(line, "$.custom_id").alias("custom_id"))
 
 
-_PAIRS = f"""{_NODES},
-pool as (select norm, row_number() over (order by norm) as k from (select distinct norm from nodes)),
-pairs as (select a.norm as left_norm, b.norm as right_norm from pool a join pool b on b.k between a.k + 1 and a.k + 3)"""
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each name beside the three after it in order: a pool of pairs for what works on pairs."""
-    pool = relational.numbered(_nodes(spark, sf_dir).select("norm").distinct(), "k", "norm")
-    step = pool.select(F.col("norm").alias("left_norm"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + 3)).alias("k"))
-    return step.join(pool.select("k", F.col("norm").alias("right_norm")), "k").select("left_norm", "right_norm")
-
-
-@query(f"with {_PAIRS} select left_norm, right_norm, (n - 1) // 10 as batch, cast((n - 1) % 10 + 1 as int) as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs)")
-def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.pair_batches(_pairs(spark, sf_dir))
-
-
-@query(f"""with {_PAIRS}, b as (select left_norm, right_norm, (n - 1) // 10 as batch, (n - 1) % 10 + 1 as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs))
-select batch, sha256('{extraction.ASK}' || string_agg('Pair ' || cast(pair as varchar) || ':' || chr(10) || 'Org 1: ' || left_norm || chr(10) || 'Org 2: ' || right_norm || chr(10) || chr(10), '' order by pair) || '{extraction.ANSWER}') as sha from b group by batch""")
-def pair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = extraction.pair_messages(extraction.pair_batches(_pairs(spark, sf_dir)))
-    return m.select("batch", F.sha2(F.col("message").cast("binary"), 256).alias("sha"))
-
-
 @query("""with recursive l as (select conv_id, turn, strlen(text) + 1 as n, row_number() over (partition by conv_id order by turn) as k from conversations where strlen(text) + 1 <= 600),
 r as (select conv_id, turn, k, n as held, 0 as part from l where k = 1 union all select l.conv_id, l.turn, l.k, case when r.held + l.n > 600 then l.n else r.held + l.n end, r.part + case when r.held + l.n > 600 then 1 else 0 end from r join l on l.conv_id = r.conv_id and l.k = r.k + 1)
 select conv_id, turn, cast(part as bigint) as part from r""")
@@ -382,12 +359,12 @@ def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.latest_results(parts, "doc_id")
 
 
-@query("""select source_file, 'P' as position, docket_number, amicus_name, amicus_type from (select d.url as source_file, regexp_extract(d.url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as docket_number, a.name as amicus_name, a.category as amicus_type, d.document_id from fx_documents d join fx_amici a on a.document_id = d.document_id) where document_id % 5 <> 0""")
+@query("""select source_file, 'P' as position, docket_number, filer_name, filer_type from (select d.url as source_file, regexp_extract(d.url, '/([0-9]{1,2}-[0-9]{1,4})/', 1) as docket_number, a.name as filer_name, a.category as filer_type, d.document_id from fx_documents d join fx_filers a on a.document_id = d.document_id) where document_id % 5 <> 0""")
 def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amici = fixture(spark, sf_dir, "fx_amici").groupBy("document_id").agg(F.collect_list(F.struct("name", F.col("category").alias("type"))).alias("amici"))
-    d = fixture(spark, sf_dir, "fx_documents").join(amici, "document_id")
+    filers = fixture(spark, sf_dir, "fx_filers").groupBy("document_id").agg(F.collect_list(F.struct("name", F.col("category").alias("type"))).alias("filers"))
+    d = fixture(spark, sf_dir, "fx_documents").join(filers, "document_id")
     brief = F.struct(F.lit("P").alias("position"), F.array(F.lit("No. 99-1")).alias("dockets")).alias("brief")
-    return extraction.flat_legacy(d.select(F.col("url").alias("source_file"), "amici", brief, F.when(F.col("document_id") % 5 == 0, "failed").alias("error")))
+    return extraction.flat_legacy(d.select(F.col("url").alias("source_file"), "filers", brief, F.when(F.col("document_id") % 5 == 0, "failed").alias("error")))
 
 
 @query("select count(*) as documents, cast(sum(length(text) // 4 + 25) as bigint) as input_tokens, count(*) * 500 as output_tokens, sum(length(text) // 4 + 25) / 1e6 * 0.05 + count(*) * 500 / 1e6 * 0.20 as cost from documents")
@@ -455,10 +432,40 @@ def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.merge_blocks(_char_pairs(spark, sf_dir), _word_pairs(spark, sf_dir))
 
 
-@query(f"""with {_both_sql()}, {_MERGED}, {_NODES.replace(_NAMES + ",", "", 1)}, one as (select distinct least(left_side, right_side) as left_norm, greatest(left_side, right_side) as right_norm from mg)
-select * from one where not exists (select 1 from nodes a join nodes b on a.doc_id = b.doc_id where a.norm = one.left_norm and b.norm = one.right_norm)""")
+_PAIRS = f"""{_both_sql()}, {_MERGED}, {_NODES.replace(_NAMES + ",", "", 1)}, one as (select distinct least(left_side, right_side) as left_norm, greatest(left_side, right_side) as right_norm from mg),
+pairs as (select * from one where not exists (select 1 from nodes a join nodes b on a.doc_id = b.doc_id where a.norm = one.left_norm and b.norm = one.right_norm))"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that blocking finds; features, batches and scores are made for them."""
+    return written(blocking.legal_pairs(blocking.merge_blocks(_char_pairs(spark, sf_dir), _word_pairs(spark, sf_dir)), _nodes(spark, sf_dir)), "pairs")
+
+
+@query(f"with {_PAIRS} select * from pairs")
 def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.legal_pairs(blocking.merge_blocks(_char_pairs(spark, sf_dir), _word_pairs(spark, sf_dir)), _nodes(spark, sf_dir))
+    return _pairs(spark, sf_dir)
+
+
+@query(f"""with {_PAIRS}, cs as (select p.left_norm, p.right_norm, sum(a.weight * b.weight) as s from pairs p join wt a on a.name = p.left_norm join wt b on b.name = p.right_norm and b.term = a.term group by 1, 2),
+ws as (select p.left_norm, p.right_norm, sum(a.weight * b.weight) as s from pairs p join wtw a on a.name = p.left_norm join wtw b on b.name = p.right_norm and b.term = a.term group by 1, 2)
+select p.left_norm, p.right_norm, round(coalesce(cs.s, 0), 6) as charsim, round(coalesce(ws.s, 0), 6) as wordsim from pairs p left join cs on cs.left_norm = p.left_norm and cs.right_norm = p.right_norm left join ws on ws.left_norm = p.left_norm and ws.right_norm = p.right_norm""")
+def pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, norms = _pairs(spark, sf_dir), _norms(spark, sf_dir)
+    both = blocking.cosine(pairs, blocking.tfidf(norms, blocking.char_grams(F.col("name"))), "charsim")
+    both = blocking.cosine(both, blocking.tfidf(norms, blocking.word_terms(F.col("name"))), "wordsim")
+    return both.withColumns({c: F.round(c, 6) for c in ("charsim", "wordsim")})
+
+
+@query(f"with {_PAIRS} select left_norm, right_norm, (n - 1) // 10 as batch, cast((n - 1) % 10 + 1 as int) as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs)")
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.pair_batches(_pairs(spark, sf_dir))
+
+
+@query(f"""with {_PAIRS}, b as (select left_norm, right_norm, (n - 1) // 10 as batch, (n - 1) % 10 + 1 as pair from (select *, row_number() over (order by left_norm, right_norm) as n from pairs))
+select batch, sha256('{extraction.ASK}' || string_agg('Pair ' || cast(pair as varchar) || ':' || chr(10) || 'Org 1: ' || left_norm || chr(10) || 'Org 2: ' || right_norm || chr(10) || chr(10), '' order by pair) || '{extraction.ANSWER}') as sha from b group by batch""")
+def pair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = extraction.pair_messages(extraction.pair_batches(_pairs(spark, sf_dir)))
+    return m.select("batch", F.sha2(F.col("message").cast("binary"), 256).alias("sha"))
 
 
 _LETTERS = "list_distinct(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: left(w, 1)))"
@@ -488,7 +495,7 @@ def llm_pred_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {_NODES} select * from nodes")
-def amicus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir)
 
 
@@ -502,15 +509,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.positions(_nodes(spark, sf_dir), fixture(spark, sf_dir, "fx_dockets"))
 
 
-#: Decisions by high score alone join few users, so components stay apart.
-_DECIDED = "dec as (select left_id as l, right_id as r, is_match and score >= 0.22 as m, ts, decision_id from fx_decisions where score >= 0.1)"
+_DECIDED = "dec as (select left_id as l, right_id as r, is_match as m, ts, decision_id from fx_decisions)"
 _COMPONENTS = f"""with recursive {_DECIDED}, e as (select l as u, r as v from dec where m union select r, l from dec where m), nd as (select l as node from dec union select r from dec),
 walk as (select node, node as c from nd union select e.v, walk.c from walk join e on e.u = walk.node), comp as (select node, min(c) as component from walk group by node)"""
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.1")
-    return d.select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), (F.col("is_match") & (F.col("score") >= 0.22)).alias("is_match"), "ts", "decision_id", "score")
+    return fixture(spark, sf_dir, "fx_decisions").select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), "is_match", "ts", "decision_id", "score")
 
 
 @query(f"{_COMPONENTS} select node, component from comp")
@@ -553,11 +558,11 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.name_mapping(grouped, nodes)
 
 
-@query("""with recursive e0 as (select distinct left_id as u, right_id as v from fx_decisions where score >= 0.22 and left_id <> right_id), e as (select u, v from e0 union select v, u from e0),
+@query("""with recursive e0 as (select distinct left_id as u, right_id as v from fx_decisions where left_id <> right_id), e as (select u, v from e0 union select v, u from e0),
 d as (select u, count(*) as n from e group by u), terms as (select u, u as v, 1.0::double as x, 0 as k from d union all select * from (select t.u, e.v, sum(t.x * 0.85 / d.n), max(t.k) + 1 from terms t join d on d.u = t.v join e on e.u = t.v where t.k < 160 group by t.u, e.v))
 select t.u, t.v, round(sum(t.x / d.n), 6) as sigma from terms t join d on d.u = t.v group by 1, 2""")
 def regular_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.22").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    d = fixture(spark, sf_dir, "fx_decisions").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
     return graph.regular_equivalence(d).where("sigma <> 0").withColumn("sigma", F.round("sigma", 6))
 
 
@@ -582,8 +587,8 @@ def state_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def resolvent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixture(spark, sf_dir, "fx_decisions").where("score >= 0.22")
-    return graph.resolvent(d.withColumn("p", F.col("score") / 10), "p", left="left_id", right="right_id")
+    d = fixture(spark, sf_dir, "fx_decisions")
+    return graph.resolvent(d.withColumn("p", F.col("score") / 100), "p", left="left_id", right="right_id")
 
 
 # Review --------------------------------------------------------------------------------------------------------
@@ -645,3 +650,84 @@ def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = features.where(F.length("left_norm") % 2 == 0).select(F.col("left_norm").alias("left"), F.col("right_norm").alias("right"), (first("left_norm") == first("right_norm")).alias("is_match"), F.lit(0).alias("ts"))
     model = review.train(review.labelled_features(features, decided), ["levenstein", "first_letter_jaccard", "combined_len", "len_ratio"])
     return review.match_probability(features, model).select("left_norm", "right_norm", F.round("match_probability", 6).alias("match_probability"))
+
+
+# Files ---------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select docket_url, strftime(filed_at, '%b %d %Y') as date, label, url, cast(document_id as varchar) as doc_title from fx_documents")
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links appended to a tab-separated folder twice, and read back."""
+    at, d = _folder(spark, "links"), fixture(spark, sf_dir, "fx_documents")
+    links = d.select("docket_url", F.date_format("filed_at", "MMM dd yyyy").alias("date"), "label", F.col("document_id").cast("string").alias("doc_title"), "url")
+    files.append_links(links.where("doc_title % 2 = 0"), at)
+    files.append_links(links.where("doc_title % 2 = 1"), at)
+    return files.document_links(spark, at)
+
+
+@query("select 'https://www' || substr(url, 7) as url from pages where url like 'http://%' union all select url from pages where url not like 'http://%' and trim(url) <> ''")
+def stored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of urls as a text file, some without a scheme, with blank lines."""
+    at, urls = _folder(spark, "urls"), _table(spark, sf_dir, "pages").select("url")
+    bare = urls.select(F.when(F.startswith("url", F.lit("http://")), F.concat(F.lit("www"), F.substring("url", 7, 1 << 20))).otherwise(F.col("url")).alias("line"))
+    files.write_lines(bare.unionByName(spark.createDataFrame([(" ",), ("",)], "line string")), at)
+    return files.url_list(spark, at)
+
+
+@query("select cast(document_id as varchar) || '.pdf' as blob from fx_documents")
+def stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _folder(spark, "names")
+    files.write_lines(fixture(spark, sf_dir, "fx_documents").select(F.concat(F.col("document_id").cast("string"), F.lit(".pdf")).alias("line")), at)
+    return files.name_list(spark, at)
+
+
+@query("select item_id, text, strlen(text) as length from benchmark")
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text as a file of its own, found by listing, decoded from its bytes."""
+    at = _folder(spark, "texts")
+    _table(spark, sf_dir, "benchmark").select("text", "item_id").repartition("item_id").write.partitionBy("item_id").text(at)
+    found = files.blobs(spark, at, "*.txt").select(F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), files.decoded(F.col("content")).alias("text"), (F.col("length") - 1).alias("length"))
+    return found.withColumn("text", F.regexp_replace("text", "\n$", ""))
+
+
+@query("select decision_id, left_id, right_id, is_match from fx_decisions")
+def stored_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _folder(spark, "csv")
+    files.write_csv(fixture(spark, sf_dir, "fx_decisions").select("decision_id", "left_id", "right_id", "is_match"), at)
+    return files.table_csv(spark, at, "decision_id long, left_id long, right_id long, is_match boolean")
+
+
+@query("select left_id, right_id, score, 'threshold=0.6' as made_with from fx_decisions")
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and the parameters they were made with, saved and loaded."""
+    at = _folder(spark, "features")
+    files.save_features(fixture(spark, sf_dir, "fx_decisions").select("left_id", "right_id", "score"), at, {"threshold": "0.6"})
+    found, made = files.load_features(spark, at)
+    return found.withColumn("made_with", F.lit(",".join(f"{k}={v}" for k, v in made.items())))
+
+
+@query("select 'documents' as name, count(*) as n from fx_documents union all select 'dockets', count(*) from fx_dockets join fx_documents using (document_id) union all select 'filers', count(*) from fx_filers join fx_documents using (document_id) union all select 'lawyers', count(*) from fx_lawyers join fx_documents using (document_id)")
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four tables saved in a database of their own, listed, exported as CSV and counted from there."""
+    database, at = f"sluice_{uuid.uuid4().hex}", _folder(spark, "export")
+    relational.create_tables(spark, database)
+    relational.save_tables(relational.document_tables(_records(spark, sf_dir)), database)
+    names = relational.export_csv(spark, database, at)
+    spark.sql(f"drop database {database} cascade")
+    out = None
+    for name in names:
+        one = spark.read.csv(f"{at}/{name}", header=True, multiLine=True).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select cast(case when event_id % 3 = 0 then null else event_id % 1000000 end as bigint) as pages from events")
+def total_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of result pages read from a pager's text."""
+    n = F.col("event_id") % 1_000_000
+    text = F.when(F.col("event_id") % 3 == 0, F.lit("no pages")).otherwise(F.concat(F.lit("Page 1 of "), F.format_number(n, 0)))
+    return _table(spark, sf_dir, "events").select(files.total_pages(text).alias("pages"))

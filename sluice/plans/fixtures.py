@@ -15,7 +15,7 @@ FIXTURES = {
  concat('Lawyer ', cast(o_custkey as string)) as counsel_of_record from orders""",
     "fx_dockets": """select l_orderkey as document_id, cast(18 + l_suppkey % 7 as int) as year, cast(l_partkey as int) as number,
  case when l_returnflag = 'R' then 'R' else 'P' end as position, l_linenumber as line from lineitem where l_linenumber <= 2""",
-    "fx_amici": """select l_orderkey as document_id, l_linenumber as line,
+    "fx_filers": """select l_orderkey as document_id, l_linenumber as line,
  case (l_partkey + l_linenumber) % 6 when 0 then concat('The ', p_name, ' Association') when 1 then concat(p_name, ' Associaton, Inc.') when 2 then concat(p_name, ' & National Foundation (PNF)') when 3 then concat(p_name, ' and natl fdn') when 4 then concat(upper(p_name), ' -- Center LLC') else concat(p_name, ' Institute''s group') end as name,
  case l_suppkey % 5 when 0 then 'individual' when 1 then 'government' else 'organization' end as category
  from lineitem join part on l_partkey = p_partkey""",

@@ -159,7 +159,7 @@ def latest_results(parts: list[DataFrame], key: str = "custom_id") -> DataFrame:
 
 
 def flat_legacy(records: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
-    """A row for each amicus and docket of a legacy record, dockets checked against the path; rows without a docket go.
+    """A row for each filer and docket of a legacy record, dockets checked against the path; rows without a docket go.
 
     flags: columns to keep or leave out, those that are not there being passed over.
     """
@@ -167,8 +167,8 @@ def flat_legacy(records: DataFrame, flags: dict[str, bool] | None = None) -> Dat
 
     fine = records.where(F.col("error").isNull())
     dockets = checked_dockets(F.col("brief.dockets"), F.col("source_file"))
-    rows = fine.select("source_file", F.col("brief.position").alias("position"), F.explode(dockets).alias("docket_number"), "amici").select("source_file", "position", "docket_number", F.inline("amici"))
-    rows = rows.withColumnsRenamed({"name": "amicus_name", "type": "amicus_type"}).orderBy("docket_number", "amicus_name")
+    rows = fine.select("source_file", F.col("brief.position").alias("position"), F.explode(dockets).alias("docket_number"), "filers").select("source_file", "position", "docket_number", F.inline("filers"))
+    rows = rows.withColumnsRenamed({"name": "filer_name", "type": "filer_type"}).orderBy("docket_number", "filer_name")
     return rows.select(*(c for c in rows.columns if (flags or {}).get(c, True)))
 
 

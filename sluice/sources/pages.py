@@ -2,99 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.names import absolute_url, in_years, is_amicus_label
+from sluice.functions.names import absolute_url, in_years, is_brief_label
 
 
-def mentions_amicus(html: Column) -> Column:
+def mentions_filer(html: Column) -> Column:
     return F.coalesce(html.rlike("(?i)amicus|amici"), F.lit(False))
 
 
-class _Rows(HTMLParser):
-    """Cells and anchors of the rows of two tables, by their ids."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.table: list[str | None] = []
-        self.title: list[str] = []
-        self.rows: list[dict] = []
-        self.cell: list[str] | None = None
-        self.anchor: dict | None = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag == "table":
-            self.table.append(a.get("id"))
-        if "proceedings" not in self.table:
-            return
-        if tag == "tr":
-            self.rows.append({"cells": [], "links": []})
-        elif tag == "td" and self.rows:
-            self.cell = []
-            self.rows[-1]["cells"].append(self.cell)
-        elif tag == "a" and self.rows:
-            self.anchor = {"href": a.get("href") or "", "text": []}
-            self.rows[-1]["links"].append(self.anchor)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "table" and self.table:
-            self.table.pop()
-        elif tag == "td":
-            self.cell = None
-        elif tag == "a":
-            self.anchor = None
-
-    def handle_data(self, data: str) -> None:
-        if "docketinfo" in self.table and data.strip():
-            self.title.append(data.strip())
-        if self.cell is not None:
-            self.cell.append(data)
-        if self.anchor is not None:
-            self.anchor["text"].append(data)
-
-
-def _links(html: str, every: bool) -> Iterator[tuple[str, str, str, str, str]]:
-    parser = _Rows()
-    parser.feed(html)
-    title = " ".join(parser.title)
-    body = parser.rows[1:]
-    for label, link in zip(body[::2], body[1::2], strict=False):
-        cells = ["".join(c).strip() for c in label["cells"]]
-        main = [a for a in link["links"] if "".join(a["text"]).strip() == "Main Document"]
-        for a in main if every else main[:1]:
-            if a["href"].endswith(".pdf"):
-                yield title, cells[0] if cells else "", cells[1] if len(cells) > 1 else "", "Main Document", a["href"]
+#: The character references that are resolved, the ampersand last.
+REFERENCES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html", every: bool = False) -> DataFrame:
-    """(docket_url, case_title, date, label, doc_title, url): the main documents listed on docket pages.
+def plain_text(html: Column) -> Column:
+    """Text of a piece of HTML: no tags, references resolved, no blanks at either end."""
+    text = F.regexp_replace(html, "<[^>]*>", "")
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    Rows of the proceedings table are read in pairs, a label row and a link row; an odd last row and pages
-    without the table give nothing.  every: all main documents of a pair, not the first alone.
-    """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["docket_url", "case_title", "date", "label", "doc_title", "href"]
-        for pdf in batches:
-            yield pd.DataFrame([(u, *row) for u, h in zip(pdf[url], pdf[html], strict=True) for row in _links(h, every)], columns=names)
+def table_of(html: Column, table_id: str) -> Column:
+    """What stands in the table of that id; empty where there is none."""
+    return F.regexp_extract(html, rf"""(?is)<table\b[^>]*\bid\s*=\s*["']?{table_id}["']?(?=[\s>])[^>]*>(.*?)</table>""", 1)
 
-    worth = pages.where(mentions_amicus(F.col(html))).select(url, html)
-    found = worth.mapInPandas(parse, "docket_url string, case_title string, date string, label string, doc_title string, href string")
-    return found.withColumn("url", absolute_url(F.col("docket_url"), F.col("href"))).drop("href")
 
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", every: bool = False) -> DataFrame:
+    """(docket_url, case_title, date, label, doc_title, url): the main documents listed on docket pages.
 
-def amicus_briefs(links: DataFrame) -> DataFrame:
-    """Links of amicus briefs of the wanted years, with the blob name."""
+    Rows of the proceedings table are read in pairs, a label row and a link row; an odd last row and pages
+    without the table give nothing.  every: all main documents of a pair, not the first alone.  Built-in functions
+    only; a table ends at its first end tag.
+    """
+    worth = pages.where(mentions_filer(F.col(html))).select(F.col(url).alias("docket_url"), table_of(F.col(html), "docketinfo").alias("info"), table_of(F.col(html), "proceedings").alias("body"))
+    title = F.array_join(F.filter(F.transform(F.split("info", "<[^>]*>"), plain_text), lambda x: x != ""), " ")
+    rows = worth.where("body != ''").select("docket_url", title.alias("case_title"), F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|$)"), F.lit(1)).alias("rows"))
+    # the head row is the first, so pair n holds rows 2n and 2n + 1 counted from one
+    pairs = rows.where(F.size("rows") >= 3).select("docket_url", "case_title", "rows", F.explode(F.sequence(F.lit(1), F.floor((F.size("rows") - 1) / 2).cast("int"))).alias("n"))
+    pairs = pairs.select("docket_url", "case_title", F.col("rows")[2 * F.col("n") - 1].alias("label"), F.col("rows")[2 * F.col("n")].alias("link"))
+    anchor = lambda part: F.regexp_extract_all("link", F.lit(r"(?is)<a\b([^>]*)>(.*?)(?=</a>|<a\b|$)"), F.lit(part))
+    pairs = pairs.withColumns({"cells": F.transform(F.regexp_extract_all("label", F.lit(r"(?is)<td\b[^>]*>(.*?)(?=</td>|<td\b|$)"), F.lit(1)), plain_text), "at": anchor(1), "of": F.transform(anchor(2), plain_text)})
+    main = F.filter(F.arrays_zip("at", "of"), lambda x: x["of"] == "Main Document")
+    href = plain_text(F.concat_ws("", F.regexp_extract("x.at", r"""(?i)\bhref\s*=\s*"([^"]*)\"""", 1), F.regexp_extract("x.at", r"(?i)\bhref\s*=\s*'([^']*)'", 1)))
+    found = pairs.select("docket_url", "case_title", "cells", F.explode(main if every else F.slice(main, 1, 1)).alias("x")).withColumn("href", href).where(F.endswith("href", F.lit(".pdf")))
+    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
+    return found.select("docket_url", "case_title", cell(0).alias("date"), cell(1).alias("label"), F.lit("Main Document").alias("doc_title"), absolute_url(F.col("docket_url"), F.col("href")).alias("url"))
+
+
+def filed_briefs(links: DataFrame) -> DataFrame:
+    """Links of filer briefs of the wanted years, with the blob name."""
     from sluice.functions.names import blob_name, docket_url_key
 
     found = links.withColumns({"docket_url": docket_url_key(F.col("docket_url")), "blob": blob_name(F.col("url"))})
-    return found.where(is_amicus_label(F.col("label")) & in_years(F.col("blob")))
+    return found.where(is_brief_label(F.col("label")) & in_years(F.col("blob")))
 
 
 #: The labels of a case page's rows, by field; the first four have one value, the others a list.
@@ -103,7 +65,7 @@ CASE_FIELDS = {
     "date_filed": "Date filed",
     "case_title": "Case",
     "position": "Position",
-    "amicus_organizations": "Amicus curiae",
+    "filer_organizations": "Amicus curiae",
     "petitioners": "Petitioner",
     "respondents": "Respondent",
 }

@@ -112,17 +112,17 @@ def test_progress_of_nothing(spark):
 
 
 def test_tables_from_records(spark, tmp_path):
-    rec = {"dockets": [{"year": 20, "number": 1599, "position": "P"}], "amici": [{"name": "X", "category": "organization"}], "all_amici_on_cover_page": True, "lawyers": [{"name": "A", "role": None, "employer": "E"}, {"name": None}], "counsel_of_record": "A"}
+    rec = {"dockets": [{"year": 20, "number": 1599, "position": "P"}], "filers": [{"name": "X", "category": "organization"}], "all_on_cover_page": True, "lawyers": [{"name": "A", "role": None, "employer": "E"}, {"name": None}], "counsel_of_record": "A"}
     (tmp_path / "b.json").write_text(json.dumps(rec))
     (tmp_path / "a.json").write_text("{broken")
     found = files.extractions(spark, str(tmp_path))
-    assert [r["source"] for r in found.select("source", "corrupt", "amici").collect() if r["corrupt"]] == ["a"]
+    assert [r["source"] for r in found.select("source", "corrupt", "filers").collect() if r["corrupt"]] == ["a"]
     t = relational.document_tables(found.where("corrupt is null"))
-    assert t["documents"].first()["complete_amici_list"] is True
+    assert t["documents"].first()["complete_list"] is True
     assert [tuple(r)[2:] for r in t["lawyers"].collect()] == [("A", "", "E", True), ("", "", "", False)]
     relational.create_tables(spark, "held")
     relational.save_tables(t, "held")
-    assert relational.list_tables(spark, "held") == ["amici", "dockets", "documents", "lawyers"]
+    assert relational.list_tables(spark, "held") == ["dockets", "documents", "filers", "lawyers"]
     relational.export_csv(spark, "held", str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out/dockets"), header=True).first()["number"] == "1599"
 
@@ -139,7 +139,7 @@ def test_case_pages(spark):
     page = row("Case", "A <b>v.</b> B") + row("Amicus curiae", "One") + row("", "Two") + row("", "Show all 9") + row("Petitioner", " P\n Q ") + row("Date filed", "")
     df = spark.createDataFrame([("u", page), ("v", None)], "url string, html string")
     got = {r["url"]: r for r in pages.case_pages(df).collect()}
-    assert got["u"]["case_title"] == "A v. B" and got["u"]["amicus_organizations"] == ["One", "Two"] and got["u"]["petitioners"] == ["P Q"]
+    assert got["u"]["case_title"] == "A v. B" and got["u"]["filer_organizations"] == ["One", "Two"] and got["u"]["petitioners"] == ["P Q"]
     assert got["u"]["date_filed"] is None and got["v"]["respondents"] == [] and got["v"]["case_title"] is None
 
 
