@@ -69,9 +69,19 @@ def merge_blocks(chars: DataFrame, words: DataFrame) -> DataFrame:
 def legal_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs as (left_norm, right_norm), the smaller first, once each, without those whose names share a document of docs (norm, doc_id)."""
     one = pairs.select(F.least("left_side", "right_side").alias("left_norm"), F.greatest("left_side", "right_side").alias("right_norm")).where("left_norm != right_norm").distinct()
-    held = docs.select("norm", "doc_id").distinct()
+    return apart_in_documents(one, docs)
+
+
+def apart_in_documents(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (left_norm, right_norm) without those whose names share a document of docs (norm, doc_id)."""
+    held, one = docs.select("norm", "doc_id").distinct(), pairs.select("left_norm", "right_norm")
     shared = one.join(held.withColumnRenamed("norm", "left_norm"), "left_norm").join(held.withColumnRenamed("norm", "right_norm"), ["right_norm", "doc_id"]).select("left_norm", "right_norm").distinct()
-    return one.join(shared, ["left_norm", "right_norm"], "left_anti")
+    return pairs.join(shared, ["left_norm", "right_norm"], "left_anti")
+
+
+def names_in(pairs: DataFrame, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
+    """(norm): the different names of either side, in order."""
+    return pairs.select(F.col(left).alias("norm")).union(pairs.select(right)).distinct().orderBy("norm")
 
 
 def cosine(pairs: DataFrame, weights: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.names import docket_label, is_docket, normalized
+from sluice.operators.blocking import apart_in_documents
 from sluice.operators.components import connected_components
 from sluice.storage import written
 
@@ -203,6 +204,32 @@ def regular_equivalence(edges: DataFrame, alpha: float = 0.85, largest: int = 2_
     return small.unionByName(ended)
 
 
+def with_equivalence(pairs: DataFrame, sigma: DataFrame, left: str = "left_norm", right: str = "right_norm", name: str = "dc_reg_eq") -> DataFrame:
+    """pairs with their sigma (u, v, sigma) as `name`: 1 for a name beside itself, 0 where there is none."""
+    known = sigma.select(F.col("u").alias(left), F.col("v").alias(right), F.col("sigma").alias("_sigma"))
+    value = F.when(F.col(left) == F.col(right), 1.0).otherwise(F.coalesce("_sigma", F.lit(0.0)))
+    return pairs.join(known, [left, right], "left").withColumn(name, value).drop("_sigma")
+
+
+def neighbouring_dockets(position_rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(docket): those on which one of names (norm) stands."""
+    return position_rows.join(names.select("norm"), "norm", "left_semi").select("docket").distinct()
+
+
+def probable_edges(pairs: DataFrame, nodes: DataFrame, p: str, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
+    """(left_norm, right_norm, p): the likeliest p of each pair; pairs of one name, of unknown names and of names that share a document go."""
+    one = pairs.groupBy(F.least(left, right).alias("left_norm"), F.greatest(left, right).alias("right_norm")).agg(F.max(p).alias("p")).where("left_norm != right_norm")
+    known = nodes.select("norm").distinct()
+    for side in ("left_norm", "right_norm"):
+        one = one.join(known.withColumnRenamed("norm", side), side, "left_semi")
+    return apart_in_documents(one, nodes)
+
+
+def names_by_document(nodes: DataFrame) -> DataFrame:
+    """(doc_id, names): the nodes of each document, in order; a document has few."""
+    return nodes.groupBy("doc_id").agg(F.array_sort(F.collect_set("norm")).alias("names"))
+
+
 def name_variants(nodes: DataFrame) -> DataFrame:
     """(norm, variants): the different raw names of each node, in order."""
     return nodes.groupBy("norm").agg(F.array_sort(F.collect_set("raw_name")).alias("variants"))
@@ -246,6 +273,12 @@ def _solved(i: np.ndarray, j: np.ndarray, p: np.ndarray, n: int, columns: np.nda
     raise ArithmeticError("I - alpha P of a component is singular or too close to it")
 
 
+def pair_means(pairs: DataFrame, p: str, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
+    """(u, v, p): the mean of p for each pair in either order, both orders given; a name beside itself once, what is missing being 0."""
+    one = pairs.groupBy(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).agg(F.avg(p).alias("p"))
+    return one.unionByName(one.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v"), "p"))
+
+
 def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_norm", right: str = "right_norm", largest: int = 2_000, tolerance: float = 1e-11) -> DataFrame:
     """(u, v, q) of (I - alpha P)^-1 for the symmetric table of pair means, for each connected component.
 
@@ -253,7 +286,7 @@ def resolvent(pairs: DataFrame, p: str, alpha: float = 0.9, left: str = "left_no
     the component's pairs alone, to a residual of `tolerance`; this holds whether or not alpha P is a contraction.  A matrix that
     has no inverse is an error.
     """
-    one = pairs.groupBy(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).agg(F.avg(p).alias("p")).where("u != v and p != 0")
+    one = pair_means(pairs, p, left, right).where("u < v and p != 0")
     component = connected_components(one, "u", "v")
     counted = component.withColumn("n", F.count("*").over(Window.partitionBy("component")))
     tagged = one.join(counted.select(F.col("node").alias("u"), "component", "n"), "u")

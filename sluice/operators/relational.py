@@ -62,6 +62,15 @@ def save_tables(tables: dict[str, DataFrame], database: str) -> None:
         df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
 
 
+def load_folder(spark: SparkSession, folder: str, database: str, recursive: bool = False) -> None:
+    """The four tables of a database from a folder of extraction records; files that cannot be read are left out."""
+    from sluice.sources.files import extractions
+
+    records = written(extractions(spark, folder, recursive), "records")
+    create_tables(spark, database)
+    save_tables(document_tables(records.where("corrupt is null")), database)
+
+
 def list_tables(spark: SparkSession, database: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
 
@@ -115,6 +124,16 @@ def pending_work(all_blobs: DataFrame, tracking: DataFrame, key: str = "blob", f
     return all_blobs if force else all_blobs.join(tracking.where("has_text").select(key), key, "left_anti")
 
 
+def tracking_rows(blobs: DataFrame, key: str = "blob") -> DataFrame:
+    """(blob, id, at): a new row of the log for each blob."""
+    return blobs.select(F.col(key).alias("blob"), F.uuid().alias("id"), F.current_timestamp().alias("at"))
+
+
+def appended(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new rows; columns that one side lacks are null there."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
 def latest_status(log: DataFrame, key: str = "blob", at: str = "at") -> DataFrame:
     """The last row of an append-only log for each key."""
     rest = [c for c in log.columns if c != key]

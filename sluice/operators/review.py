@@ -48,6 +48,14 @@ def review_statistics(scored: DataFrame, decisions: DataFrame) -> DataFrame:
     return a.crossJoin(b)  # one row each
 
 
+def decision_log(decisions: DataFrame, *order: str, save_every: int = 5, train_every: int = 10) -> DataFrame:
+    """decisions with number (from 1, in order), since_save (decisions since the last save, itself counted) and trains (whether the model is due)."""
+    from sluice.operators.relational import numbered
+
+    n = numbered(decisions, "number", *(order or ("ts", "left", "right")))
+    return n.withColumns({"since_save": F.col("number") % save_every, "trains": F.col("number") % train_every == 0})
+
+
 def progress(decisions: DataFrame, total: int, ts: str = "ts") -> DataFrame:
     """One row: decisions, first, last, elapsed_seconds, per_hour, hours_left, percent; nulls where nothing has elapsed."""
     d = decisions.agg(F.count("*").alias("decisions"), F.min(ts).alias("first"), F.max(ts).alias("last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import names as N
@@ -315,10 +315,15 @@ def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.size_batches(lines, 600, "turn", "text", group="conv_id").select("conv_id", "turn", "part")
 
 
-def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response lines in all the forms they come in."""
+def _verdict_text() -> Column:
+    one = F.struct(F.lit(1).alias("pair"), (F.col("event_id") % 2 == 0).alias("are_same_entity"), F.round(F.col("value") / 1000.0, 3).alias("confidence"))
+    return F.to_json(F.struct(F.array(one).alias("results")))
+
+
+def _responses(spark: SparkSession, sf_dir: str, content: Column | None = None) -> DataFrame:
+    """Response lines in all the forms they come in; content is the answer, of verdicts if none is given."""
     e = _table(spark, sf_dir, "events")
-    content = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("pair"), (F.col("event_id") % 2 == 0).alias("are_same_entity"), F.round(F.col("value") / 1000.0, 3).alias("confidence"))).alias("results")))
+    content = _verdict_text() if content is None else content
     content = F.when(F.col("event_id") % 7 == 0, "not json {").otherwise(content)
     body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
     head = F.concat(F.lit('{"custom_id":"batch_'), F.col("event_id").cast("string"), F.lit('",'))
@@ -560,9 +565,12 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.name_mapping(grouped, nodes)
 
 
-@query("""with recursive e0 as (select distinct left_id as u, right_id as v from fx_decisions where left_id <> right_id), e as (select u, v from e0 union select v, u from e0),
-d as (select u, count(*) as n from e group by u), terms as (select u, u as v, 1.0::double as x, 0 as k from d union all select * from (select t.u, e.v, sum(t.x * 0.85 / d.n), max(t.k) + 1 from terms t join d on d.u = t.v join e on e.u = t.v where t.k < 160 group by t.u, e.v))
-select t.u, t.v, round(sum(t.x / d.n), 6) as sigma from terms t join d on d.u = t.v group by 1, 2""")
+_EQUIVALENCE = """with recursive e0 as (select distinct left_id as u, right_id as v from fx_decisions where left_id <> right_id), e as (select u, v from e0 union select v, u from e0),
+d as (select u, count(*) as n from e group by u), terms as (select u, u as v, 1.0::double as x, 0 as k from d union all select * from (select t.u, e.v, sum(t.x * 0.85 / d.n), max(t.k) + 1 from terms t join d on d.u = t.v join e on e.u = t.v where t.k < 160 group by t.u, e.v)),
+sg as (select t.u, t.v, round(sum(t.x / d.n), 6) as sigma from terms t join d on d.u = t.v group by 1, 2)"""
+
+
+@query(f"{_EQUIVALENCE} select u, v, sigma from sg")
 def regular_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixture(spark, sf_dir, "fx_decisions").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
     return graph.regular_equivalence(d).where("sigma <> 0").withColumn("sigma", F.round("sigma", 6))

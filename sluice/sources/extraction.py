@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.schemas import APPENDIX, EXTRACTION, VERDICTS
+from sluice.schemas import APPENDIX, EXTRACTION, LEGACY_RECORD, VERDICTS
 
 #: Dollars for a million input and output tokens.
 PRICES = {
@@ -158,6 +158,43 @@ def latest_results(parts: list[DataFrame], key: str = "custom_id") -> DataFrame:
     return every.groupBy(key).agg(F.max_by(F.struct(*rest), "_n").alias("r")).select(key, "r.*")
 
 
+def name_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(left_norm, right_norm) of two columns; rows with a missing or blank name go."""
+    there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return df.where(there(left) & there(right)).select(F.col(left).alias("left_norm"), F.col(right).alias("right_norm"))
+
+
+def confident(judged: DataFrame, least: float = 0.9) -> DataFrame:
+    """Verdicts of one entity with at least that confidence, surest first."""
+    return judged.where(F.col("are_same_entity") & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), "batch", "pair")
+
+
+def legacy_records(lines: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Legacy records of response lines, and the custom_id of lines that sources (custom_id, source_file) does not know.
+
+    A response that failed, is empty or cannot be decoded becomes a record with confidence `error` and its status as error.
+    """
+    got, known = parse_responses(lines, LEGACY_RECORD), sources.select("custom_id", "source_file")
+    ok = F.col("status") == "ok"
+    taken = got.join(known, "custom_id").select(
+        "source_file", "parsed.extraction_time", "parsed.filers", "parsed.lawyers", "parsed.brief", F.when(ok, F.col("parsed.confidence")).otherwise("error").alias("confidence"), F.when(~ok, F.col("status")).alias("error")
+    )
+    return taken, got.join(known, "custom_id", "left_anti").select("custom_id")
+
+
+def run_statistics(records: DataFrame) -> DataFrame:
+    """One row: files, errors, and the filers and dockets of the records without an error."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("error").isNull() & F.col(c).isNotNull(), F.size(c)).otherwise(0)), F.lit(0)).cast("long")
+    return records.agg(F.count("*").alias("files"), F.count("error").alias("errors"), total("filers").alias("filers"), total("brief.dockets").alias("dockets"))
+
+
+def with_metadata(results: DataFrame, briefs: DataFrame, blob_name: str = "blob_name", blob: str = "blob") -> DataFrame:
+    """results with the other columns of the brief whose blob ends in their blob_name; of several the smallest blob's, nulls without one."""
+    rest = [c for c in briefs.columns if c != blob]
+    known = briefs.groupBy(F.regexp_replace(blob, r"^.*/", "").alias(blob_name)).agg(F.min_by(F.struct(*rest), blob).alias("_m"))
+    return results.join(known, blob_name, "left").select(*results.columns, *(F.col(f"_m.{c}").alias(c) for c in rest))
+
+
 def flat_legacy(records: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
     """A row for each filer and docket of a legacy record, dockets checked against the path; rows without a docket go.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,6 +34,32 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_state(tables: dict[str, DataFrame], folder: str) -> str:
+    """Tables as a new version of a state.  Its mark comes last, so a save that breaks off leaves the version before it."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{folder}/{time.time_ns():020d}"
+    for name, df in tables.items():
+        df.write.parquet(f"{version}/{name}")
+    spark.createDataFrame([(name,) for name in tables], "name string").coalesce(1).write.json(f"{version}/whole")
+    return version
+
+
+def load_state(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last version that was saved as a whole; none where there is no such version."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/whole/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        return {}
+    version = max(str(f.getPath().getParent().getParent()) for f in found)
+    names = spark.read.schema("name string").json(f"{version}/whole").collect()
+    return {r["name"]: spark.read.parquet(f"{version}/{r['name']}") for r in names}
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that written() makes inside the block, once it has ended; its result must be written outside.

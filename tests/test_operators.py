@@ -7,6 +7,7 @@ from sluice.functions import similarity as S
 from sluice.operators import blocking, graph, relational, review
 from sluice.operators.components import connected_components
 from sluice.sources import extraction, files, pages
+from sluice.storage import load_state, save_state
 
 
 def test_similarities():
@@ -214,3 +215,36 @@ def test_streamed_decisions(spark, tmp_path):
     q = D.decision_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["decisions"], r["matches"]) for r in spark.sql("select * from rates").collect()) == [(1, 0), (2, 2)]
+
+
+def test_state_is_loaded_whole(spark, tmp_path):
+    at = str(tmp_path / "state")
+    assert load_state(spark, at) == {}
+    save_state({"a": spark.range(3)}, at)
+    broken = save_state({"a": spark.range(5)}, at)
+    (tmp_path / "state" / broken.rsplit("/", 1)[1] / "whole" / "_SUCCESS").unlink()
+    assert load_state(spark, at)["a"].count() == 3
+
+
+def test_equivalence_of_pairs(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", "z"), (None, "b")], "left_norm string, right_norm string")
+    sigma = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5)], "u string, v string, sigma double")
+    got = {(r["left_norm"], r["right_norm"]): r["dc_reg_eq"] for r in graph.with_equivalence(pairs, sigma).collect()}
+    assert got == {("a", "b"): 0.5, ("a", "a"): 1.0, ("a", "z"): 0.0, (None, "b"): 0.0}
+
+
+def test_probable_edges_are_refused(spark):
+    nodes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "norm string, doc_id long")
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("c", "a", 0.4), ("a", "c", 0.7), ("a", "a", 0.9), ("a", "x", 0.9)], "left_norm string, right_norm string, p double")
+    assert [tuple(r) for r in graph.probable_edges(pairs, nodes, "p").collect()] == [("a", "c", 0.7)]
+
+
+def test_name_pairs_without_gaps(spark):
+    rows = spark.createDataFrame([("a", "b"), (None, "b"), ("a", " "), ("nan", "b")], "x string, y string")
+    assert sorted(tuple(r) for r in extraction.name_pairs(rows, "x", "y").collect()) == [("a", "b"), ("nan", "b")]
+
+
+def test_decision_log_counts_from_the_last_save(spark):
+    rows = review.decision_log(spark.range(12), "id", save_every=5, train_every=10).orderBy("id").collect()
+    assert [r["since_save"] for r in rows] == [1, 2, 3, 4, 0, 1, 2, 3, 4, 0, 1, 2]
+    assert [r["number"] for r in rows if r["trains"]] == [10]
