@@ -23,9 +23,9 @@ PRICES = {
     "o1-mini": (0.55, 2.20),
     "computer-use-preview": (1.50, 6.00),
 }
-#: The wording of a message that asks about several pairs.
-ASK = "Compare the following organization pairs and determine if each pair represents the same entity:\n\n"
-ANSWER = "For each pair, provide an assessment in a JSON array format. Include only the pair number, whether they are the same entity, and your confidence level."
+#: What a message that asks about several pairs says before and after them.
+ASK = "Decide for each of these pairs of organization names whether both name one organization.\n\n"
+ANSWER = "Answer with a JSON list: for each pair its number, whether it is one organization, and how sure you are, from 0 to 1."
 
 
 def price(model: str, default: str = "gpt-4o-mini") -> tuple[float, float]:
@@ -57,12 +57,12 @@ def pair_batches(pairs: DataFrame, size: int = 10, *order: str) -> DataFrame:
     return n.withColumns({"batch": F.floor((F.col("_n") - 1) / size).cast("long"), "pair": (F.pmod(F.col("_n") - 1, F.lit(size)) + 1).cast("int")}).drop("_n")
 
 
-def pair_messages(batched: DataFrame, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
-    """(batch, message): the user message of each batch."""
+def pair_messages(batched: DataFrame, left: str = "left_norm", right: str = "right_norm", ask: str = ASK, answer: str = ANSWER) -> DataFrame:
+    """(batch, message): the user message of each batch, its pairs between ask and answer."""
     one = F.concat(F.lit("Pair "), F.col("pair").cast("string"), F.lit(":\nOrg 1: "), F.col(left), F.lit("\nOrg 2: "), F.col(right), F.lit("\n\n"))
     # a batch has a fixed number of pairs, so its list is bounded
     parts = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pair", one.alias("text")))).alias("parts"))
-    return parts.select("batch", F.concat(F.lit(ASK), F.array_join(F.transform("parts", lambda p: p["text"]), ""), F.lit(ANSWER)).alias("message"))
+    return parts.select("batch", F.concat(F.lit(ask), F.array_join(F.transform("parts", lambda p: p["text"]), ""), F.lit(answer)).alias("message"))
 
 
 def pair_requests(batched: DataFrame, prompt: str, model: str = "gpt-4o-mini", schema_name: str = "Match", schema: str = "{}") -> DataFrame:
