@@ -11,7 +11,8 @@ Verification runs in two steps, neither of which drops a link between components
 few minhashes of whole sets are verified; their links give provisional components, which melts groups of near copies
 however large.  Then every two components that share a prefix key are verified: the nodes of the smaller one walk the
 prefix trees of the larger one, whose nodes stand in blocks.  A set is sent once to a block, not once for each pair,
-and one link of a node with a block is enough, since a block is part of one component.
+and one link of a node with a block is enough, since a block is part of one component.  Whole sets travel as compressed
+texts, a third of the size of their keys, and become keys again where they are walked.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a text of fewer than n words is one
 shingle; rows sharing a doc_id are judged each by its own text; a row without a doc_id gets the component of the
@@ -28,7 +29,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import BROADCAST_BYTES, kept, scratch, sized, text_slices, written
@@ -49,6 +52,8 @@ TREE, PROBES = 256, 2_048
 #: Neighbours looked at and taken for a node in each order of the first step.
 LOOK, TAKE = 6, 2
 CACHE = 300_000
+#: Bytes of text that become keys at once.
+SLICE = 3 << 20
 #: Bits of the map of wanted documents, where they are too many to broadcast.
 WANTED_BITS = 1 << 28
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -203,21 +208,32 @@ class PrefixTree:
 
 
 def _keys(column: pa.Array) -> list[np.ndarray]:
-    if pa.types.is_list(column.type):
-        values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-    return [np.frombuffer(k, np.uint64) for k in column.to_pylist()]
+    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, last: bool = False, first: bool = False) -> DataFrame:
+def _unpacked(column: pa.Array, shingler: Shingler, bits: np.ndarray) -> list[np.ndarray]:
+    """The ordered keys of packed texts, a few megabytes of text at a time."""
+    unpack, out, texts, size = zstandard.ZstdDecompressor().decompress, [], [], 0
+    for packed in column:
+        texts.append(unpack(packed.as_py()))
+        size += len(texts[-1])
+        if size > SLICE:
+            out += [_ordered(k, bits) for k in shingler.keys(texts)]
+            texts, size = [], 0
+    return out + ([_ordered(k, bits) for k in shingler.keys(texts)] if texts else [])
+
+
+def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, held_bits: Broadcast, n: int, last: bool = False, first: bool = False) -> DataFrame:
     """Probes `asked` (a, label, part) against the members (label, part, b) of the same block.
 
-    sets (id, size, and what is at hand of keys and the sketch's columns) are whole or known by their first keys.  The last
-    walk gives (a, b), with `first` one b for a probe and block; any other gives (label, part, role, id): the probes (role 1) and
+    sets (id, size, and what is at hand of the sketch's columns and either keys or the packed text) are whole or known by
+    their first keys.  The last walk gives (a, b), with `first` one b for a probe and block; any other gives (label, part, role, id): the probes (role 1) and
     members (role 0) with a partner that sizes, sketches and the walk leave room for.  A block with many probes is copied
     for every PROBES of them.
     """
-    sketched, keyed = [c for c in _S if c in sets.columns], "keys" in sets.columns
+    sketched, packed = [c for c in _S if c in sets.columns], "packed" in sets.columns
+    keyed = packed or "keys" in sets.columns
     many = written(asked.groupBy("label", "part").count().where(F.col("count") > PROBES).select("label", "part", F.ceil(F.col("count") / PROBES).cast("int").alias("copies")), "many")
     copies = sized(many, 32 * many.count())
     asked = asked.join(copies, ["label", "part"], "left").select("a", "label", "part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
@@ -225,12 +241,13 @@ def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
     rows = written(asked.select("label", "part", "copy", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(members.select("label", "part", "copy", F.lit(0).alias("role"), F.col("b").alias("id"))), "rows")
     block = ["label", "part", "copy"]
     # few rows go to the sets where they are, else both move; sets are the wide side
-    together = sets.join(sized(rows, 48 * rows.count()), "id").select(*block, "role", "id", "size", *(["keys"] if keyed else []), *sketched).repartition(*block).sortWithinPartitions(*block, "role", "id")
+    together = sets.join(sized(rows, 48 * rows.count()), "id").select(*block, "role", "id", "size", *[c for c in ("keys", "packed") if c in sets.columns], *sketched).repartition(*block).sortWithinPartitions(*block, "role", "id")
     names, kinds = (["a", "b"], [pa.int64()] * 2) if last else (["label", "part", "role", "id"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, tree, bits, sizes, met = (0, 0, 0), [], None, None, None, None
         found: list = []
+        shingler = kept(f"shingles of {n}", lambda: Shingler(n)) if packed else None
 
         def done() -> None:
             if met is not None and not last:
@@ -239,13 +256,16 @@ def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (*block, "role", "id", "size")]
             marks = np.stack([batch.column(c).to_numpy() for c in sketched], axis=1) if sketched else None
-            keys = _keys(batch.column("keys")) if keyed else [None] * batch.num_rows
-            for n, (label, part, copy, role, i, size) in enumerate(zip(*columns, strict=True)):
+            if packed:
+                keys = _unpacked(batch.column("packed"), shingler, held_bits.value)
+            else:
+                keys = _keys(batch.column("keys")) if keyed else [None] * batch.num_rows
+            for r, (label, part, copy, role, i, size) in enumerate(zip(*columns, strict=True)):
                 if (label, part, copy) != at:
                     done()
                     at, held, tree, met = (label, part, copy), [], None, None
                 if role == 0:
-                    held.append((i, size, keys[n].copy() if keyed else None, marks[n].copy() if sketched else None))
+                    held.append((i, size, keys[r].copy() if keyed else None, marks[r].copy() if sketched else None))
                     continue
                 if not held:
                     continue
@@ -255,10 +275,10 @@ def walked(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
                     bits = np.stack([h[3] for h in held]) if sketched else None
                 among = (sizes * percent <= size * 100) & (size * percent <= sizes * 100)
                 if sketched:
-                    among &= _roomy(marks[n], size, bits, sizes, percent)
+                    among &= _roomy(marks[r], size, bits, sizes, percent)
                 if not among.any():
                     continue
-                good = tree.reach(keys[n], size, percent, among, first) if keyed else np.flatnonzero(among)
+                good = tree.reach(keys[r], size, percent, among, first) if keyed else np.flatnonzero(among)
                 met[good] = True
                 if last:
                     found.extend((i, held[m][0]) for m in good)
@@ -281,12 +301,13 @@ def _roomy(mark: np.ndarray, size: np.ndarray | int, marks: np.ndarray, sizes: n
 
 
 def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """doc_id, node (a digest of the set), n_shingles and keys: all of them as bytes, or only the prefix as numbers.
+    """doc_id, node (a digest of the set), n_shingles and, of the set, the keys of the prefix or as a `whole` its packed text.
 
     With the prefix come the columns of the sketch and the minhashes.  `wanted` is a bitmap over docs.at: rows whose bit is
     not set give no row.
     """
     held = docs.sparkSession.sparkContext.broadcast((bits, wanted))
+    kind = "packed binary" if whole else "keys array<long>"
     extra = "" if whole else "".join(f", {c} long" for c in _S + _M)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +320,17 @@ def key_table(docs: DataFrame, bits: np.ndarray, n: int, percent: int, whole: bo
             nodes = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() if len(r) else None for r in rows]
             columns = [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(r) for r in rows], pa.int64())]
             if whole:
-                columns.append(pa.array([r.tobytes() for r in rows], pa.binary()))
+                pack = zstandard.ZstdCompressor().compress
+                columns.append(pa.array([pack(t.lower()) for t in texts], pa.binary()))
             else:
                 cut = [r[: len(r) + (-percent * len(r)) // 100 + 1] if len(r) else r for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *cut]).view(np.int64))))
                 bitmaps = np.stack([sketch(r) for r in rows]) if rows else np.empty((0, len(_S)), np.int64)
                 columns += [pa.array(c.copy()) for c in bitmaps.T] + [pa.array(c) for c in minhashes(rows)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "keys", *([] if whole else _S + _M)])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", kind.split()[0], *([] if whole else _S + _M)])
 
-    return docs.select("doc_id", "text", *(["at"] if wanted is not None else [])).mapInArrow(run, f"doc_id long, node binary, n_shingles long, keys {'binary' if whole else 'array<long>'}{extra}")
+    return docs.select("doc_id", "text", *(["at"] if wanted is not None else [])).mapInArrow(run, f"doc_id long, node binary, n_shingles long, {kind}{extra}")
 
 
 def _set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -424,8 +446,9 @@ def _asked(member: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, asked: DataFrame, members: DataFrame, bits: np.ndarray, n: int, percent: int, first: bool) -> DataFrame:
     """(a, b) that link: sketches, then a walk over the keys at hand leave few, whose whole sets are then made from a text each."""
     both = lambda rows: (rows.where("role = 1").select(F.col("id").alias("a"), "label", "part").distinct(), rows.where("role = 0").select("label", "part", F.col("id").alias("b")).distinct())
-    some = written(walked(asked, members, heads.select("id", "size", *_S), percent), "sketched")
-    some = written(walked(*both(some), heads.select("id", "size", "keys", *_S), percent), "possible")
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    some = written(walked(asked, members, heads.select("id", "size", *_S), percent, held, n), "sketched")
+    some = written(walked(*both(some), heads.select("id", "size", "keys", *_S), percent, held, n), "possible")
     wanted = written(nodes.select("node", "id", "first").join(some.select("id").distinct(), "id"), "wanted")
     size = 24 * wanted.count()
     texts = docs.select("doc_id", "text")
@@ -435,5 +458,5 @@ def _links(docs: DataFrame, nodes: DataFrame, heads: DataFrame, asked: DataFrame
         found = key_table(texts.withColumn("at", hash_place("doc_id", WANTED_BITS)), bits, n, percent, whole=True, wanted=bitmap(wanted))
     got = found.join(sized(wanted.select("node", "id"), 2 * size), "node")
     # repeated rows give a set once more, and then a link: no harm
-    sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "keys"), "sets")
-    return written(walked(*both(some), sets, percent, last=True, first=first).distinct(), "links")
+    sets = written(got.select("id", F.col("n_shingles").cast("int").alias("size"), "packed"), "sets")
+    return written(walked(*both(some), sets, percent, held, n, last=True, first=first).distinct(), "links")
