@@ -9,7 +9,8 @@ hidden state emits a class, a class emits its token by smoothed training counts:
 so scores are proper probabilities over an open vocabulary.  A bounded sample only makes the start of the model.  Then
 Baum-Welch rounds run over all training texts: each partition runs forward-backward, expected counts are summed by
 class across partitions, and only the sums (bounded by states x classes) reach the driver; rounds end when the
-likelihood of all training tokens gains less than `least` a token, or after `rounds`.
+likelihood of all training tokens gains less than `least` a token, or after `rounds`.  Texts become class numbers once,
+in a written table that all rounds read.
 
 Forward-backward runs over overlapping segments, many at a time: a segment's counts are taken from its core alone, with
 `MARGIN` tokens read before and after it, by which a chain has forgotten where it was cut.  Every token and every move
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import first_by_hash, text_slices, written
+from sluice.llm.common import dropped, first_by_hash, text_slices, written
 
 STATES = 8
 OWN = 16_384
@@ -43,6 +44,8 @@ SUFFIXES = 2_048
 KNOWN = 65_536
 #: Tokens of a segment's core, and tokens read on both sides of it.
 SEGMENT, MARGIN = 256, 16
+#: Tokens that stand in memory at once in a round.
+CODED = 1 << 19
 #: Documents and rounds of the start; rounds over all texts, and the gain in nats a token that asks for another.
 SAMPLE, START_ROUNDS = 1_500, 6
 ROUNDS, LEAST = 3, 0.001
@@ -90,6 +93,10 @@ class Lexicon:
     def classes(self) -> int:
         return self.own + SUFFIXES
 
+    @property
+    def code_bytes(self) -> int:
+        return 2 if self.classes <= 1 << 16 else 4
+
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Classes and ranks (-1: none) of all tokens, tokens per text, and the tokens themselves."""
         split = [tokens(t) for t in texts]
@@ -214,8 +221,8 @@ def expected(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.n
             beta[:m] = inner @ move.T
         g = alphas[at] * beta[:n]
         alphas[at] = g / g.sum(axis=1, keepdims=True)  # from here on the chance of each state
-    held = classes[core]
-    emits = np.stack([np.bincount(held, alphas[core, i], len(model.emit)) for i in range(k)], axis=1)
+    held, shares = classes[core], alphas[core]
+    emits = np.stack([np.bincount(held, shares[:, i], len(model.emit)) for i in range(k)], axis=1)
     first = (np.cumsum(cut) - cut)[begins]
     return alphas[first].sum(axis=0, dtype=np.float64), moves, emits, float(np.log(scales[core].astype(np.float64)).sum())
 
@@ -233,6 +240,22 @@ def segments(sizes: np.ndarray, longest: int = SEGMENT, margin: int = MARGIN) ->
     return within + np.repeat((np.cumsum(sizes) - sizes)[owner], cut), cut, low == 0, core
 
 
+def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """codes: the classes of each text's tokens, as unsigned numbers of lex.code_bytes bytes."""
+    held = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = held.value
+        for _, texts in text_slices(batches):
+            classes, _, sizes, _ = lex.codes(texts)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * lex.code_bytes
+            values = classes.astype(f"<u{lex.code_bytes}")
+            buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), buffers)], names=["codes"])
+
+    return docs.select("text").mapInArrow(run, "codes binary")
+
+
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STATES, sample: int = SAMPLE, least: float = LEAST) -> Model:
     first = first_by_hash(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", sample).distinct()
     texts = [(r["text"] or "").encode() for r in docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").limit(sample).collect()]
@@ -242,15 +265,17 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
         model = Model.of(*expected(model, classes, sizes)[:3])
     before = -np.inf
     sc = docs.sparkSession.sparkContext
+    codes, width = written(coded(docs, lex), "codes") if rounds else None, lex.code_bytes
     for _ in range(rounds):
-        held = sc.broadcast((lex, model))
+        held = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            lex, model = held.value
+            model = held.value
             k = len(model.start)
-            start, move, emit, seen = np.zeros(k), np.zeros((k, k)), np.zeros((lex.classes, k)), np.zeros(2)
-            for _, texts in text_slices(batches, max_bytes=3 << 20):
-                classes, _, sizes, _ = lex.codes(texts)
+            start, move, emit, seen = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), np.zeros(2)
+            for _, texts in text_slices(batches, "codes", CODED * width):
+                classes = np.frombuffer(b"".join(texts), f"<u{width}").astype(np.int32)
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // width
                 s, m, e, log = expected(model, classes, sizes)
                 start, move, emit, seen = start + s, move + m, emit + e, seen + [log, len(classes)]
             at = np.flatnonzero(emit.sum(axis=1))
@@ -260,7 +285,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
 
         names = [f"s{i}" for i in range(states)]
         schema = "at long, " + ", ".join(f"{n} double" for n in names)
-        got = docs.select("text").mapInArrow(run, schema).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        got = codes.mapInArrow(run, schema).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states))
         for at, row in zip(got["at"].tolist(), got[names].to_numpy(), strict=True):
             if at >= 0:
@@ -276,6 +301,8 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int = STA
         if not len(got) or now - before < least:
             break
         before = now
+    if codes is not None:
+        dropped(codes)
     return model
 
 
@@ -286,7 +313,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = held.value
-        for batch, texts in text_slices(batches, max_bytes=8 << 20):
+        for batch, texts in text_slices(batches):
             classes, ranks, sizes, words = lex.codes(texts)
             ends = np.cumsum(sizes)
             begins = ends - sizes
