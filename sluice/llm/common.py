@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,9 +78,16 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable[[], object]) -> object:
-    """What a worker process keeps from task to task; one thing at a time, so operators do not add up."""
+    """What a worker process keeps from task to task; one thing at a time, so operators do not add up.
+
+    A worker outlives its stage: where another thing takes over, freed memory goes back to the system first.
+    """
     if name not in _KEPT:
         _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
         _KEPT[name] = make()
     return _KEPT[name]
 
