@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import row_key, sized, text_slices, written
+from sluice.llm.common import HELD, row_key, sized, text_slices, written
 
 SPAN = 200
 GRAM = 64
@@ -240,7 +240,9 @@ def _spans(flags: np.ndarray, shift: int) -> list[dict]:
 
 def _contexts(docs: DataFrame, wanted: DataFrame, n_bytes: int, span: int) -> DataFrame:
     """The bytes of the wanted contexts: (key, context, times) and the first window's offset, windows, core, data, a digest of it and hot."""
-    lists = wanted.groupBy("row_key").agg(F.collect_list(F.struct("lo", "n", "key", "context", "times", "hot")).alias("wanted"))
+    # few numbers for each: lo and n in one, times below 0 where the key is hot
+    each = F.struct((F.shiftleft(F.col("lo").cast("long"), 32) + F.col("n")).alias("at"), "key", "context", F.when(F.col("hot"), -F.col("times")).otherwise(F.col("times")).alias("times"))
+    lists = wanted.groupBy("row_key").agg(F.collect_list(each).alias("wanted"))
     joined = docs.join(sized(lists, n_bytes), "row_key").dropDuplicates(["row_key"]) if n_bytes else docs.join(lists, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +252,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, n_bytes: int, span: int) -> Da
             out: list[tuple] = []
             for text, rows in zip(texts, batch.column("wanted").to_pylist(), strict=True):
                 for w in rows:
-                    lo, n = w["lo"], w["n"]
-                    if not w["hot"]:
-                        out.append((w["key"], w["context"], w["times"], 0, 0, n, text[lo : lo + n + span - 1], None, False))
+                    lo, n, times = w["at"] >> 32, w["at"] & 0xFFFFFFFF, abs(w["times"])
+                    if w["times"] > 0:
+                        out.append((w["key"], w["context"], times, 0, 0, n, text[lo : lo + n + span - 1], None, False))
                         continue
                     # windows by their distance to their first smallest gram, a few at a time, keyed by the bytes these have in common
                     h = gram_hashes(np.frombuffer(text[lo : lo + n + span - 1], np.uint8)).view(np.int64)
@@ -266,7 +268,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, n_bytes: int, span: int) -> Da
                         core = text[anchor - bottom : anchor - top + span]
                         digest = hashlib.blake2b(core, digest_size=8, salt=bytes([int(part[a])])).digest()
                         data = text[lo + a : lo + b + span - 1]
-                        out.append((w["key"], w["context"], w["times"], a, int.from_bytes(digest, "little", signed=True), b - a, data, hashlib.blake2b(data, digest_size=16).digest(), True))
+                        out.append((w["key"], w["context"], times, a, int.from_bytes(digest, "little", signed=True), b - a, data, hashlib.blake2b(data, digest_size=16).digest(), True))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return joined.select("text", "wanted").mapInArrow(run, "key long, context long, times long, shift int, core long, windows int, data binary, digest binary, hot boolean")
@@ -289,7 +291,8 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     runs = written(docs.select("row_key", "text").mapInArrow(find, "row_key long, lo int, n int, key long, context long, again boolean"), "runs")
     # a key that stands in one run, once, cannot repeat
     keys = written(runs.groupBy("key").agg(F.count("*").alias("runs"), F.max("again").alias("again")).where("runs > 1 or again").select("key"), "repeated")
-    met = written(runs.join(sized(keys, 16 * keys.count()), "key", "left_semi"), "met")
+    # as many as the corpus has repeated places: never sent to every executor, at any size
+    met = written(runs.join(keys.hint("merge"), "key", "left_semi"), "met")
     classes = met.groupBy("key", "context").agg(F.count("*").alias("times"), F.max("again").alias("again"), F.min(F.struct("row_key", "lo", "n")).alias("at"))
     classes = written(classes, "classes")
     width = classes.groupBy("key").agg(F.count("*").alias("different"))
@@ -299,16 +302,16 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     sure = plain.where("times > 1").select("key", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b"))).alias("spans"))
     look = classes.join(mixed.select("key", "hot"), "key").unionByName(plain.where("times = 1 and again").withColumn("hot", F.lit(False)))
     wanted = written(look.select("key", "context", "times", "hot", "at.*"), "wanted")
-    contexts = written(_contexts(docs, wanted, 48 * wanted.count(), span), "contexts")
+    contexts = written(_contexts(docs, wanted, _bytes(wanted.groupBy("row_key").agg(F.count("*").alias("n")), 2, "n", 4), span), "contexts")
     # equal pieces of hot keys collapse before they move; a group that still has too many is told apart window by window
     piece = ["key", "core", "digest"]
     pieces = written(contexts.where("hot").groupBy(*piece).agg(F.sum("times").alias("times"), F.min("windows").alias("windows"), F.min("data").alias("data")), "pieces")
     full = written(pieces.groupBy("key", "core").count().where(F.col("count") > hot).select("key", "core"), "full")
-    held_full = sized(full, 24 * full.count())
+    held_full = sized(full, _bytes(full, 2))
     window = pieces.join(held_full, ["key", "core"], "left_semi").select(*piece, "times", "data", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
     window = written(window.select(*piece, "times", "i", F.md5(F.substring("data", F.col("i") + 1, F.lit(span))).alias("window")), "single")
     again = written(window.groupBy("window").agg(F.sum("times").alias("times")).where("times > 1").select("window"), "again")
-    single = window.join(sized(again, 64 * again.count()), "window", "left_semi").groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")))).alias("spans"))
+    single = window.join(sized(again, _bytes(again, 5)), "window", "left_semi").groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")))).alias("spans"))
     few = pieces.join(held_full, ["key", "core"], "left_anti").select("key", F.lit(None).cast("long").alias("context"), "times", F.lit(0).alias("shift"), "core", "windows", "data", "digest")
     sorted_apart = contexts.where("not hot").drop("hot").unionByName(few)
 
@@ -338,17 +341,40 @@ def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     judged = written(together.mapInArrow(judge, "key long, context long, core long, digest binary, spans array<struct<a:int,b:int>>"), "judged")
     # pieces tell their contexts, each from its own offset
     told = written(judged.where("context is null").select(*piece, "spans").unionByName(single), "told")
-    size = told.agg(F.sum(48 + 8 * F.size("spans")).cast("long")).first()[0] or 0
     shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b")))
-    back = contexts.where("hot").select(*piece, "context", "shift").join(sized(told, size), piece).select("key", "context", shifted.alias("spans"))
+    back = contexts.where("hot").select(*piece, "context", "shift").join(sized(told, _bytes(told, 6, F.size("spans"))), piece).select("key", "context", shifted.alias("spans"))
     found = judged.where("context is not null").select("key", "context", "spans").unionByName(back).unionByName(sure)
     found = written(found, "found")
-    size = found.agg(F.sum(32 + 8 * F.size("spans")).cast("long")).first()[0] or 0
-    each = met.select("row_key", "lo", "key", "context").join(sized(found, size), ["key", "context"])
+    each = met.select("row_key", "lo", "key", "context").join(found.hint("merge"), ["key", "context"])
     ranges = each.select("row_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"] + span - 1).alias("b")))).alias("r"))
-    ranges = written(ranges.groupBy("row_key").agg(F.array_sort(F.collect_list("r")).alias("removed")), "ranges")
-    size = ranges.agg(F.sum(16 + 8 * F.size("removed")).cast("long")).first()[0] or 0
-    return docs.join(sized(ranges, size), "row_key", "left").drop("row_key")
+    ranges = ranges.groupBy("row_key").agg(F.collect_list("r").alias("removed")).mapInArrow(_joined, "row_key long, removed array<struct<a:int,b:int>>")
+    ranges = written(ranges, "ranges")
+    return docs.join(sized(ranges, _bytes(ranges, 2, F.size("removed"))), "row_key", "left").drop("row_key")
+
+
+def _bytes(df: DataFrame, words: int, structs: Column | str | None = None, fields: int = 2) -> int:
+    """What df takes as a broadcast: rows of so many eight-byte words, and in an array so many structs of so many fields."""
+    inner = F.lit(0) if structs is None else 16 + (16 + 8 * fields) * (F.col(structs) if isinstance(structs, str) else structs)
+    return df.agg(F.sum(HELD + 8 * words + inner).cast("long")).first()[0] or 0
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of each row in order, those that touch as one: neighbouring contexts of a passage give one range, not many."""
+    for batch in batches:
+        column = batch.column("removed")
+        sizes = pa.compute.list_value_length(column).to_numpy()
+        row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32
+        flat = column.flatten()
+        a, b = (row + flat.field(c).to_numpy().astype(np.int64) for c in ("a", "b"))
+        order = np.argsort(a, kind="stable")
+        a, far = a[order], np.maximum.accumulate(b[order])
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] > far[:-1]
+        start, end = a[new], far[np.append(np.flatnonzero(new)[1:], len(a)) - 1]
+        offsets = np.searchsorted(start, np.arange(len(sizes) + 1, dtype=np.int64) << 32).astype(np.int32)
+        low = lambda x: pa.array((x & 0xFFFFFFFF).astype(np.int32))
+        spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([low(start), low(end)], names=["a", "b"]))
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), spans], names=["row_key", "removed"])
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:

@@ -176,6 +176,19 @@ def test_substrings(spark, docs, hot):
     assert got == want
 
 
+def test_substrings_sends_no_more_than_it_counts(spark, docs, monkeypatch):
+    """What op3 may broadcast is counted in full: 210 MB that counted as 48 were more than a driver holds."""
+    sent = []
+    monkeypatch.setattr(substrings, "sized", lambda df, n_bytes: sent.append((df, n_bytes)) or df.hint("merge"))
+    value = lambda v: 8 + (len(v) if isinstance(v, (bytes, bytearray, str)) else 8 + sum(16 + 8 * len(x) for x in v) if isinstance(v, list) else 0)
+    found = substrings.deduplicate(docs.select("doc_id", "text").unionByName(docs.select(F.lit(7).cast("long").alias("doc_id"), F.concat("text", F.lit("x"), "text").alias("text"))), hot=1)
+    ranges = [r["removed"] for r in found.collect() if r["removed"]]
+    assert ranges and all(x["b"] < y["a"] for r in ranges for x, y in zip(r, r[1:], strict=False))  # one range for each run of bytes
+    assert len(sent) >= 4 and any(n for _, n in sent)
+    for df, n_bytes in sent:
+        assert n_bytes >= sum(8 + sum(map(value, r)) for r in df.collect()), df.columns
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(4)
     data = np.frombuffer(b"".join(rng.choice([b"ab", b"abc", b"xaba"]) for _ in range(600)), np.uint8)
