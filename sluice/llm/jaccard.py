@@ -52,6 +52,8 @@ TREE, PROBES = 256, 2_048
 #: Neighbours looked at and taken for a node in each order of the first step.
 LOOK, TAKE = 6, 2
 CACHE = 300_000
+#: Links whose components one task settles; more go through rounds over all machines.
+AT_ONCE = 1_000_000
 #: Bytes of text that become keys at once.
 SLICE = 3 << 20
 #: Bits of the map of wanted documents, where they are too many to broadcast.
@@ -407,7 +409,7 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     beside = written(neighbours(heads, percent), "beside")
     alone = lambda pairs: (pairs.select("a", F.col("a").alias("label"), F.lit(0).alias("part")).distinct(), pairs.select(F.col("a").alias("label"), F.lit(0).alias("part"), "b").distinct())
     links = _links(docs, nodes, heads, *alone(beside), bits, n, percent, False)
-    known = connected_components(links)
+    known = written(connected_components(links, at_once=AT_ONCE), "melted")
     counts = known.groupBy("component").count().withColumnRenamed("count", "n")
     known = written(known.join(counts, "component").select(F.col("node").alias("id"), F.col("component").alias("label"), "n", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TREE)).cast("int").alias("part")), "known")
 
@@ -420,7 +422,7 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     blocks = written(asked.select("label", "part").distinct(), "blocks")
     others = member.select("label", "part", F.col("id").alias("b")).distinct().join(sized(blocks, 24 * blocks.count()), ["label", "part"], "left_semi")
     more = _links(docs, nodes, heads, asked, others, bits, n, percent, True)
-    final = written(connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component"), "components")
+    final = written(connected_components(links.unionByName(more), at_once=AT_ONCE).select(F.col("node").alias("id"), "component"), "components")
 
     named = nodes.join(sized(final, 24 * final.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_settle_in_one_task(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(4000), rng.randrange(4000)) for _ in range(1500)] + [(i, i + 1) for i in range(5000, 5300)] + [(6000, 7000 + i) for i in range(300)] + [(-5, 3), (8, 8), (None, 9)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    found = rows(connected_components(df, at_once=10_000))
+    after = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    assert found == rows(connected_components(df)) == rows(connected_components(df, at_once=100))
+    assert after - before <= 8
+    assert rows(connected_components(spark.createDataFrame([], "a long, b long"), at_once=10)) == []
+
+
 def test_blocking_keeps_every_pair_over_the_threshold(spark):
     names = ["american bar assn", "american bar asn", "bar assn of america", "natl fdn of law", "natl fdn law", "x", None]
     df = spark.createDataFrame([(n,) for n in names], "name string")
