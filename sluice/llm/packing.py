@@ -36,6 +36,8 @@ CARRY = 100_000
 PER_TASK = 50_000
 #: Distinct words a worker remembers the ids of.
 CACHE = 450_000
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 #: Words tokenized at a time.
 LEARN = 8_000
 #: ASCII marks that form one piece after a letter or digit; an apostrophe may begin a contraction.
@@ -46,11 +48,11 @@ ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 class WordTokens:
     """Ids of texts by a tokenizer whose pieces never cross a blank or line feed, word by remembered word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache or CACHE
         self.place: dict[bytes, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.used = np.zeros(0, np.int64)
@@ -84,7 +86,7 @@ class WordTokens:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = list(chain.from_iterable(split))
-        if len(self.place) > CACHE:
+        if len(self.place) > self.cache:
             self._forget()
         if new := list(set(words).difference(self.place)):
             self._learn(new)
@@ -99,7 +101,7 @@ class WordTokens:
     def _forget(self) -> None:
         """Keep the half of the words that were used most."""
         words = list(self.place)
-        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.cache // 2])
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes)
         self.ids = self.ids[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
@@ -107,13 +109,16 @@ class WordTokens:
         self.starts, self.sizes, self.used = ends - sizes, sizes, self.used[keep] // 2
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every piece of every document."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: every piece of every document.
+
+    A worker remembers `cache` words (default CACHE) and encodes `slice_bytes` of text at a time: fewer take less memory, more time.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept(f"words of {path}", lambda: WordTokens(path))
-        for batch, texts in text_slices(batches, max_bytes=4 << 20):
+        coder = kept(f"words of {path}, {cache}", lambda: WordTokens(path, cache))
+        for batch, texts in text_slices(batches, max_bytes=slice_bytes):
             flat, sizes = coder.encode(texts)
             at, out = 0, []
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
@@ -189,9 +194,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, full:
         now = open_bins.select((F.shiftright(F.col("bin"), 32).bitwiseAND(F.lit((1 << 24) - 1)) / fan_in).cast("int").alias("part"), F.col("bin").alias("item"), "size")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
     """Every piece with its sequence_id and offset there."""
-    cut = written(pieces(docs, path, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    cut = written(pieces(docs, path, capacity, end_id, cache, slice_bytes).withColumn("item", F.monotonically_increasing_id()), "pieces")
     whole = cut.where(F.col("length") == capacity).select("*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < capacity)
     places = pack(rest.select("item", F.col("length").alias("size")), capacity)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_slices
+from sluice.llm.common import let_go, text_slices
 
 KINDS = ["email", "ip", "card", "phone"]
 LOOSE_KINDS = ["contact", "number", "secret"]
@@ -200,6 +200,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One narrow row per document: doc_id, base spans, weaker candidates and the base spans' patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         of = lambda *names: pa.list_(pa.struct([(n, pa.int32()) for n in names]))
         for batch, texts in text_slices(batches):
             base, loose, codes = [], [], []
@@ -237,6 +238,7 @@ def redact(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     good = frozenset(c for c, p in chances.items() if p >= at_least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch, texts in text_slices(batches):
             out = []
             for raw, old in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True):

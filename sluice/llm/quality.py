@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import first_by_hash, text_slices
+from sluice.llm.common import first_by_hash, let_go, text_slices
 
 BITS = 18
 SAMPLE = 4096
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("one"), "doc_id", F.col("text"), "y")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         pdf = pdf.sort_values(["doc_id", "text"])
         texts = [(t or "").encode() for t in pdf["text"]]
         return pd.DataFrame({"weights": [train(texts, [int(y > 0) for y in pdf["y"]], bits).tobytes()]})
@@ -121,6 +122,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") ->
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch, texts in text_slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, held.value))], names=[*batch.schema.names, name])
 

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import ann, decontaminate, hmm, jaccard, langid, licenses, packing, pii, quality, queries, substrings
+from sluice.llm import ann, common, decontaminate, hmm, jaccard, langid, licenses, packing, pii, quality, queries, substrings
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "key string, id string, row_key string, node string, size string, line string, part string, spans string, n string, quality_score string, words string, item string"
@@ -587,6 +588,34 @@ def test_forgetting_keeps_the_ids(monkeypatch):
         assert own.encode([text])[0].tolist() == fresh.encode([text])[0].tolist()
 
 
+def test_pipeline_packs_in_little_memory(spark, docs, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, path, **more: asked.update(more))
+    corpus_pipeline.pack(spark, docs, SF)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *more: f)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(16_000)) for _ in range(24)]  # 3 MB, nearly all words differ
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    common.let_go()
+    run, whole = (packing.pieces(docs, queries.tokenizer_path(), **more) for more in (asked, {}))
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(run(iter([batch, batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    assert peak < 64, peak
+    assert got.to_pylist() == pa.Table.from_batches(whole(iter([batch, batch]))).to_pylist()
+    common.let_go()
+
+
+def test_operators_let_go_of_what_others_kept(docs, monkeypatch):
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *more: f)
+    for run in (pii.scan(docs), quality.score(docs, np.zeros(17, np.float32))):
+        common._KEPT["another operator's"] = bytes(9)
+        assert list(run(iter([]))) == [] and not common._KEPT
+
+
 def test_packing_rounds_fill_well(spark):
     rng = random.Random(3)
     sizes = [(i, rng.randint(1, 99)) for i in range(4000)]
