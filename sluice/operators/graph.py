@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,19 +123,107 @@ class Labels:
         return [(u, v, False) for u in self.members[a] for v in self.members[b]]
 
 
+class LabelCounts:
+    """Labels without the pairs: what a decision settles is counted from the sizes of components, in memory of nodes and mismatches.
+
+    A component keeps the nodes it is apart from as a number, `light`, for those neighbours that are apart from up to `most` components;
+    the others, which are few, are added when it is asked for.  So a component that grows tells at most `most` neighbours.
+    """
+
+    def __init__(self, most: int = 256) -> None:
+        self.most, self.heavy = most, set()
+        self.parent: dict = {}
+        self.size: dict = {}
+        self.apart: dict[object, set] = {}
+        self.light: dict = {}
+
+    def find(self, x):  # noqa: ANN001, ANN201
+        parent = self.parent
+        if x not in parent:
+            parent[x], self.size[x], self.apart[x], self.light[x] = x, 1, set(), 0
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def _grown(self, a, n: int) -> None:  # noqa: ANN001
+        """a, which no neighbour has counted for n nodes yet, tells them, or becomes one of the heavy ones."""
+        if a in self.heavy:
+            return
+        if len(self.apart[a]) > self.most:
+            self.heavy.add(a)
+            n -= self.size[a]
+        for c in self.apart[a] if n else ():
+            self.light[c] += n
+
+    def _apart_from(self, a) -> int:  # noqa: ANN001
+        """The number of nodes that a is apart from."""
+        held = self.apart[a]
+        few = (h for h in self.heavy if h in held) if len(self.heavy) < len(held) else (h for h in held if h in self.heavy)
+        return self.light[a] + sum(self.size[h] for h in few)
+
+    def label(self, left, right, is_match: bool) -> int | None:  # noqa: ANN001
+        """The number of new pairs it implies, or None if it contradicts earlier decisions."""
+        a, b = self.find(left), self.find(right)
+        if a == b:
+            return 0 if is_match else None
+        if b in self.apart[a]:
+            return None if is_match else 0
+        size, apart, light = self.size, self.apart, self.light
+        if not is_match:
+            apart[a].add(b)
+            apart[b].add(a)
+            for mine, theirs in ((a, b), (b, a)):
+                if mine not in self.heavy:
+                    light[theirs] += size[mine]
+                    self._grown(mine, 0)
+            return size[a] * size[b]
+        if len(apart[a]) < len(apart[b]):
+            a, b = b, a
+        both = [c for c in apart[b] if c in apart[a]]
+        shared = sum(size[c] for c in both)
+        new = size[a] * size[b] + size[b] * (self._apart_from(a) - shared) + size[a] * (self._apart_from(b) - shared)
+        for c in apart[b]:
+            apart[c].discard(b)
+            if b not in self.heavy:
+                light[c] -= size[b]
+            if c not in apart[a]:
+                apart[c].add(a)
+                apart[a].add(c)
+                # as if a had always been there
+                if c not in self.heavy:
+                    light[a] += size[c]
+                if a not in self.heavy:
+                    light[c] += size[a]
+        more = size[b]
+        self.heavy.discard(b)
+        self.parent[b] = a
+        del apart[b], light[b], size[b]
+        size[a] += more
+        self._grown(a, more)
+        return new
+
+
 def apply_in_order(decisions: DataFrame, project: str, order: str, left: str = "left", right: str = "right", is_match: str = "is_match") -> DataFrame:
     """decisions with `accepted` and `implied` (number of pairs a decision settles), applied in order within each project.
 
-    A project is what one team reviews and fits a task; decisions across projects do not touch.
+    A project is what one team reviews and is one task; decisions across projects do not touch.  The task reads its decisions
+    in order, some at a time, and keeps what LabelCounts keeps.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        labels = Labels()
-        got = [labels.label(a, b, bool(m)) for a, b, m in zip(pdf[left], pdf[right], pdf[is_match], strict=True)]
-        return pdf.assign(accepted=[g is not None for g in got], implied=[len(g or []) for g in got])
-
-    return decisions.groupBy(project).applyInPandas(run, decisions.withColumns({"accepted": F.lit(True), "implied": F.lit(0).cast("long")}).schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, labels = None, LabelCounts()
+        for batch in batches:
+            got = []
+            for p, a, b, m in zip(*(batch.column(c).to_pylist() for c in (project, left, right, is_match)), strict=True):
+                if p != now:
+                    now, labels = p, LabelCounts()
+                got.append(labels.label(a, b, bool(m)))
+            accepted, implied = pa.array([g is not None for g in got], pa.bool_()), pa.array([g or 0 for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, accepted, implied], names=[*batch.schema.names, "accepted", "implied"])
+
+    told = decisions.repartition(project).sortWithinPartitions(project, order)
+    return told.mapInArrow(run, decisions.withColumns({"accepted": F.lit(True), "implied": F.lit(0).cast("long")}).schema)
 
 
 def medoids(named: DataFrame, most: int = 1_000) -> DataFrame:

@@ -86,6 +86,22 @@ def test_labels_refuse_contradictions():
     assert g.label("a", "e", True) is None
 
 
+def test_labels_are_counted_as_they_are_listed(spark):
+    rng = random.Random(5)
+    for most in (0, 2, 1000):
+        listed, counted = graph.Labels(), graph.LabelCounts(most)
+        for _ in range(600):
+            a, b, m = rng.randrange(40), rng.randrange(40), rng.random() < 0.2
+            got = listed.label(a, b, m)
+            assert counted.label(a, b, m) == (None if got is None else len(got))
+    # two halves of 20,000 names meet in one decision: 400 million pairs, which no task can list
+    n = 20_000
+    d = spark.range(2 * n - 1).select("id", F.lit(1).alias("project"), F.when(F.col("id") < 2 * n - 2, F.col("id") + (F.col("id") >= n - 1).cast("long")).otherwise(0).alias("left"), F.lit(True).alias("is_match"))
+    d = d.withColumn("right", F.when(F.col("id") < 2 * n - 2, F.col("left") + 1).otherwise(n))
+    last = graph.apply_in_order(d, "project", "id").where(F.col("id") == 2 * n - 2).first()
+    assert last["accepted"] and last["implied"] == n * n
+
+
 def test_mapping_takes_the_medoid(spark):
     comp = spark.createDataFrame([("ab", "ab"), ("abc", "ab"), ("zz", "zz")], "node string, component string")
     nodes = spark.createDataFrame([("ab", 1, "AB"), ("ab", 2, "AB"), ("abc", 3, "ABC"), ("zz", 4, "Z")], "norm string, doc_id long, raw_name string")
