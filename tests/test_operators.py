@@ -115,6 +115,28 @@ def test_regular_equivalence_of_large_components_agrees(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
 
 
+def test_equivalence_through_a_cover(spark):
+    rng = random.Random(3)
+    edges = sorted({(f"h{rng.randrange(6)}", f"n{rng.randrange(40):02d}") for _ in range(120)}) + [("h0", "h1"), ("h1", "h2"), ("y", "z")]
+    e = spark.createDataFrame(edges, "u string, v string")
+    rows = lambda d, x: {(r["u"], r["v"]): r[x] for r in d.collect()}
+    a, b = rows(graph.regular_equivalence(e), "sigma"), rows(graph.regular_equivalence(e, largest=5, cover=8), "sigma")
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    ask = [("h0", "h0"), ("h0", "n01"), ("n01", "n01"), ("n02", "n01"), ("n01", "h5"), ("y", "z"), ("y", "h0"), ("n01", "none"), (None, "y")]
+    for largest in (2, 2000):
+        got = rows(graph.regular_equivalence(e, largest=largest, cover=8, pairs=spark.createDataFrame(ask, "u string, v string")), "sigma")
+        assert got.keys() == {k for k in ask if k in a} and all(got[k] == pytest.approx(a[k], abs=1e-12) for k in got)
+
+
+def test_pairs_of_a_large_component_make_no_table_of_all_pairs(spark):
+    # a star of 30,000 names has 900 million pairs
+    e = spark.range(30_000).select(F.lit(-1).cast("long").alias("u"), F.col("id").alias("v"))
+    got = graph.regular_equivalence(e, pairs=spark.createDataFrame([(3, 4), (3, 3), (-1, 3)], "u long, v long")).collect()
+    hub = 1 / (30_000 * (1 - 0.85**2))
+    want = {(3, 4): 0.85**2 * hub, (3, 3): 1 + 0.85**2 * hub, (-1, 3): 0.85 * hub}
+    assert {(r["u"], r["v"]) for r in got} == want.keys() and all(r["sigma"] == pytest.approx(want[r["u"], r["v"]], rel=1e-9) for r in got)
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (1.0,), (1.2,), (None,)], "match_probability double")
     assert {r["bin"]: r["count"] for r in review.probability_histogram(df).collect()} == {i: int(i in (0, 1, 9)) for i in range(10)}
