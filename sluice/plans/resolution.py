@@ -89,7 +89,7 @@ def pair_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with their regular equivalence, among them names beside themselves and names outside the graph."""
     d = fixture(spark, sf_dir, "fx_decisions").select("left_id", "right_id")
     ask = d.union(d.select("left_id", "left_id")).union(d.select("left_id", F.col("right_id") + 1_000_000)).distinct().toDF("left_norm", "right_norm")
-    sigma = graph.regular_equivalence(d.toDF("u", "v")).withColumn("sigma", F.round("sigma", 6))
+    sigma = graph.regular_equivalence(d.toDF("u", "v"), pairs=ask.toDF("u", "v")).withColumn("sigma", F.round("sigma", 6))
     return graph.with_equivalence(ask, sigma)
 
 
