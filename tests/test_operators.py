@@ -221,6 +221,13 @@ def test_resolvent_of_large_components_agrees(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-8) for k in a)
 
 
+def test_resolvent_through_a_cover_or_without(spark):
+    rows = [(i, 100 + j, 0.2 + (i * 7 + j * 3) % 5 / 10) for i in range(4) for j in range(15) if (i + j) % 3] + [(0, 1, 0.3), (201, 202, 0.5)]
+    df = spark.createDataFrame(rows, "left_norm long, right_norm long, p double")
+    a, b, c = ({(r["u"], r["v"]): r["q"] for r in graph.resolvent(df, "p", largest=largest, cover=cover).collect()} for largest, cover in ((2000, 0), (2, 10), (2, 0)))
+    assert a.keys() == b.keys() == c.keys() and all(a[k] == pytest.approx(b[k], abs=1e-10) and a[k] == pytest.approx(c[k], abs=1e-8) for k in a)
+
+
 def test_responses(spark):
     body = {"choices": [{"message": {"content": '{"results":[{"pair":1,"are_same_entity":true,"confidence":0.9}]}'}}]}
     lines = [{"custom_id": "batch_3", "error": None, "response": {"body": body}}, {"custom_id": "batch_4", "error": None, "response": {"body": json.dumps(body)}}, {"custom_id": "e", "error": {"code": 1}}, {"custom_id": "n", "error": None, "response": {"body": {"choices": []}}}]
