@@ -91,6 +91,17 @@ def test_labels_are_counted_as_they_are_listed(spark):
     for most in (0, 2, 1000):
         listed, counted = graph.Labels(), graph.LabelCounts(most)
         for _ in range(600):
+def test_closure_of_a_large_component_is_many_tasks(spark):
+    rng = random.Random(2)
+    d = spark.createDataFrame([(rng.randrange(60), rng.randrange(60), rng.random() < 0.7) for _ in range(70)], "`left` long, `right` long, is_match boolean").where("`left` != `right`")
+    comp = graph.match_components(d)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(graph.closure(d, comp, most=3)) == rows(graph.closure(d, comp)) and rows(graph.closure(d, comp))
+    star = spark.range(1, 6_001).select(F.lit(0).cast("long").alias("left"), F.col("id").alias("right"), F.lit(True).alias("is_match"))
+    sizes = [r["count"] for r in graph.closure(star, graph.match_components(star)).groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(sizes) == 6_001 * 6_000 // 2 and max(sizes) < sum(sizes) / 2
+
+
             a, b, m = rng.randrange(40), rng.randrange(40), rng.random() < 0.2
             got = listed.label(a, b, m)
             assert counted.label(a, b, m) == (None if got is None else len(got))
