@@ -52,8 +52,10 @@ def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
 
 
-def normalized(rows: DataFrame, name: str = "name", norm: str = "norm") -> DataFrame:
-    """rows with normalize_name(name) as norm; each different name is normalised once and joined back."""
+def normalized(rows: DataFrame, name: str = "name", norm: str = "norm", known: DataFrame | None = None) -> DataFrame:
+    """rows with normalize_name(name) as norm; each different name is normalised once and joined back, or found in known (name, norm)."""
+    if known is not None:
+        return rows.join(known.select(F.col("name").alias("_name"), F.col("norm").alias(norm)), F.col(name) == F.col("_name"), "left").drop("_name")
     known = rows.select(name).distinct().select(F.col(name).alias("_name"), normalize_name(F.col(name)).alias(norm))
     return rows.join(known, F.col(name) == F.col("_name"), "left").drop("_name")
 

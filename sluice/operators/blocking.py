@@ -72,10 +72,20 @@ def legal_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return apart_in_documents(one, docs)
 
 
-def apart_in_documents(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (left_norm, right_norm) without those whose names share a document of docs (norm, doc_id)."""
-    held, one = docs.select("norm", "doc_id").distinct(), pairs.select("left_norm", "right_norm")
-    shared = one.join(held.withColumnRenamed("norm", "left_norm"), "left_norm").join(held.withColumnRenamed("norm", "right_norm"), ["right_norm", "doc_id"]).select("left_norm", "right_norm").distinct()
+def apart_in_documents(pairs: DataFrame, docs: DataFrame, most: int = 32) -> DataFrame:
+    """pairs (left_norm < right_norm) without those whose names share a document of docs (norm, doc_id).
+
+    A document of up to `most` names is spelt out as the pairs it holds, which no more than the documents decide the number of.  In
+    larger ones only the names that are pairs meet.
+    """
+    pairs = written(pairs, "apart")
+    one = pairs.select("left_norm", "right_norm")
+    held = docs.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("norm").alias("names")).where(F.size("names") > 1)
+    few = held.where(F.size("names") <= most).select("names", F.explode("names").alias("left_norm"))
+    few = few.select("left_norm", F.explode(F.filter("names", lambda n: n > F.col("left_norm"))).alias("right_norm"))
+    many = held.where(F.size("names") > most).select("doc_id", F.explode("names").alias("left_norm"))
+    many = many.join(one, "left_norm").join(many.withColumnRenamed("left_norm", "right_norm"), ["right_norm", "doc_id"]).select("left_norm", "right_norm")
+    shared = few.join(one, ["left_norm", "right_norm"], "left_semi").unionByName(many).distinct()
     return pairs.join(shared, ["left_norm", "right_norm"], "left_anti")
 
 

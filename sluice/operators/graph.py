@@ -18,9 +18,12 @@ from sluice.operators.components import connected_components
 from sluice.storage import written
 
 
-def filer_nodes(filers: DataFrame, order: str = "line") -> DataFrame:
-    """(norm, doc_id, raw_name): organisations by normalised name; the first raw name of a document stands for it."""
-    rows = normalized(filers.where(F.col("category") == "organization").select(F.col("document_id").alias("doc_id"), "name", order))
+def filer_nodes(filers: DataFrame, order: str = "line", known: DataFrame | None = None) -> DataFrame:
+    """(norm, doc_id, raw_name): organisations by normalised name; the first raw name of a document stands for it.
+
+    known (name, norm) has all names, where they are normalised already.
+    """
+    rows = normalized(filers.where(F.col("category") == "organization").select(F.col("document_id").alias("doc_id"), "name", order), known=known)
     return rows.groupBy("norm", "doc_id").agg(F.min_by("name", F.struct(order, "name")).alias("raw_name"))
 
 
@@ -476,10 +479,13 @@ def neighbouring_dockets(position_rows: DataFrame, names: DataFrame) -> DataFram
     return position_rows.join(names.select("norm"), "norm", "left_semi").select("docket").distinct()
 
 
-def probable_edges(pairs: DataFrame, nodes: DataFrame, p: str, left: str = "left_norm", right: str = "right_norm") -> DataFrame:
-    """(left_norm, right_norm, p): the likeliest p of each pair; pairs of one name, of unknown names and of names that share a document go."""
+def probable_edges(pairs: DataFrame, nodes: DataFrame, p: str, left: str = "left_norm", right: str = "right_norm", known: DataFrame | None = None) -> DataFrame:
+    """(left_norm, right_norm, p): the likeliest p of each pair; pairs of one name, of unknown names and of names that share a document go.
+
+    The known names are those of known (norm), or else of nodes.
+    """
     one = pairs.groupBy(F.least(left, right).alias("left_norm"), F.greatest(left, right).alias("right_norm")).agg(F.max(p).alias("p")).where("left_norm != right_norm")
-    known = nodes.select("norm").distinct()
+    known = (nodes if known is None else known).select("norm").distinct()
     for side in ("left_norm", "right_norm"):
         one = one.join(known.withColumnRenamed("norm", side), side, "left_semi")
     return apart_in_documents(one, nodes)

@@ -46,10 +46,12 @@ far as (select a.component, a.name, sum(b.times * levenshtein(a.name, b.name)) a
 select comp.node as original_name, med.medoid as mapped_name from comp join med on med.component = comp.component""")
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From names to their mapping: block, compare, decide by a threshold, take components, map each name to its medoid."""
-    pairs = C._pairs(spark, sf_dir)
-    weights = blocking.tfidf(C._norms(spark, sf_dir), blocking.char_grams(F.col("name")))
+    known = C._known(spark, sf_dir)
+    norms = C._norms(spark, sf_dir, known)
+    pairs = C._pairs(spark, sf_dir, known, norms)
+    weights = blocking.tfidf(norms, blocking.char_grams(F.col("name")))
     decided = blocking.cosine(pairs, weights, "charsim").select(F.col("left_norm").alias("left"), F.col("right_norm").alias("right"), (F.round("charsim", 6) >= SAME).alias("is_match"))
-    return graph.name_mapping(graph.match_components(written(decided, "decided")), C._nodes(spark, sf_dir))
+    return graph.name_mapping(graph.match_components(written(decided, "decided")), C._nodes(spark, sf_dir, known))
 
 
 @query(f"with {C._PAIRS} select left_norm as norm from pairs union select right_norm from pairs")
@@ -66,8 +68,11 @@ def blocked_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {C._PAIRS} select p.left_norm, p.right_norm, max(mg.char_similarity) as p from pairs p join mg on p.left_norm = least(mg.left_side, mg.right_side) and p.right_norm = greatest(mg.left_side, mg.right_side) group by 1, 2")
 def probable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = blocking.merge_blocks(C._char_pairs(spark, sf_dir), C._word_pairs(spark, sf_dir))
-    return graph.probable_edges(merged, C._nodes(spark, sf_dir), "char_similarity", "left_side", "right_side")
+    """All filers' names are known here, whatever their category; documents hold those of organisations."""
+    known = C._known(spark, sf_dir)
+    norms = C._norms(spark, sf_dir, known)
+    merged = blocking.merge_blocks(C._char_pairs(norms), C._word_pairs(norms))
+    return graph.probable_edges(merged, C._nodes(spark, sf_dir, known), "char_similarity", "left_side", "right_side", norms.withColumnRenamed("name", "norm"))
 
 
 @query(f"with {C._PAIRS} select left_norm, right_norm from pairs order by left_norm, right_norm limit 50")

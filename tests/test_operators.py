@@ -69,6 +69,21 @@ def test_legal_pairs_share_no_document(spark):
     assert [tuple(r) for r in blocking.legal_pairs(pairs, docs).collect()] == [("a", "c")]
 
 
+def test_pairs_apart_meet_within_documents(spark):
+    rng = random.Random(6)
+    docs = [(f"n{rng.randrange(30):02d}", d) for d in range(25) for _ in range(rng.choice([1, 2, 3, 12]))] + [(None, 1), ("n00", None), ("n01", None)]
+    pairs = sorted({tuple(sorted((f"n{rng.randrange(32):02d}", f"n{rng.randrange(32):02d}"))) for _ in range(150)})
+    p, d = spark.createDataFrame(pairs, "left_norm string, right_norm string").where("left_norm < right_norm"), spark.createDataFrame(docs, "norm string, doc_id long")
+    at = lambda n: {x for m, x in docs if m == n and x is not None}
+    want = sorted(q for q in pairs if q[0] < q[1] and not at(q[0]) & at(q[1]))
+    for most in (0, 4, 32):
+        assert sorted(map(tuple, blocking.apart_in_documents(p, d, most).collect())) == want
+    # each of 1,000 names has 19 partners and 5,000 documents: 95 million meetings, of which documents of two names hold none
+    many = spark.range(5_000_000).select(F.format_string("n%04d", F.col("id") % 1000).alias("norm"), F.col("id").alias("doc_id"))
+    wide = spark.range(19_000).select(F.format_string("n%04d", F.floor(F.col("id") / 19)).alias("left_norm"), F.format_string("z%02d", F.col("id") % 19).alias("right_norm"))
+    assert blocking.apart_in_documents(wide, many).count() == 19_000
+
+
 def test_closure_and_conflicts(spark):
     d = spark.createDataFrame([("a", "b", True), ("b", "c", True), ("c", "d", False), ("a", "c", False)], "`left` string, `right` string, is_match boolean")
     comp = graph.match_components(d)
@@ -76,6 +91,17 @@ def test_closure_and_conflicts(spark):
     assert [tuple(r) for r in graph.conflicts(d, comp).collect()] == [("a", "a", "c")]
 
 
+def test_closure_of_a_large_component_is_many_tasks(spark):
+    rng = random.Random(2)
+    d = spark.createDataFrame([(rng.randrange(60), rng.randrange(60), rng.random() < 0.7) for _ in range(70)], "`left` long, `right` long, is_match boolean").where("`left` != `right`")
+    comp = graph.match_components(d)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(graph.closure(d, comp, most=3)) == rows(graph.closure(d, comp)) and rows(graph.closure(d, comp))
+    star = spark.range(1, 6_001).select(F.lit(0).cast("long").alias("left"), F.col("id").alias("right"), F.lit(True).alias("is_match"))
+    sizes = [r["count"] for r in graph.closure(star, graph.match_components(star)).groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(sizes) == 6_001 * 6_000 // 2 and max(sizes) < sum(sizes) / 2
+
+
 def test_labels_refuse_contradictions():
     g = graph.Labels()
     assert g.label("a", "b", True) == [("a", "b", True)]
@@ -91,17 +117,6 @@ def test_labels_are_counted_as_they_are_listed(spark):
     for most in (0, 2, 1000):
         listed, counted = graph.Labels(), graph.LabelCounts(most)
         for _ in range(600):
-def test_closure_of_a_large_component_is_many_tasks(spark):
-    rng = random.Random(2)
-    d = spark.createDataFrame([(rng.randrange(60), rng.randrange(60), rng.random() < 0.7) for _ in range(70)], "`left` long, `right` long, is_match boolean").where("`left` != `right`")
-    comp = graph.match_components(d)
-    rows = lambda x: sorted(map(tuple, x.collect()))
-    assert rows(graph.closure(d, comp, most=3)) == rows(graph.closure(d, comp)) and rows(graph.closure(d, comp))
-    star = spark.range(1, 6_001).select(F.lit(0).cast("long").alias("left"), F.col("id").alias("right"), F.lit(True).alias("is_match"))
-    sizes = [r["count"] for r in graph.closure(star, graph.match_components(star)).groupBy(F.spark_partition_id().alias("at")).count().collect()]
-    assert sum(sizes) == 6_001 * 6_000 // 2 and max(sizes) < sum(sizes) / 2
-
-
             a, b, m = rng.randrange(40), rng.randrange(40), rng.random() < 0.2
             got = listed.label(a, b, m)
             assert counted.label(a, b, m) == (None if got is None else len(got))
@@ -191,6 +206,13 @@ def test_tables_from_records(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out/dockets"), header=True).first()["number"] == "1599"
 
 
+def test_records_numbered_by_their_keys(spark):
+    df = spark.createDataFrame([("b", "u"), (None, "v"), ("a", "w")], "source string, url string").select("*", *(F.lit(None).cast(f"array<struct<{x}>>").alias(n) for n, x in (("dockets", "year int, number int, position string"), ("filers", "name string, category string"), ("lawyers", "name string, role string, employer string"))))
+    for hold in (True, False):
+        got = relational.document_tables(df, keys=df.select("source"), hold=hold)["documents"].collect()
+        assert sorted((r["document_id"], r["url"]) for r in got) == [(1, "w"), (2, "u")]
+
+
 def test_page_links(spark):
     page = '<p>amicus</p><table id="proceedings"><tr><th></th></tr><tr><td>Jul 1 2020</td><td>Brief amicus</td></tr><tr><td><a href="a.txt">Main Document</a><a href="b.pdf">Main Document</a><a href="c.pdf">Other</a></td></tr><tr><td>odd</td></tr></table>'
     df = spark.createDataFrame([("http://h/x/1.html", page), ("u", "<p>no</p>"), ("v", None), ("w", "amicus, no table")], "url string, html string")
@@ -260,21 +282,6 @@ def test_size_batches_drop_what_cannot_fit(spark):
     assert {r["k"]: r["part"] for r in extraction.size_batches(df, 10, "k", group="g").collect()} == {1: 0, 2: 0, 4: 1}
 
 
-def test_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes("é".encode("latin-1"))
-    (tmp_path / "b.txt").write_text("é")
-    (tmp_path / "urls").write_text("www.h/x\n\nhttp://h/y\n")
-    assert {r["text"] for r in files.texts(spark, str(tmp_path)).collect()} == {"é"}
-    names = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "blob string")
-    assert [r["name"] for r in files.texts(spark, str(tmp_path), names).collect()] == ["a.txt"]
-    assert [r["blob"] for r in files.missing_texts(spark, str(tmp_path), names).collect()] == ["z.pdf"]
-    assert [r["url"] for r in files.url_list(spark, str(tmp_path / "urls")).collect()] == ["https://www.h/x", "http://h/y"]
-    assert spark.createDataFrame([("Page 1 of 1,234",)], "t string").select(files.total_pages(F.col("t"))).first()[0] == 1234
-
-
-def test_streamed_decisions(spark, tmp_path):
-    from sluice.streaming import decisions as D
-
 def test_size_batches_of_groups_and_of_all(spark):
     rng = random.Random(4)
     rows = [(g, k, "x" * rng.randrange(1, 30)) for g in [None, "a", "b"] + [f"g{i}" for i in range(40)] for k in range(rng.randrange(1, 30))]
@@ -317,6 +324,21 @@ def test_pairs_that_are_none_have_no_cost(spark):
     assert tuple(extraction.pair_cost(extraction.pair_batches(pairs.where("false")), "p" * 100).first()) == (None, None, None)
 
 
+def test_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é".encode("latin-1"))
+    (tmp_path / "b.txt").write_text("é")
+    (tmp_path / "urls").write_text("www.h/x\n\nhttp://h/y\n")
+    assert {r["text"] for r in files.texts(spark, str(tmp_path)).collect()} == {"é"}
+    names = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "blob string")
+    assert [r["name"] for r in files.texts(spark, str(tmp_path), names).collect()] == ["a.txt"]
+    assert [r["blob"] for r in files.missing_texts(spark, str(tmp_path), names).collect()] == ["z.pdf"]
+    assert [r["url"] for r in files.url_list(spark, str(tmp_path / "urls")).collect()] == ["https://www.h/x", "http://h/y"]
+    assert spark.createDataFrame([("Page 1 of 1,234",)], "t string").select(files.total_pages(F.col("t"))).first()[0] == 1234
+
+
+def test_streamed_decisions(spark, tmp_path):
+    from sluice.streaming import decisions as D
+
     rows = [("a", "b", True, "2024-01-01 00:10:00"), ("b", "c", True, "2024-01-01 00:20:00"), ("c", "d", False, "2024-01-01 01:20:00")]
     df = spark.createDataFrame(rows, "`left` string, `right` string, is_match boolean, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
@@ -351,6 +373,13 @@ def test_probable_edges_are_refused(spark):
     assert [tuple(r) for r in graph.probable_edges(pairs, nodes, "p").collect()] == [("a", "c", 0.7)]
 
 
+def test_probable_edges_of_names_known_otherwise(spark):
+    nodes = spark.createDataFrame([("a", 1), ("b", 1)], "norm string, doc_id long")
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "x", 0.8), ("a", "z", 0.7)], "left_norm string, right_norm string, p double")
+    known = spark.createDataFrame([("a",), ("b",), ("x",)], "norm string")
+    assert [tuple(r) for r in graph.probable_edges(pairs, nodes, "p", known=known).collect()] == [("a", "x", 0.8)]
+
+
 def test_name_pairs_without_gaps(spark):
     rows = spark.createDataFrame([("a", "b"), (None, "b"), ("a", " "), ("nan", "b")], "x string, y string")
     assert sorted(tuple(r) for r in extraction.name_pairs(rows, "x", "y").collect()) == [("a", "b"), ("nan", "b")]
