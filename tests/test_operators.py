@@ -207,7 +207,7 @@ def test_tables_from_records(spark, tmp_path):
 
 
 def test_records_numbered_by_their_keys(spark):
-    df = spark.createDataFrame([("b", "u"), (None, "v"), ("a", "w")], "source string, url string").select("*", *(F.lit(None).cast(f"array<struct<{x}>>").alias(n) for n, x in (("dockets", "year int, number int, position string"), ("filers", "name string, category string"), ("lawyers", "name string, role string, employer string"))))
+    df = spark.createDataFrame([("b", "u"), (None, "v"), ("a", "w")], "source string, url string").select("*", F.lit("c").alias("counsel_of_record"), *(F.lit(None).cast(f"array<struct<{x}>>").alias(n) for n, x in (("dockets", "year int, number int, position string"), ("filers", "name string, category string"), ("lawyers", "name string, role string, employer string"))))
     for hold in (True, False):
         got = relational.document_tables(df, keys=df.select("source"), hold=hold)["documents"].collect()
         assert sorted((r["document_id"], r["url"]) for r in got) == [(1, "w"), (2, "u")]
